@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, only_keys
 
 
 def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
@@ -25,8 +25,10 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
     (a, b, linked boolean, low double, high double), the bounds of their
     similarity. Null buckets or ids link nothing. Empty input: no links.
     """
-    spark = scratch.spark
-    members = members.where("bucket is not null and id is not null").withColumn("open", F.lit(True))
+    members = members.where("bucket is not null and id is not null")
+    # Most buckets have one member; only the bucket's number is shuffled to find the others.
+    shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    members = scratch.save(only_keys(members, shared, ["bucket"]).withColumn("open", F.lit(True)), "members")
     links = None
     while True:
         pivot = F.min(F.when(F.col("open"), F.col("id")))
@@ -59,8 +61,7 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
         )
         members = scratch.save(members, "members")
     if links is None:
-        ids = members.schema["id"].dataType
-        return spark.createDataFrame([], "a long, b long").select(F.col("a").cast(ids), F.col("b").cast(ids))
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     return links.distinct()
 
 
