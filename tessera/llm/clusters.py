@@ -1,11 +1,13 @@
 """Links inside candidate buckets, and the components that links span.
 
-Neither step looks at all pairs of a group. In each bucket the smallest open
-member is the pivot, and only (pivot, member) pairs are verified. As the Jaccard
-distance is a metric, two members can be near each other only if their
-distances to the pivot differ by at most the threshold's distance; members for
-which this can still hold form a smaller bucket with a new pivot, until none is
-left. No link inside a bucket is lost, and tight groups end after one round.
+Neither step makes all pairs of a group. In each bucket the smallest member is
+the pivot, and first only (pivot, member) pairs are verified; a tight group is
+then one component and done. Members outside the pivot's component become
+pivots in further rounds, eight times as many in each. A further pair is
+verified only if its sides are in different components so far, and if it can be
+near at all: the Jaccard distance is a metric, so the distances of both sides to
+the first pivot may differ by the threshold's distance at most. No component is
+split by what this leaves out.
 """
 
 from __future__ import annotations
@@ -18,51 +20,61 @@ from pyspark.sql import functions as F
 from tessera.llm.scratch import Scratch, only_keys
 
 
+#: How many times more pivots a bucket gets in each further round.
+FASTER = 8
+
+
 def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between ids that share a bucket and are at least ``threshold`` similar.
+    """Links (a, b) between ids that share a bucket and are at least ``threshold`` similar, enough to span their components.
 
-    members: (bucket, id), each pair once. verify: from pairs (a, b) to
+    members: (bucket, id), each pair once. verify: from distinct pairs (a, b) to
     (a, b, linked boolean, low double, high double), the bounds of their
     similarity. Null buckets or ids link nothing. Empty input: no links.
     """
     members = members.where("bucket is not null and id is not null")
     # Most buckets have one member; only the bucket's number is shuffled to find the others.
     shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    members = scratch.save(only_keys(members, shared, ["bucket"]).withColumn("open", F.lit(True)), "members")
-    links = None
-    while True:
-        pivot = F.min(F.when(F.col("open"), F.col("id")))
-        groups = (
-            members.groupBy("bucket")
-            .agg(pivot.alias("pivot"), F.count("*").alias("n"), F.min("id").alias("low_id"), F.expr("bit_xor(xxhash64(id, open))").alias("digest"))
-            .where("n > 1 and pivot is not null")
-            # Bands of a tight group give the same members again and again: one such bucket is enough.
-            .groupBy("pivot", "n", "low_id", "digest")
-            .agg(F.min("bucket").alias("bucket"))
-            .select("bucket", "pivot")
-        )
-        groups = scratch.save(groups, "pivots")
-        if groups.isEmpty():
-            break
-        stars = scratch.save(members.join(groups, "bucket").where("id <> pivot"), "stars")
-        pairs = scratch.save(stars.groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.lit(1).alias("one")).drop("one"), "pairs")
-        seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified")
-        found = seen.where("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        known = stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
-        known = scratch.save(known.select("bucket", "id", "linked", "low", "high"), "known")
-        rest = scratch.save(known.where("not linked").groupBy("bucket").agg(F.max("high").alias("nearest")), "rest")
-        if rest.isEmpty():
-            break
-        members = (
-            known.join(rest, "bucket")
-            .where(F.expr("not linked") | (F.col("low") <= F.col("nearest") + (1 - threshold)))
-            .select("bucket", "id", F.expr("not linked").alias("open"))
-        )
-        members = scratch.save(members, "members")
-    if links is None:
-        return members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return links.distinct()
+    members = scratch.save(only_keys(members, shared, ["bucket"]), "members")
+    groups = (
+        members.groupBy("bucket")
+        .agg(F.min("id").alias("pivot"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("digest"))
+        .where("n > 1")
+        # Bands of a tight group give the same members again and again: one such bucket is enough.
+        .groupBy("pivot", "n", "digest")
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket", "pivot")
+    )
+    groups = scratch.save(groups, "pivots")
+    stars = scratch.save(members.join(groups, "bucket").where("id <> pivot"), "stars")
+    pairs = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified")
+    links = seen.where("linked").select("a", "b")
+    # From here on a bucket has its pivot, the others, and their similarity's bounds to it.
+    open_ = stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
+    unsettled = scratch.save(open_.where("not linked").select("bucket").distinct(), "unsettled")
+    members = scratch.save(only_keys(open_, unsettled, ["bucket"]).select("bucket", "pivot", "id", "low", "high"), "members")
+    width = FASTER
+    while not members.isEmpty():
+        tree = components(links, scratch)
+        first = F.coalesce("component", "pivot").alias("main")
+        placed = members.join(tree, "id", "left").select("bucket", "pivot", "id", "low", "high", F.coalesce("component", "id").alias("part"))
+        placed = scratch.save(placed.join(tree.withColumnRenamed("id", "pivot"), "pivot", "left").select("*", first).drop("component"), "placed")
+        counts = placed.where("part <> main").groupBy("bucket").agg(F.count("*").alias("n_open"))
+        placed = scratch.save(placed.join(scratch.save(counts, "counts"), "bucket"), "open")
+        chosen = (F.col("part") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(width)), F.col("n_open")) < width)
+        placed = placed.withColumn("chosen", chosen)
+        now = scratch.save(placed.where("chosen").select("bucket", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("high").alias("p_high")), "chosen")
+        apart = (F.col("part") != F.col("p_part")) & (F.col("low") <= F.col("p_high") + (1 - threshold)) & ~(F.col("chosen") & (F.col("id") < F.col("p")))
+        pairs = placed.join(now, "bucket").where(apart).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified")
+            seen = seen.unionByName(more)
+            links = links.unionByName(more.where("linked").select("a", "b"))
+        # Those chosen are now compared with all that they could be linked to.
+        members = scratch.save(placed.where("not chosen").select("bucket", "pivot", "id", "low", "high"), "members")
+        width *= FASTER
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
