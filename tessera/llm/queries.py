@@ -11,6 +11,7 @@ from tessera.llm.langid import identify
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.quality import judge
 from tessera.llm.warc import round_trip
 
 
@@ -22,6 +23,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
