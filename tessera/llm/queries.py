@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import contamination
+from tessera.llm.html_extract import main_text
 from tessera.llm.langid import identify
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
+from tessera.llm.pii import find_personal_data
 from tessera.llm.quality import judge
+from tessera.llm.scratch import Scratch
+from tessera.llm.token_counts import TokenLedger, count_tokens
 from tessera.llm.warc import round_trip
 
 
@@ -19,6 +24,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals after four batches over all documents and one that comes again.
+
+    All documents come in; then those of one source in the languages that a
+    second model labels anew are revised; exact later copies are deleted; and the
+    revision is sent a second time.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "token-counts")
+    counts = scratch.save(count_tokens(docs), "counts")
+    ledger = TokenLedger(spark, scratch.path("ledger"))
+    ledger.apply(1, counts)
+    revised = counts.where("source = 'src1'").withColumns({"lang": F.concat("lang", F.lit("-2")), "n_tokens": F.col("n_tokens") + 1})
+    ledger.apply(2, revised)
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    first = docs.groupBy(text.alias("digest")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = scratch.save(first.select("digest", "first"), "firsts")
+    copies = scratch.save(docs.select("doc_id", text.alias("digest")), "digests").join(first, "digest").where("doc_id <> first")
+    ledger.apply(3, copies.select("doc_id", F.lit("word_bpe_49k").alias("tokenizer")), deleted=True)
+    ledger.apply(2, revised)
+    return ledger.totals()
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -27,10 +55,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages")).drop("payload", "url")
 
