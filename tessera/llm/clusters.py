@@ -35,6 +35,7 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
     # Most buckets have one member; only the bucket's number is shuffled to find the others.
     shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     members = scratch.save(only_keys(members, shared, ["bucket"]), "members")
+    n = members.count()
     groups = (
         members.groupBy("bucket")
         .agg(F.min("id").alias("pivot"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("digest"))
@@ -44,35 +45,36 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
         .agg(F.min("bucket").alias("bucket"))
         .select("bucket", "pivot")
     )
-    groups = scratch.save(groups, "pivots")
-    stars = scratch.save(members.join(groups, "bucket").where("id <> pivot"), "stars")
-    pairs = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified")
+    groups = scratch.save(groups, "pivots", n)
+    stars = scratch.save(members.join(groups, "bucket").where("id <> pivot"), "stars", n)
+    n = stars.count()
+    pairs = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs", n)
+    seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
     links = seen.where("linked").select("a", "b")
     # From here on a bucket has its pivot, the others, and their similarity's bounds to it.
-    open_ = stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
-    unsettled = scratch.save(open_.where("not linked").select("bucket").distinct(), "unsettled")
-    members = scratch.save(only_keys(open_, unsettled, ["bucket"]).select("bucket", "pivot", "id", "low", "high"), "members")
+    known = scratch.save(stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"]), "known", n)
+    unsettled = scratch.save(known.where("not linked").select("bucket").distinct(), "unsettled", n)
+    members = scratch.save(only_keys(known, unsettled, ["bucket"]).select("bucket", "pivot", "id", "low", "high"), "members", n)
     width = FASTER
-    while not members.isEmpty():
+    while n := members.count():
         tree = components(links, scratch)
-        first = F.coalesce("component", "pivot").alias("main")
         placed = members.join(tree, "id", "left").select("bucket", "pivot", "id", "low", "high", F.coalesce("component", "id").alias("part"))
-        placed = scratch.save(placed.join(tree.withColumnRenamed("id", "pivot"), "pivot", "left").select("*", first).drop("component"), "placed")
-        counts = placed.where("part <> main").groupBy("bucket").agg(F.count("*").alias("n_open"))
-        placed = scratch.save(placed.join(scratch.save(counts, "counts"), "bucket"), "open")
+        placed = placed.join(tree.withColumnRenamed("id", "pivot"), "pivot", "left")
+        placed = scratch.save(placed.select("bucket", "pivot", "id", "low", "high", "part", F.coalesce("component", "pivot").alias("main")), "placed", n)
+        counts = scratch.save(placed.where("part <> main").groupBy("bucket").agg(F.count("*").alias("n_open")), "counts", n)
         chosen = (F.col("part") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(width)), F.col("n_open")) < width)
-        placed = placed.withColumn("chosen", chosen)
-        now = scratch.save(placed.where("chosen").select("bucket", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("high").alias("p_high")), "chosen")
+        placed = scratch.save(placed.join(counts, "bucket").withColumn("chosen", chosen).drop("n_open", "main"), "open", n)
+        now = placed.where("chosen").select("bucket", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("high").alias("p_high"))
+        now = scratch.save(now, "chosen", n)
         apart = (F.col("part") != F.col("p_part")) & (F.col("low") <= F.col("p_high") + (1 - threshold)) & ~(F.col("chosen") & (F.col("id") < F.col("p")))
         pairs = placed.join(now, "bucket").where(apart).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified")
+        pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
+        if pairs.count():
+            more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
             seen = seen.unionByName(more)
             links = links.unionByName(more.where("linked").select("a", "b"))
         # Those chosen are now compared with all that they could be linked to.
-        members = scratch.save(placed.where("not chosen").select("bucket", "pivot", "id", "low", "high"), "members")
+        members = scratch.save(placed.where("not chosen").select("bucket", "pivot", "id", "low", "high"), "members", n)
         width *= FASTER
     return links
 
@@ -85,20 +87,23 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     minimum only (with a map-side part) and joined, so no neighbour list is ever
     held in one task. Self links and nulls link nothing.
     """
-    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    links = links.where("a <> b")
+    n = links.count()
+    edges = scratch.save(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges", n)
     before = None
-    while True:
+    while n:
         both = edges.union(edges.select("lo", "hi")).toDF("u", "v")
-        lows = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large")
+        lows = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large", 2 * n)
         large = both.where("v > u").join(lows, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        large = scratch.save(large.distinct(), "large-star")
-        lows = scratch.save(large.groupBy("hi").agg(F.min("lo").alias("m")), "small")
+        large = scratch.save(large.distinct(), "large-star", n)
+        lows = scratch.save(large.groupBy("hi").agg(F.min("lo").alias("m")), "small", n)
         joined = large.join(lows, "hi")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(joined.select("hi", F.col("m").alias("lo"))).where("hi <> lo")
-        edges = scratch.save(small.distinct(), "small-star")
+        edges = scratch.save(small.distinct(), "small-star", n)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(hi, lo))")).first()
         if tuple(now) == before:
             break
         before = tuple(now)
+        n = now[0]
     tree = edges.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
-    return tree.union(edges.select("lo", "lo").distinct())
+    return scratch.save(tree.union(edges.select("lo", "lo").distinct()), "tree", 2 * n)

@@ -184,10 +184,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     def verify(pairs: DataFrame) -> DataFrame:
         left = firsts.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
         right = firsts.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        guessed = scratch.save(pairs.join(left, "a").join(right, "b").mapInPandas(_estimate, "a long, b long, guess double"), "estimates")
+        n = pairs.count()
+        guessed = pairs.join(left, "a").join(right, "b").mapInPandas(_estimate, "a long, b long, guess double")
+        guessed = scratch.save(guessed, "estimates", n, 20_000)
         near = guessed.where(F.col("guess") >= THRESHOLD - MARGIN)
-        ids = scratch.save(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted")
-        items = scratch.save(only_keys(docs, ids, ["doc_id"]).mapInPandas(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets")
+        ids = scratch.save(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted", n)
+        items = scratch.save(only_keys(docs, ids, ["doc_id"]).mapInPandas(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets", ids.count(), 5_000)
         both = near.select("a", "b").join(items.toDF("a", "items_a"), "a").join(items.toDF("b", "items_b"), "b")
         sure = both.mapInPandas(_confirm, "a long, b long, linked boolean, exact double")
         far = guessed.where(F.col("guess") < THRESHOLD - MARGIN)
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     # The same doc_id on different texts joins their classes too.
     repeats = known.select("doc_id", "set_digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     repeats = known.join(repeats, "doc_id").join(classes.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    tree = scratch.save(components(links.union(repeats), scratch), "components")
+    tree = components(links.union(repeats), scratch)
     merged = classes.join(tree, "id", "left").where("n > 1 or component is not null")
     merged = scratch.save(merged.select("set_digest", F.coalesce("component", "id").alias("component")), "merged")
     out = sketched.select("doc_id", "n_shingles", "set_digest").join(merged, "set_digest", "left")

@@ -37,9 +37,15 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the DataFrame that reads it back."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None, per_task: int = 100_000) -> DataFrame:
+        """Write ``df`` and return the DataFrame that reads it back.
+
+        rows: a bound of its rows, if known; it then has no more tasks and files
+        than ``per_task`` rows each need.
+        """
         path = self.path(name)
+        if rows is not None:
+            df = df.coalesce(1 + rows // per_task)
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
