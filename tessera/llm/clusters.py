@@ -2,11 +2,12 @@
 
 Neither step makes all pairs of a group. In each bucket the smallest member is
 the pivot, and first only (pivot, member) pairs are verified; a tight group is
-then one component and done. Members outside the pivot's component become
+then one component and done. In other buckets so is the member that is most
+like the first pivot. Members outside the bucket's largest component become
 pivots in further rounds, eight times as many in each. A further pair is
 verified only if its sides are in different components so far, and if it can be
 near at all: the Jaccard distance is a metric, so the distances of both sides to
-the first pivot may differ by the threshold's distance at most. No component is
+the second pivot may differ by the threshold's distance at most. No component is
 split by what this leaves out.
 """
 
@@ -24,12 +25,37 @@ from tessera.llm.scratch import Scratch, only_keys
 FASTER = 8
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> DataFrame:
+#: Open members and members in a block that is compared in one go.
+OPEN_BLOCK, BLOCK = 128, 1024
+
+
+def _in_blocks(placed: DataFrame, counts: DataFrame, scratch: Scratch, n: int) -> DataFrame:
+    """(main, block, salt, open, id, part): each open member meets each member of its buckets' largest part in one block.
+
+    A block has about ``OPEN_BLOCK`` open members and ``BLOCK`` members, however
+    large the group is.
+    """
+    group = placed.join(counts.select("bucket", "main"), "bucket").select("main", "id", "part").distinct()
+    group = scratch.save(group, "groups", n)
+    sizes = group.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("part") != F.col("main")).alias("n_open"))
+    sizes = sizes.select("main", F.expr(f"1 + n div {BLOCK}").alias("salts"), F.expr(f"1 + n_open div {OPEN_BLOCK}").alias("blocks"))
+    group = scratch.save(group.join(scratch.save(sizes, "sizes", n), "main"), "sized", n)
+    all_ = group.select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(False).alias("open"), "id", "part")
+    open_ = group.where("part <> main").select("main", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("open"), "id", "part")
+    return all_.union(open_)
+
+
+def star_links(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch, compare: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Links (a, b) between ids that share a bucket and are at least ``threshold`` similar, enough to span their components.
 
     members: (bucket, id), each pair once. verify: from distinct pairs (a, b) to
     (a, b, linked boolean, low double, high double), the bounds of their
-    similarity. Null buckets or ids link nothing. Empty input: no links.
+    similarity. compare, if given, takes blocks (main, block, salt, open, id,
+    part) and returns all links between an open and another member of a block
+    that are of different parts; it then stands in for the further rounds. Null
+    buckets or ids link nothing. Empty input: no links.
     """
     members = members.where("bucket is not null and id is not null")
     # Most buckets have one member; only the bucket's number is shuffled to find the others.
@@ -51,17 +77,31 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
     pairs = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs", n)
     seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
     links = seen.where("linked").select("a", "b")
-    # From here on a bucket has its pivot, the others, and their similarity's bounds to it.
+    # A pivot may be an outlier of its group. Buckets that it left open get a second one: the member most like the first.
     known = scratch.save(stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"]), "known", n)
-    unsettled = scratch.save(known.where("not linked").select("bucket").distinct(), "unsettled", n)
-    members = scratch.save(only_keys(known, unsettled, ["bucket"]).select("bucket", "pivot", "id", "low", "high"), "members", n)
+    hubs = known.groupBy("bucket").agg(F.min("linked").alias("settled"), F.max_by("id", "low").alias("hub")).where("not settled").select("bucket", "hub")
+    hubs = scratch.save(hubs, "hubs", n)
+    members = scratch.save(known.join(hubs, "bucket").where("id <> hub").select("bucket", "hub", "id"), "members", n)
+    n = members.count()
+    pairs = members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
+    pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
+    more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
+    seen = seen.unionByName(more)
+    links = links.unionByName(more.where("linked").select("a", "b"))
+    # From here on a bucket has all but these two, with the bounds of their similarity to the second.
+    members = members.withColumns({"a": F.least("hub", "id"), "b": F.greatest("hub", "id")}).join(seen, ["a", "b"])
+    members = scratch.save(members.select("bucket", "id", "low", "high"), "members", n)
     width = FASTER
     while n := members.count():
         tree = components(links, scratch)
-        placed = members.join(tree, "id", "left").select("bucket", "pivot", "id", "low", "high", F.coalesce("component", "id").alias("part"))
-        placed = placed.join(tree.withColumnRenamed("id", "pivot"), "pivot", "left")
-        placed = scratch.save(placed.select("bucket", "pivot", "id", "low", "high", "part", F.coalesce("component", "pivot").alias("main")), "placed", n)
-        counts = scratch.save(placed.where("part <> main").groupBy("bucket").agg(F.count("*").alias("n_open")), "counts", n)
+        placed = members.join(tree, "id", "left").select("bucket", "id", "low", "high", F.coalesce("component", "id").alias("part"))
+        placed = scratch.save(placed, "placed", n)
+        # Only what is outside of a bucket's largest part is open.
+        parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
+        counts = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("n_open")).where("n_open > 0")
+        counts = scratch.save(counts, "counts", n)
+        if compare:
+            return links.unionByName(scratch.save(compare(_in_blocks(placed, counts, scratch, n)), "compared"))
         chosen = (F.col("part") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(width)), F.col("n_open")) < width)
         placed = scratch.save(placed.join(counts, "bucket").withColumn("chosen", chosen).drop("n_open", "main"), "open", n)
         now = placed.where("chosen").select("bucket", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("high").alias("p_high"))
@@ -74,7 +114,7 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thr
             seen = seen.unionByName(more)
             links = links.unionByName(more.where("linked").select("a", "b"))
         # Those chosen are now compared with all that they could be linked to.
-        members = scratch.save(placed.where("not chosen").select("bucket", "pivot", "id", "low", "high"), "members", n)
+        members = scratch.save(placed.where("not chosen").select("bucket", "id", "low", "high"), "members", n)
         width *= FASTER
     return links
 

@@ -20,15 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.clusters import components, star_links
+from tessera.llm.clusters import BLOCK, components, star_links
 from tessera.llm.scratch import Scratch, only_keys
 
 SHINGLE = 5
 THRESHOLD = 0.75
 #: Registers, registers in a band, base, rate and largest register of the sketch.
 M, ROWS, BASE, RATE, LARGEST = 128, 4, 1.001, 20.0, 2**16 - 2
-#: How far below the threshold an estimate may be before its pair is given up: five standard errors.
-MARGIN = 5 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
+#: How far below the threshold an estimate may be before its pair is given up: four standard errors.
+MARGIN = 4 * (THRESHOLD * (1 - THRESHOLD) / M) ** 0.5
 #: Words whose hash a Python worker remembers.
 MEMO = 300_000
 
@@ -159,6 +159,29 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": [r[0] for r in rows], "exact": [r[1] for r in rows]})
 
 
+def _compare(block: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between the open and the other members of each of some blocks, by counting common items."""
+    out = []
+    for _, one in block.groupby(["main", "block", "salt"], sort=False):
+        items = [np.frombuffer(x, np.uint64) for x in one["items"]]
+        size = np.array([len(x) for x in items])
+        ids, parts, open_ = one["id"].to_numpy(), one["part"].to_numpy(), np.flatnonzero(one["open"].to_numpy())
+        if not len(open_):
+            continue
+        pool = np.concatenate([items[i] for i in open_])
+        owner = np.repeat(np.arange(len(open_)), size[open_])
+        order = np.argsort(pool, kind="stable")
+        pool, owner = pool[order], owner[order]
+        for j in np.flatnonzero(~one["open"].to_numpy()):
+            low, high = np.searchsorted(pool, items[j], "left"), np.searchsorted(pool, items[j], "right")
+            n = high - low
+            at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(open_))
+            found = (100 * both >= 75 * (size[open_] + size[j] - both)) & (parts[open_] != parts[j])
+            out += [(min(a, ids[j]), max(a, ids[j])) for a in ids[open_[found]]]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id long, text string, ...).
 
@@ -197,7 +220,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
             far.select("a", "b", F.lit(False), (F.col("guess") - MARGIN).alias("low"), (F.col("guess") + MARGIN).alias("high"))
         )
 
-    links = star_links(members, verify, THRESHOLD, scratch)
+    def compare(blocks: DataFrame) -> DataFrame:
+        blocks = scratch.save(blocks, "blocks")
+        ids = scratch.save(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+        items = scratch.save(only_keys(docs, ids, ["doc_id"]).mapInPandas(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets", ids.count(), 5_000)
+        groups = 1 + blocks.count() // (2 * BLOCK)
+        full = blocks.join(items.withColumnRenamed("doc_id", "id"), "id").withColumn("g", F.pmod(F.xxhash64("main", "block", "salt"), F.lit(groups)))
+        return full.groupBy("g").applyInPandas(lambda rows: _compare(rows), "a long, b long")
+
+    links = star_links(members, verify, THRESHOLD, scratch, compare)
     # The same doc_id on different texts joins their classes too.
     repeats = known.select("doc_id", "set_digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     repeats = known.join(repeats, "doc_id").join(classes.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
