@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What is masked, in the order in which it is tried.
@@ -35,19 +35,14 @@ def found(text: Column, kind: str) -> Column:
 def numbered(text: Column, kind: str) -> Column:
     """A text with a kind's places replaced by ``[KIND_1]``, ``[KIND_2]``... in order of appearance."""
     parts = F.split(text, MASKS[kind])
-    return F.aggregate(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.get(parts, F.lit(0)).alias("text"), F.lit(0).alias("n")),
-        lambda acc, part: F.struct(F.concat(acc["text"], F.lit(f"[{kind}_"), (acc["n"] + 1).cast("string"), F.lit("]"), part).alias("text"), (acc["n"] + 1).alias("n")),
-        lambda acc: acc["text"],
-    )
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.lit(f"[{kind}_"), i.cast("string"), F.lit("]"), part))), "")
 
 
-def mask(text: Column) -> Column:
-    """A text with all kinds masked, one after another."""
+def mask(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with all kinds masked in a column, one kind after another; each step reads the last one's text once."""
     for kind in MASKS:
-        text = numbered(text, kind)
-    return text
+        df = df.withColumn(column, numbered(F.col(column), kind))
+    return df
 
 
 def level(handling: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,24 +60,38 @@ def light_stem(token: Column) -> Column:
     return F.when(token.rlike("^[а-яё]{6,}$"), F.coalesce(*cuts))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Sorted distinct tokens of a text and their stems, without stop words and numbers."""
     raw = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower))
     kept = F.filter(raw, lambda t: ~t.isin(STOPWORDS) & ~t.rlike(r"^\p{Nd}+$"))
-    # Only Cyrillic words have stems; an array without any is passed by.
-    stems = F.when(F.exists(kept, lambda t: t.rlike("^[а-яё]{6,}$")), F.filter(F.transform(kept, light_stem), lambda t: t.isNotNull() & ~t.isin(STOPWORDS)))
-    return F.array_sort(F.array_union(kept, F.coalesce(stems, F.array().cast("array<string>"))))
+
+    def with_stems(tokens: Column) -> Column:
+        # Only Cyrillic words have stems; tokens without any are passed by.
+        stems = F.filter(F.transform(tokens, light_stem), lambda t: t.isNotNull() & ~t.isin(STOPWORDS))
+        return F.array_sort(F.when(F.exists(tokens, lambda t: t.rlike("^[а-яё]{6,}$")), F.array_union(tokens, stems)).otherwise(tokens))
+
+    return once(kept, with_stems)
+
+
+def _beginning(prefixes: tuple[str, ...]):
+    return lambda term: term.rlike("^(" + "|".join(prefixes) + ")")
 
 
 def expand_terms(terms: Column) -> Column:
     """Terms with their synonyms; ``mvp1`` and ``мвп1`` stand for each other."""
-    out = terms
-    for prefixes, group in SYNONYMS:
-        hit = F.exists(terms, lambda t, p=prefixes: F.lit(False) if not p else t.rlike("^(" + "|".join(p) + ")"))
-        out = F.when(hit, F.array_union(out, F.lit(group))).otherwise(out)
-    numbers = F.filter(F.transform(terms, lambda t: F.regexp_extract(t, r"^(?:mvp|мвп)(\d+)$", 1)), lambda n: n != "")
-    both = F.flatten(F.transform(numbers, lambda n: F.array(F.concat(F.lit("mvp"), n), F.concat(F.lit("мвп"), n))))
-    return F.array_sort(F.array_union(out, both))
+
+    def grown(terms: Column) -> Column:
+        groups = [F.when(F.exists(terms, _beginning(prefixes)), F.lit(group)).otherwise(F.array().cast("array<string>")) for prefixes, group in SYNONYMS]
+        numbers = F.filter(F.transform(terms, lambda t: F.regexp_extract(t, r"^(?:mvp|мвп)(\d+)$", 1)), lambda n: n != "")
+        both = F.flatten(F.transform(numbers, lambda n: F.array(F.concat(F.lit("mvp"), n), F.concat(F.lit("мвп"), n))))
+        return F.array_sort(F.array_distinct(F.concat(terms, *groups, both)))
+
+    return once(terms, grown)
 
 
 def stable_id(*parts: Column, length: int = 16) -> Column:
