@@ -25,6 +25,9 @@ from tessera.llm.scratch import Scratch, only_keys
 FASTER = 8
 
 
+#: Pairs that a task verifies.
+PAIRS = 4_000
+
 #: Open members and members in a block that is compared in one go.
 OPEN_BLOCK, BLOCK = 128, 1024
 
@@ -46,21 +49,25 @@ def _in_blocks(placed: DataFrame, counts: DataFrame, scratch: Scratch, n: int) -
 
 
 def star_links(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch, compare: Callable[[DataFrame], DataFrame] | None = None
-) -> DataFrame:
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch,
+    compare: Callable[[DataFrame], DataFrame] | None = None, prepare: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
     """Links (a, b) between ids that share a bucket and are at least ``threshold`` similar, enough to span their components.
 
     members: (bucket, id), each pair once. verify: from distinct pairs (a, b) to
     (a, b, linked boolean, low double, high double), the bounds of their
     similarity. compare, if given, takes blocks (main, block, salt, open, id,
     part) and returns all links between an open and another member of a block
-    that are of different parts; it then stands in for the further rounds. Null
+    that are of different parts; it then stands in for the further rounds.
+    prepare is given the members (bucket, id) that share a bucket. Null
     buckets or ids link nothing. Empty input: no links.
     """
     members = members.where("bucket is not null and id is not null")
     # Most buckets have one member; only the bucket's number is shuffled to find the others.
     shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     members = scratch.save(only_keys(members, shared, ["bucket"]), "members")
+    if prepare:
+        prepare(members)
     n = members.count()
     groups = (
         members.groupBy("bucket")
@@ -75,7 +82,7 @@ def star_links(
     stars = scratch.save(members.join(groups, "bucket").where("id <> pivot"), "stars", n)
     n = stars.count()
     pairs = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs", n)
-    seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
+    seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count(), PAIRS)
     links = seen.where("linked").select("a", "b")
     # A pivot may be an outlier of its group. Buckets that it left open get a second one: the member most like the first.
     known = scratch.save(stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"]), "known", n)
@@ -85,7 +92,7 @@ def star_links(
     n = members.count()
     pairs = members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
     pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
-    more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
+    more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count(), PAIRS)
     seen = seen.unionByName(more)
     links = links.unionByName(more.where("linked").select("a", "b"))
     # From here on a bucket has all but these two, with the bounds of their similarity to the second.
@@ -110,7 +117,7 @@ def star_links(
         pairs = placed.join(now, "bucket").where(apart).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
         if pairs.count():
-            more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count())
+            more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count(), PAIRS)
             seen = seen.unionByName(more)
             links = links.unionByName(more.where("linked").select("a", "b"))
         # Those chosen are now compared with all that they could be linked to.
