@@ -126,10 +126,20 @@ SELECT scope_ref, (['standard', 'unknown', 'restricted'])[1 + max(l)] AS handlin
     "authority_items": f"""WITH {_OPERATIONAL}, why AS (SELECT *, CASE WHEN lifecycle <> 'active' THEN 'not_active' WHEN confirmation <> 'confirmed' THEN 'not_confirmed' WHEN kind NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'unsupported_kind' WHEN sensitivity <> 'standard' THEN 'sensitivity_denied' ELSE '' END AS reason FROM items)
 SELECT id, reason, CASE WHEN reason <> '' THEN 'excluded' WHEN count(*) FILTER (WHERE reason = '') OVER (PARTITION BY scope_ref, kind, subject_ref) > 1 THEN 'ambiguous' ELSE 'eligible' END AS verdict FROM why""",
     "sound_scopes": f"WITH {_OPERATIONAL} SELECT scope_ref, count(*) AS n FROM items GROUP BY 1 HAVING bool_and(value > 2000)",
-    "conversation_summaries": """SELECT conv_id, right(string_agg(role || ': ' || left(coalesce(text, ''), 260), chr(10) ORDER BY turn) FILTER (WHERE nth <= 20), 2400) AS summary, count(*) AS n_turns
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) GROUP BY conv_id""",
+    "conversation_summaries": r"""SELECT conv_id, coalesce(right(string_agg('- ' || role || ': ' || left(t, 260), chr(10) ORDER BY turn) FILTER (WHERE nth <= 20 AND t <> ''), 2400), '') AS summary, count(*) AS n_turns
+FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) GROUP BY conv_id""",
     "latest_user_turns": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> '' GROUP BY conv_id",
     "group_projects": "SELECT r_name AS title, count(n_nationkey) AS projects FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
+    "document_units": r"""WITH blocks AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:\n\s*\n|\z)') AS b FROM documents WHERE text IS NOT NULL),
+placed AS (SELECT doc_id, unnest(b) AS t, unnest(list_transform(range(1, len(b) + 1), lambda i: coalesce(list_sum(list_transform(b[1:i - 1], lambda x: len(x))), 0))) AS base FROM blocks),
+cut AS (SELECT doc_id, base, list_filter(string_split(regexp_replace(t, '(?m)^([ \t]*(?:[-*+]|\d+[.)])\s)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '') AS p FROM placed WHERE regexp_replace(t, '\s', '', 'g') <> '' AND NOT regexp_matches(t, '(?s)\A\s*#{1,6}\s+\S[^\n]*\s*\z')),
+parts AS (SELECT doc_id, unnest(p) AS t, base + unnest(list_transform(range(1, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i - 1], lambda x: len(x))), 0))) AS base FROM cut),
+pieces AS (SELECT doc_id, t, base, unnest(range(0, len(t), 4000)) AS a FROM parts WHERE regexp_replace(t, '\s', '', 'g') <> '')
+SELECT doc_id, (base + a)::INTEGER AS start, (base + a + len(t[a + 1:a + 4000]))::INTEGER AS "end", CASE WHEN len(t) > 4000 THEN 'cut' WHEN regexp_matches(t, '\A[ \t]*(?:[-*+]|\d+[.)])\s') THEN 'list_item' ELSE 'paragraph' END AS boundary, sha256(t[a + 1:a + 4000]) AS sha256 FROM pieces""",
+    "errors_after_clicks": """SELECT e.event_id, e.user_id, c.event_id AS click FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) c ON e.user_id = c.user_id AND e.ts >= c.ts""",
+    "open_inbox": """SELECT d.doc_id AS id, n_chars AS mtime, CASE WHEN q IS NULL THEN 'new' WHEN q = 0 THEN 'ignored' ELSE 'seen' END AS status FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)
+WHERE (q IS NULL OR q <> 0) AND source <> 'src0' ORDER BY n_chars DESC, d.doc_id LIMIT 200""",
+    "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "compact_texts": """SELECT doc_id, len(s)::INTEGER AS n_chars, sha256(s) AS sha256, left(sha256(concat_ws(chr(10), source, lang, text)), 16) AS item_id
 FROM (SELECT *, CASE WHEN len(text) <= 600 THEN text ELSE left(text, 395) || chr(10) || '[...]' || chr(10) || right(text, 198) END AS s FROM documents)""",
 }

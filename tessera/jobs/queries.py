@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import privacy, text
-from tessera.operators import authority, candidates, provenance, search, sections
+from tessera.operators import authority, candidates, chunks, provenance, search, sections
 from tessera.sources.tables import context_items, markdown_files, operational_items, registry_objects, table
+from tessera.streaming import events
 
 #: The terms of the section queries.
 TERMS = ["that", "les", "und", "mit", "que", "dans", "como", "assistant"]
@@ -166,5 +167,29 @@ def compact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(short).alias("n_chars"), F.sha2(short.cast("binary"), 256).alias("sha256"), text.stable_id(F.col("source"), F.col("lang"), F.col("text")).alias("item_id"))
 
 
+def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.semantic_units(table(spark, sf_dir, "documents").select("doc_id", "text"), 4000)
+    return out.select("doc_id", "start", "end", "boundary", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def errors_after_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error with the user's latest click at or before it."""
+    rows = table(spark, sf_dir, "events")
+    clicks = rows.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return chunks.last_before(rows.where("event_type = 'error'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "click").drop("ts")
+
+
+def open_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest two hundred open documents: the limit is the inbox's own."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    state = labels.groupBy(F.col("doc_id").alias("id")).agg(F.when(F.min("quality") == 0, "ignored").otherwise("seen").alias("status"))
+    files = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("mtime"))
+    return chunks.inbox(files, state, docs.where("source = 'src0'").select(F.col("doc_id").alias("id")), ["ignored", "processed"])
+
+
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.hourly(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries"}

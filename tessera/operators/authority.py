@@ -38,10 +38,11 @@ def sound_partitions(items: DataFrame, valid: str) -> DataFrame:
 
 
 def summaries(turns: DataFrame, last: int = 20, cut: int = 260, total: int = 2400) -> DataFrame:
-    """(conv_id, summary, n_turns): a conversation's last messages, each cut, of which the end is kept."""
+    """(conv_id, summary, n_turns): a conversation's last messages without the blank ones, each cut, of which the end is kept."""
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    rows = turns.withColumn("_nth", F.row_number().over(newest)).withColumn("_line", F.concat_ws(": ", "role", F.left(F.coalesce("text", F.lit("")), F.lit(cut))))
-    out = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= last, F.struct("turn", "_line")))).alias("rows"))
+    rows = turns.withColumn("_nth", F.row_number().over(newest)).withColumn("_text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    rows = rows.withColumn("_line", F.when(F.col("_text") != "", F.concat(F.lit("- "), "role", F.lit(": "), F.left("_text", F.lit(cut)))))
+    out = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.when((F.col("_nth") <= last) & F.col("_line").isNotNull(), F.struct("turn", "_line")))).alias("rows"))
     joined = F.array_join(F.transform("rows", lambda r: r["_line"]), "\n")
     return out.select("conv_id", F.right(joined, F.lit(total)).alias("summary"), "n_turns")
 
