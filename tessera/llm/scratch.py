@@ -49,13 +49,6 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove a saved table that no later result reads."""
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if file.replace("file://", "file:").startswith(self.root.replace("file://", "file:")):
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 #: Rows of two long columns up to which a key set may be broadcast (about 16 MB).
 BROADCAST_KEYS = 1_000_000
