@@ -191,6 +191,37 @@ def test_lines_edges(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({s[i : i + 5] for i in range(len(s) - 4)} for s in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def typos(rng, line, low):
+    """The line with scattered changed letters, as many as leave a similarity of ``low`` or more."""
+    near = line
+    while True:
+        at = int(rng.integers(len(line)))
+        more = near[:at] + "q" + near[at + 1 :]
+        if line[at] != " " and jaccard(line, more) < low:
+            return near
+        near = more if line[at] != " " else near
+
+
+def random_line(rng, n_words, letters):
+    return " ".join("".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), letters)) for _ in range(n_words))
+
+
+def test_lines_are_linked_from_three_quarters_on(spark):
+    rng = np.random.default_rng(5)
+    lines = [random_line(rng, 12, 8) for _ in range(150)]
+    pairs = [(x, typos(rng, x, 0.75)) for x in lines]
+    pairs = [(x, y) for x, y in pairs if 0.75 <= jaccard(x, y) < 0.8]
+    assert len(pairs) > 30
+    rows = [(10 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    dropped = {r["doc_id"] for r in line_dedup.dedup_lines(frame(spark, *rows)).where("n_dropped = 1").collect()}
+    assert dropped == {10 * i + 1 for i in range(len(pairs))}
+
+
 # Packing
 
 
