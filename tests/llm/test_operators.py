@@ -222,6 +222,16 @@ def test_lines_are_linked_from_three_quarters_on(spark):
     assert dropped == {10 * i + 1 for i in range(len(pairs))}
 
 
+def test_long_lines_with_typos_near_the_threshold_are_linked(spark):
+    rng = np.random.default_rng(6)
+    lines = [random_line(rng, 20, 11) for _ in range(100)]
+    pairs = [(x, typos(rng, x, 0.75)) for x in lines]
+    assert all(0.75 <= jaccard(x, y) < 0.82 for x, y in pairs)
+    rows = [(10 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    dropped = {r["doc_id"] for r in line_dedup.dedup_lines(frame(spark, *rows)).where("n_dropped = 1").collect()}
+    assert dropped == {10 * i + 1 for i in range(len(pairs))}
+
+
 # Packing
 
 
