@@ -232,6 +232,13 @@ def test_long_lines_with_typos_near_the_threshold_are_linked(spark):
     assert dropped == {10 * i + 1 for i in range(len(pairs))}
 
 
+def test_short_lines_without_spaces_are_dropped(spark):
+    line, near = "今日はとても良い天気ですね", "我们使用饼干来改善服务"
+    df = frame(spark, f"{line}\n短い\n短い\n{near}", line, f"x\n{near}", "12 abc 今日")
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {0: [], 1: [0], 2: [1], 3: []}
+
+
 # Packing
 
 
