@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 BUCKETS, PRIOR, MOST_LANGUAGES = 1 << 15, 0.5, 512
 #: Labelled documents of each language that are counted, in expectation: a bounded sample by a hash of doc_id.
 SAMPLE = 3000
-#: Steps of expectation-maximisation, languages in a set at most, and the share from which a further one is tried.
-STEPS, MOST_MIXED, LEAST_SHARE = 12, 4, 0.02
-#: Score below which :func:`keep_identified` rejects.
-LEAST_SCORE = 0.35
+#: Steps of expectation-maximisation, languages up to which all sets are tried (larger ones while they gain), and the share from which a further one is tried.
+STEPS, ALWAYS_TRIED, LEAST_SHARE = 12, 4, 0.02
+#: Share of the selected set in the mixture of all languages below which :func:`keep_identified` rejects.
+LEAST_CERTAINTY = 0.35
 #: Characters that are worked on at once (a longer text alone).
 CHUNK = 1_000_000
 
@@ -121,14 +121,18 @@ def infer(texts: list[str], model: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         second = np.sort(share, axis=1)[:, -2] if model.shape[1] > 1 else np.zeros(len(which))
         some = np.flatnonzero(second >= LEAST_SHARE)
         if len(some):
-            pick = np.isin(doc, some)
-            w, n_some = words[pick], n[some]
-            d, b = np.repeat(np.arange(len(some)), n_some), np.concatenate([[0], np.cumsum(n_some)[:-1]])
-            for k in range(2, min(MOST_MIXED, model.shape[1]) + 1):
+            for k in range(2, model.shape[1] + 1):
+                pick = np.isin(doc, some)
+                w, n_some = words[pick], n[some]
+                d, b = np.repeat(np.arange(len(some)), n_some), np.concatenate([[0], np.cumsum(n_some)[:-1]])
                 found, score = _mix(w, d, b, STEPS, (rank[some] < k).astype(float))
                 score = score - (k - 1) / 2 * np.log(n_some)
                 better = score > best_score[some]
                 best[some[better]], best_score[some[better]] = found[better], score[better]
+                if k >= ALWAYS_TRIED:
+                    some = some[better]
+                if not len(some):
+                    break
         full[begin + which], chosen[begin + which], lettered[begin + which] = share, best, True
     return full, chosen, lettered
 
@@ -171,13 +175,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
     if there is nothing to fit on. The model is fitted on ``docs`` unless given.
     Other columns are ignored; an empty table gives an empty result.
     """
+    return _identified(docs, model).drop("certainty")
+
+
+def _identified(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+    """What :func:`identify` returns, and certainty: the selected set's share in the mixture of all languages."""
     langs, table = model or fit(docs)
     held = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS x languages floats
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            out = pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": "und", "score": 0.0})
+            out = pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": "und", "score": 0.0, "certainty": 0.0})
             names: list[list[str]] = [[] for _ in texts]
             shares: list[list[float]] = [[] for _ in texts]
             if langs and texts:
@@ -185,19 +194,20 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None)
                 top = chosen.argmax(1)
                 out["lang_pred"] = np.where(lettered, np.array(langs, object)[top], "und")
                 out["score"] = np.where(lettered, np.clip(full[np.arange(len(top)), top], 0, 1), 0.0)
+                out["certainty"] = np.where(lettered, np.clip((full * (chosen > 0)).sum(1), 0, 1), 0.0)
                 for i in np.flatnonzero(lettered):
                     order = [j for j in np.argsort(-chosen[i], kind="stable") if chosen[i, j] > 0]
                     names[i], shares[i] = [langs[j] for j in order], [float(chosen[i, j]) for j in order]
             yield out.assign(languages=names, shares=shares)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>")
+    return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double, certainty double, languages array<string>, shares array<double>")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and a score of at least ``LEAST_SCORE``; all columns as they are.
+    """The rows of ``docs`` with a language: not ``und``, and a selected set that has ``LEAST_CERTAINTY`` or more of the mixture; all columns as they are.
 
     A null doc_id can't be told from others and its rows stay.
     """
-    gone = identify(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = _identified(docs).where((F.col("lang_pred") == "und") | (F.col("certainty") < LEAST_CERTAINTY)).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

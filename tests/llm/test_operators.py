@@ -304,6 +304,31 @@ def test_language_edges_and_mixtures(spark, small):
     assert langid.keep_identified(small).columns == small.columns
 
 
+ALPHABETS = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+
+
+def invented(rng, alphabet, n_words=80):
+    return " ".join("".join(rng.choice(list(alphabet), 6)) for _ in range(n_words))
+
+
+def test_sets_of_five_languages_are_found():
+    rng = np.random.default_rng(1)
+    counts = np.full((langid.BUCKETS, len(ALPHABETS)), langid.PRIOR)
+    for i, alphabet in enumerate(ALPHABETS):
+        counts[:, i] += np.bincount(langid._grams([invented(rng, alphabet, 4000)])[0], minlength=langid.BUCKETS)
+    mixed = [" ".join(invented(rng, a) for a in ALPHABETS[:k]) for k in range(1, 7)]
+    _, chosen, _ = langid.infer(mixed, np.log(counts / counts.sum(0)).astype(np.float32))
+    assert (chosen > 0).sum(1).tolist() == [1, 2, 3, 4, 5, 6] and np.allclose(chosen[4, :5], 0.2, atol=0.01)
+
+
+def test_documents_evenly_in_three_languages_stay(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, invented(rng, ALPHABETS[i % 3]), "xyz"[i % 3]) for i in range(60)]
+    rows += [(60, " ".join(invented(rng, a) for a in ALPHABETS[:3]), None), (61, "12 !", None)]
+    kept = {r["doc_id"] for r in langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == set(range(61))
+
+
 # Quality
 
 
