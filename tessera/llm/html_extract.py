@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 CHARS, MOST = 100, 3
 #: Paragraphs of fewer characters give no points; share of the best score from which a sibling is kept; link share up to which prose is.
 LEAST, SIBLING, LINKED = 25, 0.2, 0.25
+#: Elements whose class or id has a listed word among others are hidden only while what is shown has this share of the page's points or characters.
+SHOWN = 0.1
 
 # Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,9 +40,9 @@ CLOSES = {name: frozenset(["p"]) for name in BLOCK - {"body", "html", "td", "th"
 #: Elements whose inside doesn't reach out for what it ends.
 SCOPE = frozenset("table ul ol dl div section article aside nav header footer form main body html blockquote figure td th button".split())
 #: Class and id words of what is not the article.
-_UNLIKELY = re.compile(
-    r"(?i)(^|[\s_-])(ads?|adverts?|advertisement|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|recommended|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor(ed)?|subscribe|toolbar|widget)s?($|[\s_-])"
-)
+_WORDS = r"(ads?|adverts?|advertisement|banner|breadcrumbs?|byline-share|comments?|comment-list|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pager|pagination|popup|promo|related|recommended|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor(ed)?|subscribe|toolbar|widget)s?"
+_UNLIKELY = re.compile(rf"(?i)(^|[\s_-]){_WORDS}($|[\s_-])")
+_ALONE = re.compile(rf"(?i)(^|\s){_WORDS}($|\s)")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|/([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -50,13 +52,13 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: its name, parent, and children (elements and pieces of text)."""
 
-    __slots__ = ("name", "parent", "parts", "points", "hidden", "chars", "linked", "commas")
+    __slots__ = ("name", "parent", "parts", "points", "hidden", "doubt", "own", "size", "chars", "linked", "commas")
 
-    def __init__(self, name: str, parent: Node | None, hidden: bool = False):
-        self.name, self.parent, self.hidden = name, parent, hidden
+    def __init__(self, name: str, parent: Node | None, hidden: bool = False, doubt: int = 0):
+        self.name, self.parent, self.hidden, self.doubt = name, parent, hidden, doubt
         self.parts: list[Node | str] = []
-        self.points = 0.0
-        self.chars = self.linked = self.commas = 0
+        self.points = self.own = 0.0
+        self.size = self.chars = self.linked = self.commas = 0
 
 
 def _hidden(name: str, attributes: str, inside_article: bool) -> bool:
@@ -68,11 +70,19 @@ def _hidden(name: str, attributes: str, inside_article: bool) -> bool:
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.lower() in _ROLES:
             return True
-        if key in ("class", "id") and _UNLIKELY.search(value) or key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _doubt(name: str, attributes: str) -> int:
+    """2 if a class or id is a word of what is not the article, 1 if it has one among others, 0 otherwise."""
+    if not attributes or name in ("html", "body", "article", "main"):
+        return 0
+    values = [a or b or c for key, a, b, c in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id")]
+    return 2 if any(map(_ALONE.search, values)) else 1 if any(map(_UNLIKELY.search, values)) else 0
+
+
 def parse(page: str) -> Node:
     """The page's tree. Unclosed and crossed elements end as browsers end them; an end of the page ends all."""
     root = node = Node("#root", None)
@@ -111,7 +121,7 @@ def parse(page: str) -> Node:
             while up is not None and not inside:
                 inside = up.name in ("article", "main")
                 up = up.parent
-            child = Node(name, node, _hidden(name, m[3], inside))
+            child = Node(name, node, _hidden(name, m[3], inside), _doubt(name, m[3]))
             node.parts.append(child)
             if name in RAW:
                 end = re.compile(f"(?i)</{re.escape(name)}(?=[\\s/>])").search(page, at)
@@ -132,11 +142,14 @@ def _measure(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.points = node.own = 0.0
+        node.chars = node.linked = node.commas = 0
         order.append(node)
         stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.hidden)
     for node in reversed(order):
         own = "".join(_text(p) for p in node.parts if isinstance(p, str))
-        node.chars += len(_SPACE.sub(" ", own).strip())
+        node.size = len(_SPACE.sub(" ", own).strip())
+        node.chars += node.size
         node.commas += own.count(",") + own.count("，") + own.count("、")
         if node.name == "a":
             node.linked = node.chars
@@ -150,7 +163,7 @@ def _measure(root: Node) -> list[Node]:
         plain = node.name in PARAGRAPH and not any(isinstance(p, Node) and p.name in PARAGRAPH and not p.hidden for p in node.parts)
         if not plain or node.chars < LEAST:
             continue
-        points = 1 + node.commas + min(node.chars // CHARS, MOST)
+        points = node.own = 1 + node.commas + min(node.chars // CHARS, MOST)
         up, level = node.parent, 1
         while up is not None:
             up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * level)
@@ -158,6 +171,39 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _hide_doubted(root: Node) -> list[Node]:
+    """Hide elements by their class words, but not those that hold nearly all of the page's points; what :func:`_measure` gives then.
+
+    The one that shows the most is opened first, one whose class is such a word alone only if nothing else is shown.
+    """
+    order = _measure(root)
+    if not any(node.doubt for node in order):
+        return order
+    closed = {id(node) for node in order if node.doubt}
+    total = sum(node.own for node in order)
+    while total:
+        # Points by the outermost closed element that they are in, without those of further ones inside.
+        shown, chars, outer, inside = 0.0, 0, {}, {}
+        for node in order:
+            above = outer[id(node.parent)] if node.parent is not None else ()
+            outer[id(node)] = above = (*above, node) if id(node) in closed and len(above) < 2 else above
+            if not above:
+                shown += node.own
+                chars += node.size
+            elif len(above) == 1:
+                inside[id(above[0])] = inside.get(id(above[0]), 0.0) + node.own
+        if shown >= SHOWN * total or chars >= SHOWN * root.chars:
+            break
+        first = {id(above[0]): above[0] for above in outer.values() if above}
+        some = [node for node in first.values() if node.doubt == 1] or ([] if chars else list(first.values()))
+        if not some:
+            break
+        closed.remove(id(max(some, key=lambda node: inside.get(id(node), 0.0))))
+    for node in order:
+        node.hidden = node.hidden or id(node) in closed
+    return _measure(root)
+
+
 def _score(node: Node) -> float:
     return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
 
@@ -192,7 +238,7 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    order = _measure(root)
+    order = _hide_doubted(root)
     holders = [n for n in order if n.points > 0 and n.name != "#root"] or [n for n in order if n.points > 0]
     best = max(holders, key=_score, default=None)
     if best is None or _score(best) <= 0:
@@ -204,8 +250,12 @@ def extract(page: str | None) -> str:
         up = up.parent
     if up is not None and not up.hidden:
         best = up
-    if best.name in ("article", "main", "body", "html", "#root") or best.parent is None:
+    if best.name in ("main", "body", "html", "#root") or best.parent is None:
         kept = [best]
+    elif best.name == "article":
+        # A text may be in several articles side by side.
+        beside = [part for part in best.parent.parts if isinstance(part, Node) and part.name == "article" and not part.hidden]
+        kept = [part for part in beside if part is best or _score(part) >= SIBLING * _score(best)]
     else:
         kept = []
         for part in best.parent.parts:

@@ -381,6 +381,22 @@ def test_main_text():
     assert html_extract.extract("<article><h1>A</h1>" + "<p>" * 3000 + "deep text, here") == "A\ndeep text, here"
 
 
+PROSE = ["First paragraph, which is long enough, indeed, to be prose.", "Second one, also fine, and long enough to be prose."]
+
+
+@pytest.mark.parametrize("wrapper", ["<div id='content' class='has-sidebar'>", "<div class=comments-open>", "<div class='social-post'>", "<section class='with-footer'>", "<div class=widget>"])
+def test_wrappers_with_listed_words_hide_nothing(wrapper):
+    comments = "<div class=comments>" + "<p>Nice post, I like it, so much, really, really so much, so much</p>" * 9 + "</div>"
+    page = f"<body>{wrapper}<article><p>{PROSE[0]}<p>{PROSE[1]}</article>{comments}</div><div class=ad>Buy, buy, buy this now, or never</div></body>"
+    assert html_extract.extract(page) == "\n".join(PROSE)
+    assert html_extract.extract(page.replace("article>", "div>")) == "\n".join(PROSE)
+
+
+def test_sibling_articles_stay():
+    page = f"<body><div><article>{f'<p>{PROSE[0]}' * 3}</article><article><p>{PROSE[1]}</article><article class=card><a href=/>Another text, elsewhere, to read</a></article></div>"
+    assert html_extract.extract(page) == "\n".join([PROSE[0]] * 3 + PROSE[1:])
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, None, None, "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = html_extract.main_text(df).collect()
