@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,25 +39,28 @@ def versions(objects: DataFrame, key: list[str]) -> DataFrame:
     })
 
 
-def lineage(spark: SparkSession, objects: DataFrame, depth: int = 20) -> DataFrame:
+def lineage(spark: SparkSession, objects: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, root_id, depth, path): the way from each object along its first parent.
 
     objects: (id, parent_id); of several rows with one id the smallest parent
     counts. A missing parent ends the way, and so does
-    ``depth``, which a cycle would reach. The way is walked by joins, one for
-    each level that any object still has.
+    ``depth``, if given; without it a cycle is an error. The way is walked by
+    joins, one for each level that any object still has.
     """
     edges = objects.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
     out = edges.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
     up = edges.where("parent_id is not null").withColumnsRenamed({"id": "_at", "parent_id": "_up"})
     here = edges.select(F.col("id").alias("_there"))
     up = up.join(here, F.col("_up") == F.col("_there"), "left_semi")
-    for level in range(depth):
+    for level in count() if depth is None else range(depth):
         step = out.join(up, F.col("root_id") == F.col("_at"), "left")
         moved = F.col("_up").isNotNull() & (F.col("depth") == level)
         out = step.select("id", F.when(moved, F.col("_up")).otherwise(F.col("root_id")).alias("root_id"), F.when(moved, level + 1).otherwise(F.col("depth")).alias("depth"), F.when(moved, F.array_append("path", F.col("_up"))).otherwise(F.col("path")).alias("path"))
-        if out.where(F.col("depth") == level + 1).isEmpty():
+        found = out.where(F.col("depth") == level + 1)
+        if found.isEmpty():
             break
+        if depth is None and not found.where(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():
+            raise ValueError("an object is among its own ancestors")
         out = out.checkpoint() if level % 4 == 3 and spark.sparkContext.getConf().get("spark.checkpoint.dir") else out
     return out
 

@@ -121,6 +121,14 @@ def test_lineage_ends_at_missing_parents_and_cycles(spark):
     assert got["c"] == ("a", 2) and got["d"] == ("d", 0) and got["e"][1] == 5
 
 
+def test_lineage_has_no_bound_but_cycles_fail(spark):
+    df = spark.createDataFrame([(f"{i:02}", f"{i - 1:02}" if i else None) for i in range(23)], "id string, parent_id string")
+    got = {r["id"]: (r["root_id"], r["depth"], len(r["path"])) for r in provenance.lineage(spark, df).collect()}
+    assert got["22"] == ("00", 22, 23)
+    with pytest.raises(ValueError):
+        provenance.lineage(spark, spark.createDataFrame([("a", "b"), ("b", "a")], df.schema))
+
+
 def test_intake_and_inserts(spark):
     new = spark.createDataFrame([("w", "2", "x", 2), ("w", "1", "x", 1), ("v", "3", "x", 3), ("w", "4", None, 4), ("w", "5", "old", 5)], "workspace_id string, id string, content string, seq int")
     known = spark.createDataFrame([("w", "old", "9")], "workspace_id string, c string, object_id string").select("workspace_id", F.sha2(F.col("c").cast("binary"), 256).alias("checksum"), "object_id")
