@@ -2,28 +2,20 @@
 
 Neither step makes all pairs of a group. In each bucket the smallest member is
 the pivot, and first only (pivot, member) pairs are verified; a tight group is
-then one component and done. In other buckets so is the member that is most
-like the first pivot. Members outside the bucket's largest component become
-pivots in further rounds, eight times as many in each. A further pair is
-verified only if its sides are in different components so far, and if it can be
-near at all: the Jaccard distance is a metric, so the distances of both sides to
-the second pivot may differ by the threshold's distance at most. No component is
-split by what this leaves out.
+then one component and done. In buckets that stay open the member most like the
+pivot is compared with all others, too. What is then outside of a bucket's
+largest component meets the bucket's other components in blocks of bounded size.
+Wherever members carry bits, pairs whose bits rule out a link are never verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import Scratch, only_keys
-
-
-#: How many times more pivots a bucket gets in each further round.
-FASTER = 8
-
+from tessera.llm.scratch import Scratch, bounded
 
 #: Pairs that a task verifies.
 PAIRS = 4_000
@@ -31,99 +23,80 @@ PAIRS = 4_000
 #: Open members and members in a block that is compared in one go.
 OPEN_BLOCK, BLOCK = 128, 1024
 
+#: A block's rows may be on the open side, on the other, or on both.
+OTHER, OPEN = 2, 1
+
+
+def _in_buckets(members: DataFrame, scratch: Scratch, passes: int) -> DataFrame:
+    """(bucket, id, bits, n, pivot struct<id, bits>) for the members that share a bucket; one shuffle for each pass."""
+    out = None
+    for p in range(passes):
+        placed = members.where(F.pmod("bucket", F.lit(passes)) == p).repartition("bucket")
+        # The aggregate uses all columns, so that it reads the same shuffle as the join's other side.
+        groups = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("pivot")).where("n > 1")
+        found = scratch.save(placed.join(groups, "bucket"), "members")
+        out = out.union(found) if out else found
+    return out
+
 
-def _in_blocks(placed: DataFrame, counts: DataFrame, scratch: Scratch, n: int) -> DataFrame:
-    """(main, block, salt, open, id, part): each open member meets each member of its buckets' largest part in one block.
+def _in_blocks(placed: DataFrame, scratch: Scratch, whole: int, n: int) -> DataFrame:
+    """(key, role, id, bits, part): each open member meets each member of its buckets in one block.
 
-    A block has about ``OPEN_BLOCK`` open members and ``BLOCK`` members, however
-    large the group is.
+    Buckets of ``whole`` members at most are blocks as they are. Larger ones are
+    joined by their main part and cut, so that a block has about ``OPEN_BLOCK``
+    open members and ``BLOCK`` members, however large the group is.
     """
-    group = placed.join(counts.select("bucket", "main"), "bucket").select("main", "id", "part").distinct()
-    group = scratch.save(group, "groups", n)
-    sizes = group.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("part") != F.col("main")).alias("n_open"))
-    sizes = sizes.select("main", F.expr(f"1 + n div {BLOCK}").alias("salts"), F.expr(f"1 + n_open div {OPEN_BLOCK}").alias("blocks"))
-    group = scratch.save(group.join(scratch.save(sizes, "sizes", n), "main"), "sized", n)
-    all_ = group.select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "salts").alias("salt"), F.lit(False).alias("open"), "id", "part")
-    open_ = group.where("part <> main").select("main", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("open"), "id", "part")
-    return all_.union(open_)
+    is_open = (F.col("part") != F.col("main")).cast("int")
+    small = placed.where(F.col("n") <= whole).select(F.col("bucket").alias("key"), (OTHER + OPEN * is_open).alias("role"), "id", "bits", "part")
+    group = scratch.save(placed.where(F.col("n") > whole).select("main", "id", "bits", "part").distinct(), "groups", n)
+    sizes = group.groupBy("main").agg(F.count("*").alias("n"), F.sum(is_open).alias("n_open")).where("n_open > 0")
+    sizes = scratch.save(sizes.select("main", F.expr(f"1 + n div {BLOCK}").alias("salts"), F.expr(f"1 + n_open div {OPEN_BLOCK}").alias("blocks")), "sizes", n)
+    group = group.join(bounded(sizes), "main")
+    key = F.xxhash64("main", "block", "salt").alias("key")
+    all_ = group.select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "salts").alias("salt"), "id", "bits", "part")
+    open_ = group.where(is_open == 1).select("main", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "id", "bits", "part")
+    return small.union(all_.select(key, F.lit(OTHER), "id", "bits", "part")).union(open_.select(key, F.lit(OPEN), "id", "bits", "part"))
 
 
 def star_links(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch,
-    compare: Callable[[DataFrame], DataFrame] | None = None, prepare: Callable[[DataFrame], None] | None = None,
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], scratch: Scratch,
+    possible: Callable[[Column, Column], Column] | None = None, passes: int = 1, whole: int = 0,
 ) -> DataFrame:
-    """Links (a, b) between ids that share a bucket and are at least ``threshold`` similar, enough to span their components.
-
-    members: (bucket, id), each pair once. verify: from distinct pairs (a, b) to
-    (a, b, linked boolean, low double, high double), the bounds of their
-    similarity. compare, if given, takes blocks (main, block, salt, open, id,
-    part) and returns all links between an open and another member of a block
-    that are of different parts; it then stands in for the further rounds.
-    prepare is given the members (bucket, id) that share a bucket. Null
-    buckets or ids link nothing. Empty input: no links.
+    """Links (a, b) between ids that share a bucket, enough to span the components that all links span.
+
+    members: (bucket long, id long, bits long), each pair once. verify: from
+    distinct pairs (a, b) to (a, b, linked boolean, alike double). compare: from
+    blocks (key, role, id, bits, part) and the pairs (a, b) seen before to all
+    links (a, b) between an ``OPEN`` and an ``OTHER`` member of a block that are
+    of different parts. possible: false for bits of two members that can't be
+    linked. Null buckets or ids link nothing. Empty input: no links.
     """
-    members = members.where("bucket is not null and id is not null")
-    # Most buckets have one member; only the bucket's number is shuffled to find the others.
-    shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    members = scratch.save(only_keys(members, shared, ["bucket"]), "members")
-    if prepare:
-        prepare(members)
-    n = members.count()
-    groups = (
-        members.groupBy("bucket")
-        .agg(F.min("id").alias("pivot"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("digest"))
-        .where("n > 1")
-        # Bands of a tight group give the same members again and again: one such bucket is enough.
-        .groupBy("pivot", "n", "digest")
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "pivot")
-    )
-    groups = scratch.save(groups, "pivots", n)
-    stars = scratch.save(members.join(groups, "bucket").where("id <> pivot"), "stars", n)
+    near = possible or (lambda x, y: F.lit(True))
+    members = _in_buckets(members.where("bucket is not null and id is not null"), scratch, passes)
+    stars = members.where(F.col("id") != F.col("pivot.id")).where(near(F.col("bits"), F.col("pivot.bits")))
+    stars = scratch.save(stars.select("bucket", F.col("pivot.id").alias("pivot"), "id", "bits"), "stars")
     n = stars.count()
     pairs = scratch.save(stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs", n)
-    seen = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count(), PAIRS)
+    seen = scratch.save(verify(pairs).select("a", "b", "linked", "alike"), "verified", pairs.count(), PAIRS)
     links = seen.where("linked").select("a", "b")
     # A pivot may be an outlier of its group. Buckets that it left open get a second one: the member most like the first.
-    known = scratch.save(stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"]), "known", n)
-    hubs = known.groupBy("bucket").agg(F.min("linked").alias("settled"), F.max_by("id", "low").alias("hub")).where("not settled").select("bucket", "hub")
-    hubs = scratch.save(hubs, "hubs", n)
-    members = scratch.save(known.join(hubs, "bucket").where("id <> hub").select("bucket", "hub", "id"), "members", n)
-    n = members.count()
-    pairs = members.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-    pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
-    more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count(), PAIRS)
+    known = stars.join(seen.withColumnsRenamed({"a": "pivot", "b": "id"}), ["pivot", "id"])
+    hubs = known.groupBy("bucket").agg(F.min("linked").alias("settled"), F.max_by(F.struct("id", "bits"), "alike").alias("hub")).where("not settled")
+    hubs = scratch.save(hubs.select("bucket", "hub"), "hubs", n)
+    others = members.join(bounded(hubs), "bucket").where("id <> hub.id and id <> pivot.id").where(near(F.col("bits"), F.col("hub.bits")))
+    pairs = others.select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
+    pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = scratch.save(verify(pairs).select("a", "b", "linked", "alike"), "verified", pairs.count(), PAIRS)
     seen = seen.unionByName(more)
     links = links.unionByName(more.where("linked").select("a", "b"))
-    # From here on a bucket has all but these two, with the bounds of their similarity to the second.
-    members = members.withColumns({"a": F.least("hub", "id"), "b": F.greatest("hub", "id")}).join(seen, ["a", "b"])
-    members = scratch.save(members.select("bucket", "id", "low", "high"), "members", n)
-    width = FASTER
-    while n := members.count():
-        tree = components(links, scratch)
-        placed = members.join(tree, "id", "left").select("bucket", "id", "low", "high", F.coalesce("component", "id").alias("part"))
-        placed = scratch.save(placed, "placed", n)
-        # Only what is outside of a bucket's largest part is open.
-        parts = placed.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        counts = parts.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("n_open")).where("n_open > 0")
-        counts = scratch.save(counts, "counts", n)
-        if compare:
-            return links.unionByName(scratch.save(compare(_in_blocks(placed, counts, scratch, n)), "compared"))
-        chosen = (F.col("part") != F.col("main")) & (F.pmod(F.xxhash64("id", F.lit(width)), F.col("n_open")) < width)
-        placed = scratch.save(placed.join(counts, "bucket").withColumn("chosen", chosen).drop("n_open", "main"), "open", n)
-        now = placed.where("chosen").select("bucket", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("high").alias("p_high"))
-        now = scratch.save(now, "chosen", n)
-        apart = (F.col("part") != F.col("p_part")) & (F.col("low") <= F.col("p_high") + (1 - threshold)) & ~(F.col("chosen") & (F.col("id") < F.col("p")))
-        pairs = placed.join(now, "bucket").where(apart).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = scratch.save(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs", n)
-        if pairs.count():
-            more = scratch.save(verify(pairs).select("a", "b", "linked", "low", "high"), "verified", pairs.count(), PAIRS)
-            seen = seen.unionByName(more)
-            links = links.unionByName(more.where("linked").select("a", "b"))
-        # Those chosen are now compared with all that they could be linked to.
-        members = scratch.save(placed.where("not chosen").select("bucket", "id", "low", "high"), "members", n)
-        width *= FASTER
-    return links
+    tree = bounded(components(links, scratch))
+    # A bucket's main part is the component with most members; without any, that of the pivot. What is outside of it is open.
+    placed = members.join(tree, "id", "left").select("bucket", "id", "bits", "n", "component", F.coalesce("component", "id").alias("part"), F.col("pivot.id").alias("pivot"))
+    parts = placed.where("component is not null").groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mains = scratch.save(parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main")), "mains")
+    placed = placed.join(bounded(mains), "bucket", "left").withColumn("main", F.coalesce("main", "pivot"))
+    blocks = _in_blocks(placed, scratch, whole, n)
+    return links.unionByName(scratch.save(compare(blocks, seen.select("a", "b")), "compared"))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:

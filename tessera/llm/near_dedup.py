@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.clusters import BLOCK, components, star_links
-from tessera.llm.scratch import Scratch, only_keys
+from tessera.llm.clusters import OPEN, OTHER, components, star_links
+from tessera.llm.scratch import Scratch, bounded, only_keys
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -159,27 +159,47 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "linked": [r[0] for r in rows], "exact": [r[1] for r in rows]})
 
 
-def _compare(block: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) between the open and the other members of each of some blocks, by counting common items."""
-    out = []
-    for _, one in block.groupby(["main", "block", "salt"], sort=False):
+#: Items of the sets on one side of a block, and about as many of all sets in a task's group of blocks: 16 MB.
+POOL = 2_000_000
+
+
+def _compare(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) between the open and the other sets of each of some blocks, by counting common items."""
+    out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+    for _, one in rows.groupby("key", sort=False):
         items = [np.frombuffer(x, np.uint64) for x in one["items"]]
         size = np.array([len(x) for x in items])
-        ids, parts, open_ = one["id"].to_numpy(), one["part"].to_numpy(), np.flatnonzero(one["open"].to_numpy())
+        ids, parts, role = (one[c].to_numpy() for c in ("id", "part", "role"))
+        open_ = np.flatnonzero(role & OPEN)
         if not len(open_):
             continue
         pool = np.concatenate([items[i] for i in open_])
         owner = np.repeat(np.arange(len(open_)), size[open_])
         order = np.argsort(pool, kind="stable")
         pool, owner = pool[order], owner[order]
-        for j in np.flatnonzero(~one["open"].to_numpy()):
+        for j in np.flatnonzero(role & OTHER):
             low, high = np.searchsorted(pool, items[j], "left"), np.searchsorted(pool, items[j], "right")
             n = high - low
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             both = np.bincount(owner[at], minlength=len(open_))
-            found = (100 * both >= 75 * (size[open_] + size[j] - both)) & (parts[open_] != parts[j])
-            out += [(min(a, ids[j]), max(a, ids[j])) for a in ids[open_[found]]]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64").drop_duplicates()
+            found = open_[(100 * both >= 75 * (size[open_] + size[j] - both)) & (parts[open_] != parts[j])]
+            out.append(pd.DataFrame({"a": np.minimum(ids[found], ids[j]), "b": np.maximum(ids[found], ids[j])}))
+    return pd.concat(out).astype("int64").drop_duplicates()
+
+
+def _by_size(blocks: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``blocks`` (key, role, id, part) with n_shingles, cut further so that neither side of one holds many more than ``POOL`` items."""
+    sized = scratch.save(blocks.join(bounded(sizes), "id").select("key", "role", "id", "part", "n_shingles"), "sized")
+    cuts = [F.ceil(F.sum(F.when(F.col("role").bitwiseAND(F.lit(r)) > 0, F.col("n_shingles"))) / POOL).cast("int").alias(c) for r, c in ((OPEN, "opens"), (OTHER, "others"))]
+    heavy = scratch.save(sized.groupBy("key").agg(*cuts).where("opens > 1 or others > 1"), "heavy")
+    whole = sized.join(bounded(heavy), "key", "left_anti").select("key", "role", "id", "part", "n_shingles")
+    cut = sized.join(bounded(heavy), "key")
+    sides = [
+        cut.where(F.col("role").bitwiseAND(F.lit(r)) > 0).withColumn(mine, F.pmod(F.xxhash64("id"), mine)).withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)))
+        .select(F.xxhash64("key", F.col("opens").cast("int"), F.col("others").cast("int")).alias("key"), F.lit(r).alias("role"), "id", "part", "n_shingles")
+        for r, mine, theirs in ((OPEN, "opens", "others"), (OTHER, "others", "opens"))
+    ]
+    return whole.union(sides[0]).union(sides[1])
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -202,7 +222,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     classes = scratch.save(known.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     firsts = known.join(classes.select("set_digest", F.col("id").alias("doc_id")), ["set_digest", "doc_id"]).dropDuplicates(["doc_id", "set_digest"])
     firsts = scratch.save(firsts.select("doc_id", "n_shingles", "sketch"), "firsts")
-    members = firsts.mapInPandas(_bands, "bucket long, id long")
+    members = firsts.mapInPandas(_bands, "bucket long, id long").withColumn("bits", F.lit(0).cast("long"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = firsts.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
@@ -216,19 +236,19 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         both = near.select("a", "b").join(items.toDF("a", "items_a"), "a").join(items.toDF("b", "items_b"), "b")
         sure = both.mapInPandas(_confirm, "a long, b long, linked boolean, exact double")
         far = guessed.where(F.col("guess") < THRESHOLD - MARGIN)
-        return sure.select("a", "b", "linked", F.col("exact").alias("low"), F.col("exact").alias("high")).union(
-            far.select("a", "b", F.lit(False), (F.col("guess") - MARGIN).alias("low"), (F.col("guess") + MARGIN).alias("high"))
+        return sure.select("a", "b", "linked", F.col("exact").alias("alike")).union(
+            far.select("a", "b", F.lit(False), F.col("guess"))
         )
 
-    def compare(blocks: DataFrame) -> DataFrame:
-        blocks = scratch.save(blocks, "blocks")
+    def compare(blocks: DataFrame, seen: DataFrame) -> DataFrame:
+        blocks = scratch.save(_by_size(blocks, firsts.select(F.col("doc_id").alias("id"), "n_shingles"), scratch), "blocks")
         ids = scratch.save(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted")
         items = scratch.save(only_keys(docs, ids, ["doc_id"]).mapInPandas(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets", ids.count(), 5_000)
-        groups = 1 + blocks.count() // (2 * BLOCK)
-        full = blocks.join(items.withColumnRenamed("doc_id", "id"), "id").withColumn("g", F.pmod(F.xxhash64("main", "block", "salt"), F.lit(groups)))
+        groups = 1 + (blocks.agg(F.sum("n_shingles")).first()[0] or 0) // POOL
+        full = blocks.join(items.withColumnRenamed("doc_id", "id"), "id").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
         return full.groupBy("g").applyInPandas(lambda rows: _compare(rows), "a long, b long")
 
-    links = star_links(members, verify, THRESHOLD, scratch, compare)
+    links = star_links(members, verify, compare, scratch)
     # The same doc_id on different texts joins their classes too.
     repeats = known.select("doc_id", "set_digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     repeats = known.join(repeats, "doc_id").join(classes.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -245,5 +265,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows with one doc_id all stay or go together; rows with a null doc_id stay.
     """
-    found = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    # One struct holds all columns of docs, so that no name can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(bounded(found), F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")

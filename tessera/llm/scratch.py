@@ -25,12 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one operator call, each in a folder of its own."""
+    """Tables of one operator call, each in a folder of its own.
+
+    A table that nothing reads any more is removed by ``drop``; the others stay
+    until the folder is cleared, as the returned DataFrames read them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         """A new folder below this call's."""
@@ -47,18 +52,31 @@ class Scratch:
         if rows is not None:
             df = df.coalesce(1 + rows // per_task)
         df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(saved)] = (saved, path)
+        return saved
 
+    def drop(self, *saved: DataFrame) -> None:
+        """Remove tables that :meth:`save` returned."""
+        for df in saved:
+            _, path = self.paths.pop(id(df))
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
-#: Rows of two long columns up to which a key set may be broadcast (about 16 MB).
+
+#: Rows of two long columns up to which a table may be broadcast (about 16 MB of keys).
 BROADCAST_KEYS = 1_000_000
 
 
-def only_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BROADCAST_KEYS) -> DataFrame:
-    """Rows of ``df`` whose ``on`` is among ``keys`` (distinct, saved before, narrow).
+def bounded(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` (saved before, narrow) for the smaller side of a join.
 
-    The keys are counted first: within the bound they are broadcast, so that
-    ``df`` isn't shuffled; beyond it both sides are shuffled.
+    Its rows are counted first: within the bound it is broadcast, so that the
+    larger side isn't shuffled; beyond it both sides are.
     """
-    few = keys.limit(bound + 1).count() <= bound
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df.hint("merge")
+
+
+def only_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BROADCAST_KEYS) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is among ``keys`` (distinct, saved before, narrow)."""
+    return df.join(bounded(keys, bound), on, "left_semi")
