@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, without
 
 WINDOW, SHINGLE = 10, 3
 #: Windows (and, with their shingles, eight times as many tokens) up to which the benchmark's side is broadcast: some 60 MB.
@@ -135,5 +135,5 @@ def contamination(docs: DataFrame, items: DataFrame, scratch: Scratch | None = N
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns as they are; a null doc_id stays only if its texts are all clean."""
-    gone = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = contamination(docs, items).where("contaminated").select("doc_id").distinct()
+    return without(docs, Scratch(docs.sparkSession, "clean").save(gone, "gone"))

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 CHARS, MOST = 100, 3
 #: Paragraphs of fewer characters give no points; share of the best score from which a sibling is kept; link share up to which prose is.
 LEAST, SIBLING, LINKED = 25, 0.2, 0.25
+#: Link share from which a list or container inside of the main text is left out.
+PRUNED = 0.7
 #: Elements whose class or id has a listed word among others are hidden only while what is shown has this share of the page's points or characters.
 SHOWN = 0.1
 
@@ -29,6 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 DROPPED = RAW | frozenset("head nav footer aside form button select option svg canvas object audio video dialog menu fieldset".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+LISTS = frozenset("ul ol dl div section table".split())
 PARAGRAPH = frozenset("p pre td blockquote div section article li dd".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag in the first column ends open elements of the second.
@@ -52,12 +55,14 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element: its name, parent, and children (elements and pieces of text)."""
 
-    __slots__ = ("name", "parent", "parts", "points", "hidden", "doubt", "own", "size", "chars", "linked", "commas")
+    __slots__ = ("name", "parent", "parts", "points", "hidden", "doubt", "own", "size", "chars", "linked", "commas", "inside")
 
     def __init__(self, name: str, parent: Node | None, hidden: bool = False, doubt: int = 0):
         self.name, self.parent, self.hidden, self.doubt = name, parent, hidden, doubt
         self.parts: list[Node | str] = []
         self.points = self.own = 0.0
+        #: Whether it is an article (or main element) or in one.
+        self.inside: bool = name in ("article", "main") or parent is not None and parent.inside
         self.size = self.chars = self.linked = self.commas = 0
 
 
@@ -116,19 +121,14 @@ def parse(page: str) -> Node:
                 else:
                     if up.name in ended:
                         node = up.parent
-            inside = False
-            up = node
-            while up is not None and not inside:
-                inside = up.name in ("article", "main")
-                up = up.parent
-            child = Node(name, node, _hidden(name, m[3], inside), _doubt(name, m[3]))
+            child = Node(name, node, _hidden(name, m[3], node.inside), _doubt(name, m[3]))
             node.parts.append(child)
             if name in RAW:
                 end = re.compile(f"(?i)</{re.escape(name)}(?=[\\s/>])").search(page, at)
                 at = end.start() if end else len(page)
                 close = page.find(">", at)
                 at = close + 1 if end and close >= 0 else len(page)
-            elif name not in VOID and not m[3].endswith("/"):
+            elif name not in VOID:  # a slash at the end of a tag says nothing in HTML
                 node = child
     return root
 
@@ -161,13 +161,12 @@ def _measure(root: Node) -> list[Node]:
                 node.parent.commas += node.commas
     for node in order:
         plain = node.name in PARAGRAPH and not any(isinstance(p, Node) and p.name in PARAGRAPH and not p.hidden for p in node.parts)
-        if not plain or node.chars < LEAST:
-            continue
-        points = node.own = 1 + node.commas + min(node.chars // CHARS, MOST)
-        up, level = node.parent, 1
-        while up is not None:
-            up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * level)
-            up, level = up.parent, level + 1
+        if plain and node.chars >= LEAST:
+            node.own = 1.0 + node.commas + min(node.chars // CHARS, MOST)
+    # All of a paragraph's points go to its parent and half of what an element has to the next one up, in one pass.
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.points += node.own + node.points / 2
     return order
 
 
@@ -208,6 +207,11 @@ def _score(node: Node) -> float:
     return node.points * (1 - node.linked / node.chars) if node.chars else 0.0
 
 
+def _mostly_links(node: Node) -> bool:
+    """Whether an element inside the main text is a list of links to elsewhere."""
+    return node.name in LISTS and node.linked > PRUNED * node.chars
+
+
 def _blocks(node: Node) -> Iterator[str]:
     """The texts of the blocks below an element, in page order."""
     pieces: list[str] = []
@@ -215,20 +219,20 @@ def _blocks(node: Node) -> Iterator[str]:
     while stack:
         part = stack.pop()
         if part is None:
-            text = _SPACE.sub(" ", _text("".join(pieces))).strip()
+            text = _SPACE.sub(" ", "".join(pieces)).strip()
             pieces.clear()
             if text:
                 yield text
         elif isinstance(part, str):
-            pieces.append(part)
-        elif not part.hidden:
+            pieces.append(_text(part))
+        elif not part.hidden and not (part is not node and _mostly_links(part)):
             if part.name == "br":
                 pieces.append(" ")
             elif part.name in BLOCK or part is node:
                 stack += [None, *reversed(part.parts), None]
             else:
                 stack.extend(reversed(part.parts))
-    text = _SPACE.sub(" ", _text("".join(pieces))).strip()
+    text = _SPACE.sub(" ", "".join(pieces)).strip()
     if text:
         yield text
 
@@ -244,18 +248,8 @@ def extract(page: str | None) -> str:
     if best is None or _score(best) <= 0:
         # No paragraphs: all that is shown, unless it is mostly links.
         return "\n".join(_blocks(root)) if root.chars > 2 * root.linked else ""
-    # An article that holds the best element says itself where the main text is.
-    up = best
-    while up is not None and up.name not in ("article", "main"):
-        up = up.parent
-    if up is not None and not up.hidden:
-        best = up
-    if best.name in ("main", "body", "html", "#root") or best.parent is None:
+    if best.parent is None:
         kept = [best]
-    elif best.name == "article":
-        # A text may be in several articles side by side.
-        beside = [part for part in best.parent.parts if isinstance(part, Node) and part.name == "article" and not part.hidden]
-        kept = [part for part in beside if part is best or _score(part) >= SIBLING * _score(best)]
     else:
         kept = []
         for part in best.parent.parts:

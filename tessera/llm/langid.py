@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import Scratch, without
+
 #: Trigram buckets; what each gets before counting; most languages that a model may have.
 BUCKETS, PRIOR, MOST_LANGUAGES = 1 << 15, 0.5, 512
 #: Labelled documents of each language that are counted, in expectation: a bounded sample by a hash of doc_id.
@@ -209,5 +211,5 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     A null doc_id can't be told from others and its rows stay.
     """
-    gone = _identified(docs).where((F.col("lang_pred") == "und") | (F.col("certainty") < LEAST_CERTAINTY)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = _identified(docs).where((F.col("lang_pred") == "und") | (F.col("certainty") < LEAST_CERTAINTY)).where("doc_id is not null").select("doc_id").distinct()
+    return without(docs, Scratch(docs.sparkSession, "language").save(gone, "gone"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.clusters import OPEN, OTHER, components, star_links
-from tessera.llm.scratch import Scratch, bounded, only_keys
+from tessera.llm.scratch import Scratch, bounded, only_keys, without
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -267,6 +267,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = scratch.save(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    # One struct holds all columns of docs, so that no name can clash.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return rows.join(bounded(found), F.col("row.doc_id") == F.col("doc_id"), "left_anti").select("row.*")
+    return without(docs, found)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import Scratch
+from tessera.llm.scratch import Scratch, bounded
 from tessera.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     before = scratch.save(counts.select("length", "part", F.coalesce(before, F.lit(0)).alias("before")), "before")
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = rest.withColumn("nth", nth).join(before, ["length", "part"])
+    ranked = rest.withColumn("nth", nth).join(bounded(before), ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     out = full.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     if histogram:

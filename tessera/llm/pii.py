@@ -36,6 +36,8 @@ LONGEST, SURE = 32, 0.9
 #: Characters before a segment that are searched for cue words.
 BEFORE = 24
 
+# A match begins where its run of digits does, as a match takes the last run whole; so each run is tried once.
+_IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
 _HOT = re.compile(r"[0-9@]+|[\[(](?:at|AT)[\])]| at (?=[A-Za-z0-9-]+ dot )")
@@ -80,7 +82,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             found.append((match.start(), end, 0))
         at += 1
     if re.search("[0-9]", text):
-        for m in IP.finditer(text):
+        for m in _IP_RUNS.finditer(text):
             if all(_small(p) for p in m[0].split(".")):
                 found.append((m.start(), m.end(), 1))
         for m in CARD.finditer(text):
@@ -336,7 +338,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, weights: dict[tuple[str, str], float] | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of ``docs`` (doc_id, text, ...).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_found) for each row of ``docs`` (doc_id, text, ...).
 
     The counts and the digest are of the patterns' spans; spans has these and
     those that the field adds where no other span is, as kind:start:end in code
@@ -357,9 +359,9 @@ def find_personal_data(docs: DataFrame, weights: dict[tuple[str, str], float] |
                     if all(b <= s or a >= e for s, e, _ in base):
                         added.append((a, b, k))
                 kinds = [k for _, _, k in base]
-                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(base + added), len(added), len(base) + len(added)))
+            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_found"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.mapInPandas(search, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.mapInPandas(search, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_found long")

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes the shuffles of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this session."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -51,7 +55,13 @@ class Scratch:
         path = self.path(name)
         if rows is not None:
             df = df.coalesce(1 + rows // per_task)
-        df.write.option("compression", "zstd").parquet(path)
+        # Nothing else reads the shuffles of this write, so they needn't stay on the executors' disks until the driver collects garbage.
+        conf, before = self.spark.conf, self.spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         saved = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(saved)] = (saved, path)
         return saved
@@ -80,3 +90,9 @@ def bounded(df: DataFrame, bound: int = BROADCAST_KEYS) -> DataFrame:
 def only_keys(df: DataFrame, keys: DataFrame, on: list[str], bound: int = BROADCAST_KEYS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is among ``keys`` (distinct, saved before, narrow)."""
     return df.join(bounded(keys, bound), on, "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``gone`` (doc_id, distinct, saved before), whatever other columns are named; null equals null."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(bounded(gone), F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")

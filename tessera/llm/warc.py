@@ -16,12 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import BROADCAST_KEYS, Scratch
+from tessera.llm.scratch import Scratch, bounded
 
 #: What ends a record; the archives' line separator.
 END = "\r\n\r\n"
 #: Records in an archive at most, and payload bytes in one on average.
 ARCHIVE_RECORDS, ARCHIVE_BYTES = 20_000, 16_000_000
+#: Payload bytes in an archive at most, if it has more than one record: it is read back whole.
+MOST_BYTES = 500_000_000
+#: Revisits (some 100 bytes each) up to which they are broadcast.
+ARCHIVE_KEYS = 200_000
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -57,6 +61,12 @@ def _line(name: str, value) -> F.Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
+def _record_id(page: str) -> F.Column:
+    """The id of a page's response: a UUID by name, so that a revisit can name it."""
+    name = F.md5(F.concat_ws(" ", F.col(page).cast("string"), "payload_digest"))
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(name, "^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", "$1-$2-3$3-8$4-$5"), F.lit(">"))
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, scratch: Scratch | None = None) -> None:
     """Write pages (page_id, url, html, ...) as WARC 1.1 archives below ``path``.
 
@@ -68,31 +78,33 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, scratch: S
     scratch = scratch or Scratch(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     headers = scratch.save(pages.mapInPandas(_digests, "page_id long, payload_bytes long, payload_digest string"), "headers")
-    total, rows = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*")).first()
+    total, rows, largest = headers.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count("*"), F.coalesce(F.max("payload_bytes"), F.lit(0))).first()
     # Rows that repeat an id have one payload each; it is part of the key.
     revisits = resolve_revisits(headers, scratch, least_bytes).where("record_type = 'revisit' and page_id is not null")
     revisits = scratch.save(revisits.select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
-    few = revisits.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     digest = pages.mapInPandas(_with_digest, "page_id long, url string, html string, payload_bytes long, payload_digest string")
-    records = digest.join(F.broadcast(revisits) if few else revisits, ["page_id", "payload_digest"], "left")
+    records = digest.join(bounded(revisits, ARCHIVE_KEYS), ["page_id", "payload_digest"], "left")
     revisit = F.col("refers_to").isNotNull()
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     payload = F.when(revisit, "").otherwise(F.coalesce("html", F.lit("")))
     one = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
-        _line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _line("WARC-Record-ID", F.when(revisit | F.col("page_id").isNull(), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))).otherwise(_record_id("page_id"))),
+        _line("WARC-Date", now),
         _line("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("X-Page-ID", F.col("page_id").cast("string")),
         _line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         _line("WARC-Profile", F.when(revisit, F.lit(_REVISIT))),
-        _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
+        _line("WARC-Refers-To", F.when(revisit, _record_id("refers_to"))),
+        _line("WARC-Refers-To-Date", F.when(revisit, now)),
+        _line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")),
         _line("Content-Length", F.octet_length(payload).cast("string")),
         F.lit("\r\n"),
         payload,
     )
-    at_most = max(1, min(ARCHIVE_RECORDS, rows * ARCHIVE_BYTES // max(1, total)))
+    at_most = max(1, min(ARCHIVE_RECORDS, rows * ARCHIVE_BYTES // max(1, total), MOST_BYTES // max(1, largest)))
     records.select(one.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", at_most).text(path)
 
 
@@ -129,7 +141,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 size, digest = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if kind == "response" and (len(block), base64.b32encode(hashlib.sha1(block).digest()).decode()) != (size, digest):
                     raise ValueError(f"payload of {head.get('X-Page-ID')} differs from its digest")
-                refers = head["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">") if kind == "revisit" else None
+                refers = head["X-Refers-To-Page-ID"] if kind == "revisit" else None
                 rows.append((head.get("X-Page-ID"), head.get("WARC-Target-URI"), size, digest, kind, refers, block.decode("utf-8", "surrogatepass") if kind == "response" else None))
                 if len(rows) == 2000:
                     yield pd.DataFrame(rows, columns=columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -461,3 +462,74 @@ def test_ledger(spark):
     assert total()["s", "en"] == (2, 2)
     with pytest.raises(ValueError):
         token_counts.TokenLedger(spark, ledger.path).apply(0, counts)
+
+
+# Faults that were found, and the pipeline
+
+
+def test_main_text_needs_no_article(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("html").where("html is not null").collect()
+    for (page,) in pages:
+        assert html_extract.extract(re.sub(r"(?i)<(/?)(article|main)\b", r"<\1div", page)) == html_extract.extract(page)
+
+
+def test_references_are_decoded_piece_by_piece():
+    assert html_extract.extract("<div><p>AT&<b>amp;</b>T is a company, with a name</div>") == "AT&amp;T is a company, with a name"
+
+
+def test_links_inside_the_article_go():
+    links = "<ul>" + "<li><a href=/>Another story, elsewhere, to read</a>" * 4 + "</ul>"
+    page = f"<body><article>{''.join(f'<p>{x}' for x in PROSE)}{links}</article></body>"
+    assert html_extract.extract(page) == "\n".join(PROSE)
+
+
+def test_deep_pages_take_linear_time():
+    began = time.perf_counter()
+    assert html_extract.extract("<div>" * 100_000 + f"<p>{PROSE[0]}") == PROSE[0]
+    assert time.perf_counter() - began < 10
+
+
+def test_long_runs_of_digits_take_linear_time():
+    began = time.perf_counter()
+    assert pii.base_spans("9" * 1_000_000) == [] and pii.base_spans("1.2.3.4.5.6.7.89") == [(0, 7, "ip"), (8, 16, "ip")]
+    assert time.perf_counter() - began < 5
+
+
+def test_revisits_name_a_record(spark):
+    scratch = Scratch(spark, "test")
+    path = scratch.path("archives")
+    warc.write_archives(spark.createDataFrame([(1, "u", "same"), (2, "v", "same"), (3, "w", "other")], "page_id long, url string, html string"), path)
+    heads = [head for r in spark.read.format("binaryFile").load(path).select("content").collect() for head, _ in warc._records(r["content"])]
+    ids = {h["WARC-Record-ID"] for h in heads}
+    assert len(ids) == 3 and {h["WARC-Refers-To"] for h in heads if h["WARC-Type"] == "revisit"} < ids
+    assert all(re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", x) for x in ids)
+
+
+def test_pipeline_stages(spark, small, texts):
+    import corpus_pipeline
+
+    line = "A line that several documents share, word for word, as it is"
+    rng = np.random.default_rng(8)
+    own = [random_line(rng, 40, 6) for _ in range(4)]
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("size(split(text, ' ')) > 12").first()["text"]
+    more = [(900_001, f"{own[0]}\n{line}"), (900_002, f"{own[1]}\n{line}"), (900_003, own[2]), (900_004, own[2] + " more"), (900_005, f"{own[3]} {item}"), (900_006, "12 !"), (900_007, None)]
+    extra = frame(spark, *more).select(*small.columns).withColumn("lang", F.lit("en"))
+    docs = small.unionByName(extra).withColumns({"_gone": F.lit(1), "row": F.lit(2), "gone": F.lit(3)})
+    clean = [i for i, _ in more[:2]]
+
+    found = corpus_pipeline.lines(spark, docs, SMALL)
+    rows = {r["doc_id"]: r["text"] for r in found.collect()}
+    assert found.columns == docs.columns and rows[900_001].endswith(line) and rows[900_002] == own[1]
+    found = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    ids = {r["doc_id"] for r in found.collect()}
+    assert found.columns == docs.columns and 900_003 in ids and 900_004 not in ids and ids.issuperset(clean)
+    found = corpus_pipeline.decontamination(spark, docs, SMALL)
+    ids = {r["doc_id"] for r in found.collect()}
+    assert found.columns == docs.columns and 900_005 not in ids and ids.issuperset([*clean, 900_003])
+    found = corpus_pipeline.language(spark, docs, SMALL)
+    ids = {r["doc_id"] for r in found.collect()}
+    assert found.columns == docs.columns and not ids & {900_006, 900_007}
+    pieces = corpus_pipeline.packing(spark, docs.where("doc_id > 900000"), SMALL).collect()
+    assert {r["doc_id"] for r in pieces} == {i for i, _ in more}
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
