@@ -27,8 +27,13 @@ OPEN_BLOCK, BLOCK = 128, 1024
 OTHER, OPEN = 2, 1
 
 
-def _in_buckets(members: DataFrame, scratch: Scratch, passes: int) -> DataFrame:
-    """(bucket, id, bits, n, pivot struct<id, bits>) for the members that share a bucket; one shuffle for each pass."""
+def in_buckets(members: DataFrame, scratch: Scratch, passes: int = 1) -> DataFrame:
+    """(bucket, id, bits, n, pivot struct<id, bits>) for the members that share a bucket; one shuffle for each pass.
+
+    members: (bucket long, id long, bits long), each pair once. Null buckets or
+    ids share nothing.
+    """
+    members = members.where("bucket is not null and id is not null")
     out = None
     for p in range(passes):
         placed = members.where(F.pmod("bucket", F.lit(passes)) == p).repartition("bucket")
@@ -60,19 +65,18 @@ def _in_blocks(placed: DataFrame, scratch: Scratch, whole: int, n: int) -> DataF
 
 def star_links(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], scratch: Scratch,
-    possible: Callable[[Column, Column], Column] | None = None, passes: int = 1, whole: int = 0,
+    possible: Callable[[Column, Column], Column] | None = None, whole: int = 0,
 ) -> DataFrame:
     """Links (a, b) between ids that share a bucket, enough to span the components that all links span.
 
-    members: (bucket long, id long, bits long), each pair once. verify: from
+    members: those that share buckets, as :func:`in_buckets` gives them. verify: from
     distinct pairs (a, b) to (a, b, linked boolean, alike double). compare: from
     blocks (key, role, id, bits, part) and the pairs (a, b) seen before to all
     links (a, b) between an ``OPEN`` and an ``OTHER`` member of a block that are
     of different parts. possible: false for bits of two members that can't be
-    linked. Null buckets or ids link nothing. Empty input: no links.
+    linked. Empty input: no links.
     """
     near = possible or (lambda x, y: F.lit(True))
-    members = _in_buckets(members.where("bucket is not null and id is not null"), scratch, passes)
     stars = members.where(F.col("id") != F.col("pivot.id")).where(near(F.col("bits"), F.col("pivot.bits")))
     stars = scratch.save(stars.select("bucket", F.col("pivot.id").alias("pivot"), "id", "bits"), "stars")
     n = stars.count()
