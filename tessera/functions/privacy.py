@@ -17,19 +17,14 @@ TOPICS = r"(?i)\b(password|passport|token|secret|паспорт|пароль|с
 HANDLING = ("standard", "unknown", "restricted")
 
 
-def any_concrete(text: Column) -> Column:
-    """Whether any masked kind is in a text."""
-    return F.coalesce(text.rlike("|".join(f"(?:{p})" for p in MASKS.values())), F.lit(False))
-
-
 def any_topic(text: Column) -> Column:
     """Whether a text speaks of secrets or papers."""
     return F.coalesce(text.rlike(TOPICS), F.lit(False))
 
 
-def found(text: Column, kind: str) -> Column:
-    """All places of a kind, in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(MASKS[kind]), F.lit(0))
+def count(text: Column, kind: str) -> Column:
+    """How many places of a kind a text has; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(MASKS[kind])), F.lit(0))
 
 
 def numbered(text: Column, kind: str) -> Column:

@@ -122,8 +122,9 @@ def span_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sensitive_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = [F.size(privacy.found(F.col("text"), kind)).alias(f"n_{kind.lower()}") for kind in privacy.MASKS]
-    return docs.select("doc_id", privacy.any_concrete(F.col("text")).alias("concrete"), privacy.any_topic(F.col("text")).alias("topic"), *counts)
+    names = [f"n_{kind.lower()}" for kind in privacy.MASKS]
+    counted = docs.select("doc_id", privacy.any_topic(F.col("text")).alias("topic"), *(privacy.count(F.col("text"), kind).alias(n) for kind, n in zip(privacy.MASKS, names, strict=True)))
+    return counted.select("doc_id", (F.greatest(*names) > 0).alias("concrete"), "topic", *names)
 
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
