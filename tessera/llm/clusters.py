@@ -27,16 +27,15 @@ OPEN_BLOCK, BLOCK = 128, 1024
 OTHER, OPEN = 2, 1
 
 
-def in_buckets(members: DataFrame, scratch: Scratch, passes: int = 1) -> DataFrame:
-    """(bucket, id, bits, n, pivot struct<id, bits>) for the members that share a bucket; one shuffle for each pass.
+def in_buckets(parts: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(bucket, id, bits, n, pivot struct<id, bits>) for the members that share a bucket; one shuffle for each part.
 
-    members: (bucket long, id long, bits long), each pair once. Null buckets or
-    ids share nothing.
+    parts: (bucket long, id long, bits long) each, no bucket in two of them and
+    each pair once. Null buckets or ids share nothing.
     """
-    members = members.where("bucket is not null and id is not null")
     out = None
-    for p in range(passes):
-        placed = members.where(F.pmod("bucket", F.lit(passes)) == p).repartition("bucket")
+    for members in parts:
+        placed = members.where("bucket is not null and id is not null").repartition("bucket")
         # The aggregate uses all columns, so that it reads the same shuffle as the join's other side.
         groups = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("id", "bits")).alias("pivot")).where("n > 1")
         found = scratch.save(placed.join(groups, "bucket"), "members")

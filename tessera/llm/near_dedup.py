@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         full = blocks.join(items.withColumnRenamed("doc_id", "id"), "id").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
         return full.groupBy("g").applyInPandas(lambda rows: _compare(rows), "a long, b long")
 
-    links = star_links(in_buckets(members, scratch), verify, compare, scratch)
+    links = star_links(in_buckets([members], scratch), verify, compare, scratch)
     # The same doc_id on different texts joins their classes too.
     repeats = known.select("doc_id", "set_digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     repeats = known.join(repeats, "doc_id").join(classes.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
