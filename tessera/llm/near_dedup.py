@@ -103,14 +103,14 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(bucket, id) for each band of each sketch."""
+    """(bucket, id, bits) for each band of each sketch; no bits are used."""
     for batch in batches:
         if len(batch):
             regs = np.frombuffer(b"".join(batch["sketch"]), np.uint16).reshape(len(batch), M // ROWS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(M // ROWS, dtype=np.uint64), regs.shape[:2]).copy()
             for i in range(ROWS):
                 key = _mix(key * _U(0x9E3779B97F4A7C15) + regs[:, :, i])
-            yield pd.DataFrame({"bucket": key.view(np.int64).ravel(), "id": np.repeat(batch["doc_id"].to_numpy(), M // ROWS)})
+            yield pd.DataFrame({"bucket": key.view(np.int64).ravel(), "id": np.repeat(batch["doc_id"].to_numpy(), M // ROWS), "bits": 0})
 
 
 def similarity(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     classes = scratch.save(known.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
     firsts = known.join(classes.select("set_digest", F.col("id").alias("doc_id")), ["set_digest", "doc_id"]).dropDuplicates(["doc_id", "set_digest"])
     firsts = scratch.save(firsts.select("doc_id", "n_shingles", "sketch"), "firsts")
-    members = firsts.mapInPandas(_bands, "bucket long, id long").withColumn("bits", F.lit(0).cast("long"))
+    members = firsts.mapInPandas(_bands, "bucket long, id long, bits long")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = firsts.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
