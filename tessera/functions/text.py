@@ -116,3 +116,27 @@ def estimated_tokens(text: Column) -> Column:
 def slug(text: Column) -> Column:
     """A file name's stem: letters and digits in lower case, joined by hyphens."""
     return F.regexp_replace(normalize(text), " ", "-")
+
+
+def query_terms(text: Column, filler: tuple[str, ...] = ()) -> Column:
+    """A message's Latin and Cyrillic words in lower case and in order, without filler words; a null text has none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[A-Za-zА-Яа-яЁё0-9_]+"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*filler)) if filler else words
+
+
+def bounded_terms(primary: Column, secondary: Column, most: int = 16, length: int = 200) -> Column:
+    """Terms of two lists joined by spaces: at most ``most``, and each only if all together fit ``length`` characters.
+
+    A term that doesn't fit is skipped; the first of all is cut instead. Repeated
+    terms stay.
+    """
+    if most < 1 or length < 1:
+        raise ValueError("bounds must be positive")
+
+    def add(acc: Column, term: Column) -> Column:
+        longer = F.concat(acc["text"], F.lit(" "), term)
+        fits = (acc["n"] < most) & (F.length(longer) <= length)
+        text = F.when(acc["n"] == 0, F.left(term, F.lit(length))).when(fits, longer).otherwise(acc["text"])
+        return F.struct(text.alias("text"), (acc["n"] + F.when((acc["n"] == 0) | fits, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(F.concat(primary, secondary), F.struct(F.lit("").alias("text"), F.lit(0).alias("n")), add, lambda acc: acc["text"])

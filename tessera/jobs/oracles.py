@@ -129,6 +129,11 @@ SELECT id, reason, CASE WHEN reason <> '' THEN 'excluded' WHEN count(*) FILTER (
     "conversation_summaries": r"""SELECT conv_id, coalesce(right(string_agg('- ' || role || ': ' || left(t, 260), chr(10) ORDER BY turn) FILTER (WHERE nth <= 20 AND t <> ''), 2400), '') AS summary, count(*) AS n_turns
 FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth FROM conversations) GROUP BY conv_id""",
     "latest_user_turns": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> '' GROUP BY conv_id",
+    "item_sections": f"WITH {_ITEMS} SELECT id, item_type, status, actor_ref, deadline, updated_at FROM eligible WHERE NOT has_related AND deadline <> ''",
+    "context_queries": r"""WITH spoken AS (SELECT conv_id, turn, max(text) AS text FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> '' GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS nth, lead(text) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS prior FROM spoken),
+worded AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text || ' ' || coalesce(prior, '')), '[A-Za-zА-Яа-яЁё0-9_]+'), lambda w: w NOT IN ('of', 'to', 'und', 'les')) AS w FROM placed WHERE nth = 1)
+SELECT conv_id, turn, list_reduce(list_concat([''], w), lambda acc, t: CASE WHEN acc = '' THEN left(t, 200) WHEN len(string_split(acc, ' ')) < 16 AND len(acc) + 1 + len(t) <= 200 THEN acc || ' ' || t ELSE acc END) AS query FROM worded""",
     "group_projects": "SELECT r_name AS title, count(n_nationkey) AS projects FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
     "document_units": r"""WITH blocks AS (SELECT doc_id, regexp_extract_all(text, '(?s).*?(?:\n\s*\n|\z)') AS b FROM documents WHERE text IS NOT NULL),
 placed AS (SELECT doc_id, unnest(b) AS t, unnest(list_transform(range(1, len(b) + 1), lambda i: coalesce(list_sum(list_transform(b[1:i - 1], lambda x: len(x))), 0))) AS base FROM blocks),

@@ -59,6 +59,12 @@ def item_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.highlights(context_items(spark, sf_dir), limits).select("item_type", "rank", "id", "updated_at", "deadline")
 
 
+def item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a summary lists of unrelated items with a deadline."""
+    out = search.sections(context_items(spark, sf_dir), conflict=False, deadline=True)
+    return out.select("id", "item_type", "status", "actor_ref", "deadline", "updated_at")
+
+
 def intake_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return provenance.intake(docs.select(F.col("source").alias("workspace_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("doc_id").alias("seq")))
@@ -156,6 +162,10 @@ def latest_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authority.latest_user_turn(table(spark, sf_dir, "conversations"))
 
 
+def context_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return authority.context_queries(table(spark, sf_dir, "conversations"), ("of", "to", "und", "les"))
+
+
 def group_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups with how many projects each has, those without any included."""
     regions, nations = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")

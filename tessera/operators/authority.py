@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bounded_terms, query_terms
+
 
 def exclusion(items: DataFrame, kinds: list[str], sensitivities: list[str], subjects: list[str] | None = None) -> DataFrame:
     """items with ``reason``: the first that applies of not_active, not_confirmed, unsupported_kind, invalid_record, sensitivity_denied, not_applicable; else empty."""
@@ -51,3 +53,17 @@ def latest_user_turn(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, text) of each conversation's last message by a user that isn't blank."""
     rows = turns.where((F.col("role") == "user") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     return rows.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last")).select("conv_id", "last.turn", "last.text")
+
+
+def context_queries(conversations: DataFrame, filler: tuple[str, ...] = (), most: int = 16, length: int = 200) -> DataFrame:
+    """(conv_id, turn, query): the latest user turn's terms, then those of the user turn before it, within bounds.
+
+    Both turns are found by aggregates, so that a long conversation isn't sorted
+    in one task. Conversations without a user turn that holds text have no row;
+    of rows that repeat a turn one counts.
+    """
+    now = latest_user_turn(conversations)
+    earlier = conversations.join(now.select("conv_id", F.col("turn").alias("_latest")), "conv_id").where("turn < _latest")
+    before = latest_user_turn(earlier).select("conv_id", F.col("text").alias("_before"))
+    query = bounded_terms(query_terms(F.col("text"), filler), query_terms(F.col("_before"), filler), most, length)
+    return now.join(before, "conv_id", "left").select("conv_id", "turn", query.alias("query"))

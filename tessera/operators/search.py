@@ -106,6 +106,19 @@ def facets(items: DataFrame) -> DataFrame:
     return types.union(actors.select(F.lit("actor"), "value", "count"))
 
 
+def sections(items: DataFrame, item_type: str | None = None, conflict: bool | None = None, deadline: bool = False, actor: bool = False) -> DataFrame:
+    """The eligible items that a summary lists by type; without ``deadline`` or ``actor`` items with and without one stay."""
+    rows = eligible(items)
+    related = F.coalesce(F.size("relation_ids") > 0, F.lit(False))
+    filled = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
+    tests = [F.col("item_type") == item_type] if item_type else []
+    tests += [related == conflict] if conflict is not None else []
+    tests += [filled(name) for name, wanted in (("deadline", deadline), ("actor_ref", actor)) if wanted]
+    for test in tests:
+        rows = rows.where(test)
+    return rows.select("id", "item_type", "title", "statement", "status", "actor_ref", "deadline", "updated_at", "relation_ids")
+
+
 def overview(items: DataFrame) -> DataFrame:
     """One row of counts: workflow states, confirmed items by type, and what needs attention."""
     now = F.coalesce(F.col("current"), F.lit(False)) & (F.col("kind") == "context")

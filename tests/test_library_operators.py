@@ -150,3 +150,19 @@ def test_authority(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], "id int, scope_ref string, kind string, subject_ref string, value string, lifecycle string, confirmation string, sensitivity string")
     got = {r["id"]: (r["reason"], r["verdict"]) for r in authority.resolve(authority.exclusion(df, ["k"], ["standard"])).collect()}
     assert got == {1: ("", "ambiguous"), 2: ("", "ambiguous"), 3: ("", "eligible"), 4: ("not_active", "excluded"), 5: ("invalid_record", "excluded"), 6: ("sensitivity_denied", "excluded"), 7: ("unsupported_kind", "excluded"), 8: ("not_confirmed", "excluded")}
+
+
+def test_bounded_terms_skip_what_does_not_fit(spark):
+    rows = [(["ab", "abcdef", "c"], ["d"], "ab c d"), (["abcdefghij"], ["x"], "abcdefg"), ([], ["x", "x"], "x x"), ([], [], ""), (["a", "b", "c", "d"], ["e"], "a b c")]
+    df = spark.createDataFrame(rows, "p array<string>, s array<string>, want string")
+    got = df.select("want", text.bounded_terms(F.col("p"), F.col("s"), 3, 7).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    assert df.limit(1).select(text.query_terms(F.lit(None).cast("string")).alias("q")).first()["q"] == []
+
+
+def test_context_queries_take_two_user_turns(spark):
+    rows = [(1, 0, "user", "Old"), (1, 1, "user", "The Subject"), (1, 2, "assistant", "no"), (1, 3, "user", "And now?"), (1, 4, "user", " "), (2, 0, "assistant", "x"), (3, 0, "user", "one")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"], r["query"]) for r in authority.context_queries(df, ("the",)).collect()}
+    assert got == {(1, 3, "and now subject"), (3, 0, "one")}
+    assert authority.context_queries(df.limit(0)).count() == 0
