@@ -42,6 +42,45 @@ def semantic_units(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     return cuts.select(key, (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("at") + F.length(text)).alias("end"), boundary.alias("boundary"), text.alias("text"))
 
 
+def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line, level, title) of Markdown headings (lines from 1) outside of fenced code; null texts have none.
+
+    A fence is closed by one of the same kind; an open one hides all that follows.
+    Only lines that open a heading or a fence are shuffled.
+    """
+    lines = docs.where("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    fence = F.left(F.regexp_extract("said", r"^[ \t]{0,3}(`{3,}|~{3,})", 1), F.lit(1))
+    marker = F.regexp_extract("said", r"^(#{1,6})\s+\S", 1)
+    rows = lines.select(key, (F.col("line") + 1).alias("line"), fence.alias("fence"), F.length(marker).alias("level"), F.trim(F.regexp_replace("said", r"^#{1,6}\s+|\s+$", "")).alias("title")).where("fence <> '' or level > 0")
+    fenced = rows.where("fence <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "fence"))).alias("fences"))
+    none = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    spans = F.aggregate(
+        "fences", none,
+        lambda acc, f: F.when(acc["open"] == "", F.struct(f["fence"].alias("open"), f["line"].alias("at"), acc["spans"].alias("spans")))
+        .when(acc["open"] == f["fence"], F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), f["line"].alias("end"))).alias("spans")))
+        .otherwise(acc),
+        lambda acc: F.when(acc["open"] == "", acc["spans"]).otherwise(F.array_append(acc["spans"], F.struct(acc["at"].alias("start"), F.lit(2**31 - 1).alias("end")))),
+    )
+    out = rows.where("level > 0").join(fenced.select(key, spans.alias("spans")), key, "left")
+    hidden = F.exists("spans", lambda s: (F.col("line") > s["start"]) & (F.col("line") < s["end"]))
+    return out.where(~F.coalesce(hidden, F.lit(False))).select(key, "line", "level", "title")
+
+
+def heading_stacks(rows: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows (key, line) with ``stack``: the titles of the headings above a line that are open there, outermost first.
+
+    As-of joins by level in one sort: of each level the last heading before the
+    line, unless one of a smaller level came after it.
+    """
+    both = rows.select(key, "line", F.lit(1).alias("_side"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title"))
+    both = both.unionByName(heads.select(key, "line", F.lit(0).alias("_side"), "level", "title"))
+    before = Window.partitionBy(key).orderBy("line", F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == n, F.struct("line", "title")), ignorenulls=True).over(before).alias(f"_{n}") for n in range(1, 7)]
+    out = both.select(key, "line", "_side", *last).where("_side = 1")
+    opened = [F.when(F.col(f"_{n}.line") > F.greatest(*(F.coalesce(F.col(f"_{m}.line"), F.lit(-1)) for m in range(1, n)), F.lit(-1), F.lit(-2)), F.col(f"_{n}.title")) for n in range(1, 7)]
+    return out.select(key, "line", F.array_compact(F.array(*opened)).alias("stack"))
+
+
 def last_before(rows: DataFrame, marks: DataFrame, key: list[str], at: str, mark: str) -> DataFrame:
     """As-of join: rows with the ``mark`` of the latest of ``marks`` (key..., at, mark) at or before them; null if none.
 

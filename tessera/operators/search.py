@@ -147,3 +147,17 @@ def highlights(items: DataFrame, limits: dict[str, int]) -> DataFrame:
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_type", "_part").orderBy(*order))).where(F.col("rank") <= limit)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_type").orderBy(*order))).where(F.col("rank") <= limit)
     return rows.select("item_type", "rank", "id", "title", "updated_at", "deadline")
+
+
+def page_summary(items: DataFrame, params: Params) -> DataFrame:
+    """One row (total, returned, has_more) on the page that the parameters ask for."""
+    total = F.count("*")
+    rest = F.greatest(total - params.offset, F.lit(0))
+    return matching(items, params).agg(total.alias("total"), F.least(rest, F.lit(params.limit)).alias("returned"), (rest > params.limit).alias("has_more"))
+
+
+def chosen(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Items (id, ...) that a request names, by ids (id, pos), with ``pos``; a name of no item is an error when the rows are read."""
+    known = items.withColumn("_known", F.lit(True))
+    out = ids.join(known, "id", "left")
+    return out.where(F.coalesce("_known", F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string"))).cast("boolean"))).drop("_known")

@@ -3,8 +3,14 @@
 import pytest
 from conftest import SMALL, rows_of
 
-from tessera.jobs.oracles import ORACLE_SQL
-from tessera.jobs.queries import queries
+from tessera.jobs import governance, governance_sql, oracles
+from tessera.jobs import queries as library
+
+ORACLE_SQL = oracles.ORACLE_SQL | governance_sql.ORACLE_SQL
+
+
+def queries():
+    return library.queries() | governance.queries()
 
 
 def test_all_have_sql():
