@@ -16,13 +16,16 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.tokens import default_vocabulary, encoder
 
 GROUP = ("source", "lang", "tokenizer")
-FACTS = "doc_id long, tokenizer string, source string, lang string, n_tokens long, n_chars long, live boolean, batch long"
+#: Facts are kept in parts by document, so that a batch reads only those that hold its documents; and rows in a file of a part.
+PARTS, FILE_ROWS = 64, 1_000_000
+FACTS = "doc_id long, tokenizer string, source string, lang string, n_tokens long, n_chars long, live boolean, batch long, part int"
 DELTAS = "source string, lang string, tokenizer string, documents long, tokens long, chars long, inserted long, deleted long, revised long, batch long"
 
 
@@ -66,30 +69,39 @@ class TokenLedger:
         done = sorted(int(n) for n in names if n.isdigit())
         if not done:
             return {}
-        rows = self.spark.read.text([f"{self.path}/commits/{n:020d}" for n in done]).collect()  # one line for each batch
+        # One line for each batch; a marker whose writer was lost before it was written has none and doesn't count.
+        rows = self.spark.read.text([f"{self.path}/commits/{n:020d}" for n in done]).collect()
         return {r["batch"]: r for r in (json.loads(x["value"]) for x in rows)}
 
     def _commit(self, batch: int, content: dict) -> bool:
-        """Create a batch's marker; False if another attempt has done so."""
+        """Create a batch's marker; False if another attempt has done so.
+
+        The file is created only if there is none, which the file system decides;
+        one that was left empty is removed first.
+        """
         fs, path = self._file(f"commits/{batch:020d}")
-        _, new = self._file(f"commits/.{uuid.uuid4().hex}")
-        out = fs.create(new, False)
+        if fs.exists(path) and fs.getFileStatus(path).getLen() == 0:
+            fs.delete(path, False)
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        # A rename to a name that is there fails, so that of two attempts one counts.
-        if fs.exists(path) or not fs.rename(new, path):
-            fs.delete(new, False)
-            return False
         return True
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/{c['attempt']}" for _, c in sorted(self.commits().items())]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{kind}/attempt={c['attempt']}" for _, c in sorted(self.commits().items())]
+        return self.spark.read.option("basePath", f"{self.path}/{kind}").schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def facts(self) -> DataFrame:
-        """The latest state of each (doc_id, tokenizer) that any batch brought, deleted ones included."""
+    def facts(self, parts: list[int] | None = None) -> DataFrame:
+        """The latest state of each (doc_id, tokenizer) that any batch brought, deleted ones included; of some parts, or of all."""
         state = F.struct("batch", "source", "lang", "n_tokens", "n_chars", "live")
-        return self._read("facts", FACTS).groupBy("doc_id", "tokenizer").agg(F.max_by(state, "batch").alias("s")).select("doc_id", "tokenizer", "s.*")
+        rows = self._read("facts", FACTS)
+        rows = rows if parts is None else rows.where(F.col("part").isin(parts))
+        return rows.groupBy("doc_id", "tokenizer").agg(F.max_by(state, "batch").alias("s")).select("doc_id", "tokenizer", "s.*")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens, chars, inserted, deleted, revised): sums of all deltas, groups without documents included."""
@@ -99,6 +111,8 @@ class TokenLedger:
     def apply(self, batch: int, changes: DataFrame, deleted: bool = False) -> bool:
         """Apply a batch of documents with their counts, or of deletions; False if the batch was applied before.
 
+        Of the ledger's facts only the parts of the batch's documents are read.
+
         changes: (doc_id, tokenizer, source, lang, n_tokens, n_chars); deletions
         need doc_id and tokenizer only. A document that the ledger holds is
         revised: what it added is taken away and its new counts are added, also
@@ -123,11 +137,17 @@ class TokenLedger:
             rows = changes.select(*keys, *number, F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null")
             row = F.struct("n_tokens", "lang", "source", "n_chars", F.lit(True).alias("live"))
             new = rows.groupBy("doc_id", "tokenizer").agg(F.max(row).alias("new"))
-        known = self.facts().where("live").select("doc_id", "tokenizer", F.struct("n_tokens", "lang", "source", "n_chars", "live").alias("old"))
+        # Saved, so that counting and placing don't tokenize the batch again.
+        new.write.parquet(f"{self.path}/staged/{attempt}")
+        new = self.spark.read.schema(new.schema).parquet(f"{self.path}/staged/{attempt}")
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+        touched = [r["part"] for r in new.select(part.alias("part")).distinct().collect()]  # at most PARTS
+        known = self.facts(touched).where("live").select("doc_id", "tokenizer", F.struct("n_tokens", "lang", "source", "n_chars", "live").alias("old"))
         change = new.join(known, ["doc_id", "tokenizer"], "left").where("(old is not null or new.live) and not old <=> new")
-        kept = change.select("doc_id", "tokenizer", "new.source", "new.lang", "new.n_tokens", "new.n_chars", "new.live", F.lit(batch).cast("long").alias("batch"), F.col("old"))
-        kept.write.parquet(f"{self.path}/facts/{attempt}")
-        kept = self.spark.read.schema(kept.schema).parquet(f"{self.path}/facts/{attempt}")
+        kept = change.select("doc_id", "tokenizer", "new.source", "new.lang", "new.n_tokens", "new.n_chars", "new.live", F.lit(batch).cast("long").alias("batch"), F.col("old"), part.alias("part"))
+        files = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 + new.count() // (PARTS * FILE_ROWS)))
+        kept.repartition("part", files).write.partitionBy("part").parquet(f"{self.path}/facts/attempt={attempt}")
+        kept = self.spark.read.schema(kept.schema).parquet(f"{self.path}/facts/attempt={attempt}")
         # A row for what each document adds and one for what it takes away.
         plus = F.struct(F.col("source"), F.col("lang"), F.lit(1).alias("sign"), F.col("n_tokens"), F.col("n_chars"))
         minus = F.struct(F.col("old.source").alias("source"), F.col("old.lang").alias("lang"), F.lit(-1).alias("sign"), F.col("old.n_tokens").alias("n_tokens"), F.col("old.n_chars").alias("n_chars"))
@@ -137,5 +157,7 @@ class TokenLedger:
             F.sum("sign").cast("long").alias("documents"), F.sum(F.col("sign") * F.col("n_tokens")).alias("tokens"), F.sum(F.col("sign") * F.col("n_chars")).alias("chars"),
             F.count_if(~F.col("was")).alias("inserted"), F.count_if(~F.col("live")).alias("deleted"), F.count_if(F.col("was") & F.col("live") & (F.col("sign") > 0)).alias("revised"),
         )
-        sums.withColumn("batch", F.lit(batch).cast("long")).write.parquet(f"{self.path}/deltas/{attempt}")
+        sums.withColumn("batch", F.lit(batch).cast("long")).write.parquet(f"{self.path}/deltas/attempt={attempt}")
+        fs, staged = self._file(f"staged/{attempt}")
+        fs.delete(staged, True)
         return self._commit(batch, {"batch": batch, "attempt": attempt})
