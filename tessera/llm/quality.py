@@ -141,15 +141,18 @@ def base_failed() -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> dict[str, tuple[int, float]]:
-    """Stratum -> (step of the path, bound), from documents with a label that pass the base rules.
+    """Stratum -> (step of the path, bound), from texts with a label that pass the base rules.
 
-    measured: (doc_id, stratum, the measured numbers); labels: (doc_id, quality).
-    Of several labels of a document the lowest counts; null ones don't.
+    measured: (doc_id, stratum, h1, h2 hashes of the text, the measured numbers);
+    labels: (doc_id, quality). The bound needs independent trials, so that a text
+    is one trial in its stratum however many rows or ids hold it. Of several
+    labels of a text the lowest counts; null ones don't.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
     rows = measured.where(~base_failed()).join(known, "doc_id")
     step = F.least(*(F.coalesce(first_step(rule), F.lit(len(PATH))) for rule in RULES))
-    counts = rows.groupBy("stratum", "good", step.alias("step")).agg(F.count("*").alias("n"))
+    trials = rows.groupBy("stratum", "h1", "h2").agg(F.min("good").alias("good"), F.min(step).alias("step"))
+    counts = trials.groupBy("stratum", "good", "step").agg(F.count("*").alias("n"))
     most = 2 * MOST_STRATA * (len(PATH) + 1)
     found = counts.limit(most + 1).collect()
     if len(found) > most:
@@ -172,8 +175,9 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None) ->
     """
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("\0null")).alias("stratum"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns({f"h{i}": F.xxhash64(F.lit(i), F.coalesce("text", F.lit(""))) for i in (1, 2)})
     ids = dict(docs.select("doc_id").dtypes)["doc_id"]
-    measured = scratch.save(rows.mapInPandas(_measure, f"doc_id {ids}, stratum string, {', '.join(f'{f} long' for f in _FIELDS)}"), "measured")
+    measured = scratch.save(rows.mapInPandas(_measure, f"doc_id {ids}, stratum string, h1 long, h2 long, {', '.join(f'{f} long' for f in _FIELDS)}"), "measured")
     steps = calibrate(measured, labels.select("doc_id", "quality"))
     chosen = [x for stratum, (step, _) in steps.items() for x in (F.lit(stratum), F.lit(step))]
     allowed = F.coalesce(F.try_element_at(F.create_map(*chosen), F.col("stratum")), F.lit(-1)) if chosen else F.lit(-1)
