@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -359,6 +362,53 @@ def test_steps_stop_at_the_first_failure():
     assert quality.choose_step([0], [5], 10, 0.03, 0.05) == (-1, 0.0) and quality.choose_step([0], [0], 1000, 0.03, 0.05)[0] == -1
 
 
+def brute_numbers(text):
+    n_words, _, n_symbols, n_dup, n_repeat, n_lines, n_upper, n_bang = quality.measure(text)
+    per = max(n_words, 1)
+    failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+    return failed, {"symbols": n_symbols / per, "repeated_lines": n_dup / max(n_lines, 1), "shouting": n_upper / per, "exclamation": n_bang / per, "repeated_words": n_repeat / per}
+
+
+def test_verdicts_equal_brute_force(spark):
+    """A text is one trial however many rows hold it; the bound is summed term by term in whole numbers."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "DELTA", "eps!", "z#", "eta", "theta", "iota", "kappa", "lambda", "mu"]
+    rows, labels = [], []
+    for i in range(1600):
+        good = rng.random() < 0.6
+        pool = words if not good else [w for w in words if w.isalpha() and w.islower()] + ["eps!"] * (rng.random() < 0.1)
+        text = rows[rng.randrange(len(rows))][1] if rows and rng.random() < 0.3 else " ".join(rng.choice(pool) for _ in range(40))
+        rows.append((i, text, rng.choice(("en", "de"))))
+        if i % 4:
+            labels += [(i, int(good))] * rng.choice((1, 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    known = dict(labels)
+    trials = {}
+    for i, text, lang in rows:
+        if i in known and not brute_numbers(text)[0]:
+            trials[lang, text] = min(trials.get((lang, text), 1), known[i])
+    risk, error = Fraction(quality.RISK), Fraction(quality.ERROR) / 2
+    step = {}
+    for lang in ("en", "de"):
+        mine = [(brute_numbers(t)[1], g) for (s, t), g in trials.items() if s == lang]
+        n_good, best, worth = sum(g for _, g in mine), -1, 0
+        for k in range(len(quality.PATH)):
+            hit = [g for numbers, g in mine if any(numbers[rule] >= cutoff for rule, cutoff in quality.PATH[: k + 1])]
+            lost, caught = sum(hit), len(hit) - sum(hit)
+            tail = sum(math.comb(n_good, j) * risk**j * (1 - risk) ** (n_good - j) for j in range(lost + 1))
+            if not n_good or tail > error:
+                break
+            if caught - quality.GOOD_IS_WORTH * lost > worth:
+                worth, best = caught - quality.GOOD_IS_WORTH * lost, k
+        step[lang] = best
+    want = {}
+    for i, text, lang in rows:
+        failed, numbers = brute_numbers(text)
+        want[i] = not failed and not any(numbers[rule] >= cutoff for rule, cutoff in quality.PATH[: step[lang] + 1])
+    assert got == want and max(step.values()) >= 0
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(0, 1), (0, None), (None, 0), (2, 0)], "doc_id long, quality int")
     df = frame(spark, "good words " * 3, None, "", "a b c d e f g h i j k", (None, "x"), (3, "x"))
@@ -464,6 +514,43 @@ def test_ledger(spark):
         token_counts.TokenLedger(spark, ledger.path).apply(0, counts)
 
 
+def test_ledger_equals_recounting(spark):
+    """Random batches against a dictionary of what is there; a lost writer's empty marker doesn't count."""
+    rng = random.Random(1)
+    ledger = token_counts.TokenLedger(spark, Scratch(spark, "test").path("ledger"))
+    fs, marker = ledger._file(f"commits/{2:020d}")
+    held = {}
+    for batch in range(1, 6):
+        if batch == 2:
+            fs.create(marker, False).close()
+        ids = [rng.randrange(12) for _ in range(rng.choice((1, 15)))]
+        if batch % 3 == 0:
+            rows = [(i, "v", None, None, 0, 0) for i in ids]
+            for i in ids:
+                held.pop(i, None)
+        else:
+            rows = [(i, "v", rng.choice("ab"), rng.choice(("en", None)), rng.randrange(100), 1) for i in ids]
+            for i in set(ids):
+                held[i] = max((r for r in rows if r[0] == i), key=lambda r: (r[4], r[3] or "", r[2]))
+        df = spark.createDataFrame(rows, "doc_id long, tokenizer string, source string, lang string, n_tokens long, n_chars long")
+        assert ledger.apply(batch, df, deleted=batch % 3 == 0) and not ledger.apply(batch, df)
+        want = {}
+        for r in held.values():
+            documents, tokens = want.get(r[2:4], (0, 0))
+            want[r[2:4]] = (documents + 1, tokens + r[4])
+        got = {(r["source"], r["lang"]): (r["documents"], r["tokens"]) for r in ledger.totals().collect() if r["documents"]}
+        assert got == want
+
+
+def test_a_batch_reads_only_its_parts(spark):
+    ledger = token_counts.TokenLedger(spark, Scratch(spark, "test").path("ledger"))
+    rows = spark.range(500).selectExpr("id as doc_id", "'v' as tokenizer", "'s' as source", "'en' as lang", "cast(1 as long) as n_tokens", "cast(1 as long) as n_chars")
+    assert ledger.apply(1, rows)
+    part = rows.where("doc_id = 7").select(F.pmod(F.xxhash64("doc_id"), F.lit(token_counts.PARTS)).alias("p")).first()["p"]
+    files = ledger.facts([part]).inputFiles()
+    assert 0 < len([f for f in files if f"part={part}/" in f]) and ledger.facts([part]).count() < 50
+
+
 # Faults that were found, and the pipeline
 
 
