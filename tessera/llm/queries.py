@@ -17,6 +17,7 @@ from tessera.llm.pii import find_personal_data
 from tessera.llm.quality import judge
 from tessera.llm.scratch import Scratch
 from tessera.llm.token_counts import TokenLedger, count_tokens
+from tessera.llm.token_files import read_ids, write_ids
 from tessera.llm.warc import round_trip
 
 
@@ -83,6 +84,13 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-files")
+    path = scratch.path("files")
+    write_ids(_table(spark, sf_dir, "documents"), path, scratch=scratch)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
