@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import contamination
 from tessera.llm.html_extract import main_text
 from tessera.llm.langid import identify
+from tessera.llm.lexical import search
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.near_dedup import near_duplicates
 from tessera.llm.packing import pack
@@ -91,6 +92,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -134,5 +139,21 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM words UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT w.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, w.doc_id = min(r.b) AS kept
 FROM words w JOIN reach r ON r.a = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id GROUP BY w.doc_id
+""",
+    "op12_lexical_search": r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+docs AS (SELECT d, doc_id, w, len(w) AS n FROM cut WHERE len(w) > 0),
+totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(w) AS t FROM docs) GROUP BY 1, 2),
+weights AS (SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, totals GROUP BY t),
+scores AS (
+  SELECT item_id, d, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM wanted JOIN tf USING (t) JOIN weights USING (t) JOIN docs USING (d), totals GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores JOIN docs USING (d) WHERE score > 0
+QUALIFY rank <= 50
 """,
 }
