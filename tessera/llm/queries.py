@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.collocations import collocations
 from tessera.llm.decontaminate import contamination
 from tessera.llm.html_extract import main_text
 from tessera.llm.langid import identify
@@ -96,6 +97,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -155,5 +160,30 @@ scores AS (
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
 FROM scores JOIN docs USING (d) WHERE score > 0
 QUALIFY rank <= 50
+""",
+    "op13_phrase_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+cut AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+f AS (
+  SELECT lang, m, phrase, count(*)::BIGINT AS f
+  FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS phrase FROM cut, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)
+  GROUP BY 1, 2, 3),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+candidates AS (SELECT lang, m, phrase, f AS a FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, a, k, phrase[1:k] AS x, phrase[k + 1:m] AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f::HUGEINT + q.f))::BIGINT AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = x JOIN f q ON q.lang = c.lang AND q.phrase = y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, phrase[i:i + s - 1] AS phrase, a FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates))),
+held AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY 1, 2),
+kept AS (
+  SELECT b.lang, array_to_string(b.phrase, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang)
+QUALIFY rank <= 2000
 """,
 }
