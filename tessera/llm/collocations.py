@@ -211,9 +211,9 @@ def _blocks(df: DataFrame, n: int, size: int, columns: list[str]) -> Iterator[pd
 
 
 def _words_numbered(docs: DataFrame, vocabulary: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """(words, symbols, wide) of each document with a frequent word; symbols are the words."""
+    """(words, wide) of each document with a frequent word."""
     spark = docs.sparkSession
-    rows = docs.select("lang", "text", F.lit(None).cast("binary").alias("words"))
+    rows, before = docs.select("lang", "text", F.lit(None).cast("binary").alias("words")), []
     for at, block in enumerate(_blocks(vocabulary, n, BLOCK_WORDS, ["lang", "word"])):
         known: dict[str, dict[bytes, int]] = defaultdict(dict)
         for i, lang, word in zip(block["id"].tolist(), block["lang"], block["word"], strict=True):
@@ -221,10 +221,9 @@ def _words_numbered(docs: DataFrame, vocabulary: DataFrame, n: int, scratch: Scr
         last = (at + 1) * BLOCK_WORDS >= n
         filled = rows.mapInArrow(_number_words(spark.sparkContext.broadcast(dict(known)), at == 0, last), "lang string, text string, words binary, wide int")
         saved = scratch.save(filled, "words")
-        if at:
-            scratch.drop(rows)
-        rows = saved if last else saved.drop("wide")
-    return rows.select("words", F.col("words").alias("symbols"), "wide")
+        scratch.drop(*before)
+        rows, before = saved.drop("wide"), [saved]
+    return saved
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +242,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch
     empty = F.array().cast("array<bigint>")
     words = vocabulary.select("id", "lang", F.col("word").cast("string").alias("phrase"), "n", empty.alias("ls"), empty.alias("rs"), F.array().cast("array<struct<length:int,id:bigint>>").alias("inner"))
     levels = [words.withColumns({"left": F.lit(None).cast("long"), "right": F.lit(None).cast("long"), "tail": F.lit(None).cast("long")})]
-    rows = _words_numbered(docs, vocabulary, n_words, scratch)
+    numbered = _words_numbered(docs, vocabulary, n_words, scratch)
+    rows = numbered.select("words", F.col("words").alias("symbols"), "wide")
     n = n_words
     for length in range(1, longest):
         if not n:
@@ -260,6 +260,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, scratch: Scratch
                 order = np.argsort(key)
                 shared = spark.sparkContext.broadcast((key[order], block["id"].to_numpy(np.int64)[order], n_words))
                 longer = scratch.save(longer.mapInArrow(_number_phrases(shared, length, at == 0), "words binary, symbols binary, longer binary, wide int"), "symbols")
+                scratch.drop(numbered)
+                numbered = longer
             rows = longer.select("words", F.col("longer").alias("symbols"), "wide")
     out = None
     for length, level in enumerate(levels, 1):
