@@ -33,7 +33,9 @@ SIDE, DENSE = 1024, 16_384
 #: Dense tiles that are counted at a time (8 MB each).
 AT_A_TIME = 8
 #: Word occurrences after which a task hands on its counts, and different words.
-FLUSH, FLUSH_WORDS = 4_000_000, 400_000
+FLUSH, FLUSH_WORDS = 1_000_000, 200_000
+#: Texts whose symbols are filled in at a time.
+TEXTS = 1000
 #: Words, or symbols of phrases, that are broadcast at a time.
 BLOCK_WORDS, BLOCK_PHRASES = 400_000, 2_000_000
 
@@ -124,13 +126,13 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     Pairs of tiles that hold many are counted in a dense table of their tile, all others in sorted order.
     """
     tile = (left // SIDE) << 32 | right // SIDE
-    tiles, of, n = np.unique(tile, return_inverse=True, return_counts=True)
+    tiles, n = np.unique(tile, return_counts=True)
     dense = np.flatnonzero(n >= DENSE)
     out = []
     if len(dense):
-        place = np.full(len(tiles), -1, np.int64)
+        place = np.full(len(tiles), -1, np.int32)
         place[dense] = np.arange(len(dense))
-        at = place[of]
+        at = place[np.searchsorted(tiles, tile)]
         cell = (left % SIDE) * SIDE + right % SIDE
         for begin in range(0, len(dense), AT_A_TIME):
             mine = np.flatnonzero((at >= begin) & (at < begin + AT_A_TIME))
@@ -141,10 +143,12 @@ def count_pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
             out.append(((corner >> 32) * SIDE + inner // SIDE, (corner & 0xFFFFFFFF) * SIDE + inner % SIDE, counts[found]))
         sparse = np.flatnonzero(at < 0)
         left, right = left[sparse], right[sparse]
-    order = np.lexsort((right, left))
-    left, right = left[order], right[order]
-    begin = np.flatnonzero((np.diff(left, prepend=-1) != 0) | (np.diff(right, prepend=-1) != 0))
-    out.append((left[begin], right[begin], np.diff(begin, append=len(left))))
+    if len(left) and max(left.max(), right.max()) < 1 << 31:
+        key, n = np.unique(left << 32 | right, return_counts=True)
+        out.append((key >> 32, key & 0xFFFFFFFF, n))
+    else:
+        (left, right), n = np.unique(np.stack([left, right]), axis=1, return_counts=True)
+        out.append((left, right, n))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -182,7 +186,7 @@ def _number_phrases(block, length: int, first: bool):
         keys, ids, n_words = block.value
 
         def rows() -> Iterator[tuple]:
-            for batch in batches:
+            for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
                 wide = batch.column(3)
                 lists = [_numbers(batch.column(i), wide) for i in range(3)]
                 cuts = np.cumsum([len(x) for x in lists[0]])
