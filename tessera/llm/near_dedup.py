@@ -85,21 +85,27 @@ def registers(items: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LARGEST + 1).astype(np.uint16)
 
 
+def set_digest(items: np.ndarray) -> str | None:
+    """128 bits that are equal for equal sets: two independent sums of mixed hashes; none for an empty set."""
+    if not len(items):
+        return None
+    a, b = (int(_mix(x).sum(dtype=np.uint64)) for x in (items, items ^ _U(0xA0761D6478BD642F)))
+    return f"{a:016x}{b:016x}"
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for text in batch["text"]:
             items = shingle_set(text)
-            # Two independent sums of mixed hashes: equal for equal sets, whatever their order.
-            a = int(_mix(items).sum(dtype=np.uint64))
-            b = int(_mix(items ^ _U(0xA0761D6478BD642F)).sum(dtype=np.uint64))
-            rows.append((len(items), f"{a:016x}{b:016x}" if len(items) else None, registers(items).tobytes() if len(items) else None))
+            rows.append((len(items), set_digest(items), registers(items).tobytes() if len(items) else None))
         yield pd.DataFrame({"doc_id": batch["doc_id"], **dict(zip(("n_shingles", "set_digest", "sketch"), zip(*rows, strict=True), strict=True))} if rows else {"doc_id": [], "n_shingles": [], "set_digest": [], "sketch": []})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "items": [shingle_set(t).tobytes() for t in batch["text"]]})
+        sets = [shingle_set(t) for t in batch["text"]]
+        yield pd.DataFrame({"set_digest": [set_digest(s) for s in sets], "items": [s.tobytes() for s in sets]})
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,7 +116,7 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = np.broadcast_to(np.arange(M // ROWS, dtype=np.uint64), regs.shape[:2]).copy()
             for i in range(ROWS):
                 key = _mix(key * _U(0x9E3779B97F4A7C15) + regs[:, :, i])
-            yield pd.DataFrame({"bucket": key.view(np.int64).ravel(), "id": np.repeat(batch["doc_id"].to_numpy(), M // ROWS), "bits": 0})
+            yield pd.DataFrame({"bucket": key.view(np.int64).ravel(), "id": np.repeat(batch["id"].to_numpy(), M // ROWS), "bits": 0})
 
 
 def similarity(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -209,8 +215,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     component_id is the smallest doc_id that links reach, and that document is
     kept. Null and wordless texts have an empty set: they link with nothing and
     are kept. Rows that repeat a doc_id share its component; they are linked by
-    it. A null doc_id can't be linked: its component is null and it is kept.
-    Other columns are ignored; an empty table gives an empty result. Missing a
+    it, whatever their texts. A null doc_id can't be linked: its component is
+    null and it is kept. Other columns are ignored; an empty table gives an empty result. Missing a
     link needs all 32 bands to differ: about 5 in a million at 0.75, less above.
     """
     spark = docs.sparkSession
@@ -218,21 +224,29 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = scratch.save(docs.mapInPandas(_sketch, "doc_id long, n_shingles long, set_digest string, sketch binary"), "sketches")
     known = sketched.where("doc_id is not null and set_digest is not null")
-    # A class is a distinct set; ``id`` is its smallest doc_id.
-    classes = scratch.save(known.groupBy("set_digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
-    firsts = known.join(classes.select("set_digest", F.col("id").alias("doc_id")), ["set_digest", "doc_id"]).dropDuplicates(["doc_id", "set_digest"])
-    firsts = scratch.save(firsts.select("doc_id", "n_shingles", "sketch"), "firsts")
-    members = firsts.mapInPandas(_bands, "bucket long, id long, bits long")
+    # A class is a distinct set, whichever documents have it; all search is over classes. Its text is read from the first of them.
+    classes = scratch.save(known.groupBy("set_digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    firsts = known.join(classes.select("set_digest", "id", F.col("first").alias("doc_id")), ["set_digest", "doc_id"]).dropDuplicates(["id"])
+    firsts = scratch.save(firsts.select("id", "doc_id", "set_digest", "n_shingles", "sketch"), "firsts")
+    members = firsts.select("id", "sketch").mapInPandas(_bands, "bucket long, id long, bits long")
+
+    def sets_of(ids: DataFrame, n: int) -> DataFrame:
+        """(id, items) of classes; a doc_id may have several texts, so the digest says which is meant."""
+        wanted = scratch.save(firsts.join(bounded(ids), "id", "left_semi").select("id", "doc_id", "set_digest"), "wanted")
+        texts = only_keys(docs, scratch.save(wanted.select("doc_id").distinct(), "wanted-ids", n), ["doc_id"])
+        items = texts.mapInPandas(_sets, "set_digest string, items binary").join(bounded(wanted.select("id", "set_digest")), "set_digest")
+        return scratch.save(items.select("id", "items").dropDuplicates(["id"]), "sets", n, 5_000)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = firsts.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        right = firsts.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        left = firsts.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        right = firsts.select(F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
         n = pairs.count()
         guessed = pairs.join(left, "a").join(right, "b").mapInPandas(_estimate, "a long, b long, guess double")
         guessed = scratch.save(guessed, "estimates", n, 20_000)
         near = guessed.where(F.col("guess") >= THRESHOLD - MARGIN)
-        ids = scratch.save(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "wanted", n)
-        items = scratch.save(only_keys(docs, ids, ["doc_id"]).mapInPandas(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets", ids.count(), 5_000)
+        ids = scratch.save(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "open", n)
+        items = sets_of(ids, ids.count())
         both = near.select("a", "b").join(items.toDF("a", "items_a"), "a").join(items.toDF("b", "items_b"), "b")
         sure = both.mapInPandas(_confirm, "a long, b long, linked boolean, exact double")
         far = guessed.where(F.col("guess") < THRESHOLD - MARGIN)
@@ -241,20 +255,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
         )
 
     def compare(blocks: DataFrame, seen: DataFrame) -> DataFrame:
-        blocks = scratch.save(_by_size(blocks, firsts.select(F.col("doc_id").alias("id"), "n_shingles"), scratch), "blocks")
-        ids = scratch.save(blocks.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-        items = scratch.save(only_keys(docs, ids, ["doc_id"]).mapInPandas(_sets, "doc_id long, items binary").dropDuplicates(["doc_id"]), "sets", ids.count(), 5_000)
+        blocks = scratch.save(_by_size(blocks, firsts.select("id", "n_shingles"), scratch), "blocks")
+        ids = scratch.save(blocks.select("id").distinct(), "open")
+        items = sets_of(ids, ids.count())
         groups = 1 + (blocks.agg(F.sum("n_shingles")).first()[0] or 0) // POOL
-        full = blocks.join(items.withColumnRenamed("doc_id", "id"), "id").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
+        full = blocks.join(items, "id").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(groups)))
         return full.groupBy("g").applyInPandas(lambda rows: _compare(rows), "a long, b long")
 
     links = star_links(in_buckets([members], scratch), verify, compare, scratch)
     # The same doc_id on different texts joins their classes too.
-    repeats = known.select("doc_id", "set_digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    repeats = known.join(repeats, "doc_id").join(classes.select("set_digest", "id"), "set_digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    tree = components(links.union(repeats), scratch)
-    merged = classes.join(tree, "id", "left").where("n > 1 or component is not null")
-    merged = scratch.save(merged.select("set_digest", F.coalesce("component", "id").alias("component")), "merged")
+    own = known.select("doc_id", "set_digest").distinct()
+    repeats = scratch.save(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    own = own.join(bounded(repeats), "doc_id").join(classes.select("set_digest", "id"), "set_digest").select("doc_id", "id")
+    own = own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    tree = components(links.union(own), scratch)
+    placed = scratch.save(classes.join(tree, "id", "left").where("n > 1 or component is not null").select("set_digest", "first", F.coalesce("component", "id").alias("part")), "placed")
+    smallest = scratch.save(placed.groupBy("part").agg(F.min("first").alias("component")), "smallest")
+    merged = scratch.save(placed.join(smallest, "part").select("set_digest", "component"), "merged")
     out = sketched.select("doc_id", "n_shingles", "set_digest").join(merged, "set_digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

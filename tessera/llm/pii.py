@@ -29,8 +29,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Documents with candidates from which the field is trained, in expectation; passes over them; step; strength of the prior.
-TRAIN_DOCS, PASSES, STEP, PRIOR = 600, 6, 0.3, 1e-3
+#: Documents with candidates from which the field is trained and stretches of them, in expectation; passes over them; step; strength of the prior.
+TRAIN_DOCS, TRAIN_STRETCHES, PASSES, STEP, PRIOR = 600, 12_000, 6, 0.3, 1e-3
 #: Tokens in a segment at most (no entity of the four kinds is longer), and the probability from which a span is added.
 LONGEST, SURE = 32, 0.9
 #: Characters before a segment that are searched for cue words.
@@ -41,7 +41,8 @@ _IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.DOTALL)
 _HOT = re.compile(r"[0-9@]+|[\[(](?:at|AT)[\])]| at (?=[A-Za-z0-9-]+ dot )")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:[\[(](?:at|AT)[\])]|at) ?[A-Za-z0-9-]+(?: ?(?:[\[(](?:dot|DOT)[\])]|dot|\.) ?[A-Za-z0-9-]+)+")
+# Spelled-out signs stand alone or in brackets, so that no character can be read both as a part of a word and of a sign.
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[(](?:at|AT)[\])] ?| at )[A-Za-z0-9-]+(?:(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?| dot )[A-Za-z0-9-]+)+")
 _CUES = {
     "email": re.compile(r"(?i)(e-?mail|mail|contact|correo|courriel)\W*\Z"),
     "ip": re.compile(r"(?i)(ip|host|server|address|adresse)\W*\Z"),
@@ -299,26 +300,33 @@ def _rewritten(text: str, spans: list[tuple[int, int, str]], order: random.Rando
 
 
 def fit(docs: DataFrame) -> dict[tuple[str, str], float]:
-    """A field trained on a bounded sample of ``docs``: about ``TRAIN_DOCS`` texts with a digit or sign, chosen by a hash."""
+    """A field trained on a bounded sample of ``docs``.
+
+    Of the texts with a digit or sign about ``TRAIN_DOCS`` are chosen by a hash,
+    each once; of all stretches in them that may hold an entity about
+    ``TRAIN_STRETCHES``, by a hash again. It doesn't depend on partitions.
+    """
     hot = docs.where(F.col("text").rlike("[0-9@]")).select("text")
     n = hot.count()
     if not n:
         return {}
     # Stretches only: a sampled text may be long. Each is cut in its task, with its surroundings.
-    sample = hot.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 20)) < int(min(1.0, TRAIN_DOCS / n) * (1 << 20)))
+    sample = hot.where(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(1 << 20)) < int(min(1.0, TRAIN_DOCS / n) * (1 << 20))).distinct()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 spans = base_spans(text)
-                for a, b in list(zones(text))[:20]:
+                for a, b in zones(text):
                     low, high = max(0, a - BEFORE), min(len(text), b + BEFORE)
                     inside = [(s - low, e - low, k) for s, e, k in spans if s >= a and e <= b]
                     rows.append((text[low:high], a - low, b - low, [x[0] for x in inside], [x[1] for x in inside], [x[2] for x in inside]))
             yield pd.DataFrame(rows, columns=["text", "a", "b", "starts", "ends", "kinds"])
 
-    got = sample.mapInPandas(cut, "text string, a int, b int, starts array<int>, ends array<int>, kinds array<string>").limit(20 * TRAIN_DOCS).collect()
+    stretches = sample.mapInPandas(cut, "text string, a int, b int, starts array<int>, ends array<int>, kinds array<string>").dropDuplicates(["text", "a", "b"])
+    share = min(1.0, TRAIN_STRETCHES / max(1, stretches.count()))
+    got = stretches.where(F.pmod(F.xxhash64("text", "a", "b"), F.lit(1 << 20)) < int(share * (1 << 20))).collect()
     order = random.Random(1)
     examples = []
     for r in sorted(got, key=lambda r: (r["text"], r["a"])):
