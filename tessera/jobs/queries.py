@@ -20,7 +20,8 @@ def section_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best covered sections of each project that fit the character budget."""
     scored = sections.score(sections.scan_sections(markdown_files(spark, sf_dir)), TERMS)
     scored = scored.where(sections.covered(F.col("matches"), len(TERMS)))
-    return sections.fit_budget(sections.best(scored, 24), 6000).select("project", "path", "line_start", "rank", "score", F.length("text").alias("n_chars"))
+    narrow = scored.select("project", "path", "line_start", "score", F.length("text").alias("n_chars"))
+    return sections.fit_budget(sections.best(narrow, 24), 6000, size=F.col("n_chars")).select("project", "path", "line_start", "rank", "score", "n_chars")
 
 
 def section_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,24 +2,44 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import once
 
+# How list items begin, and what names a typed section.
 BLOCK = r"(?s).*?(?:\n\s*\n|\z)"
 ITEM = r"(?md)(?=^[ \t]*(?:[-*+]|\d+[.)])\s)"
+TYPES = {"требования": "requirement", "решения": "decision", "риски": "risk", "открытые вопросы": "open_question", "действия": "action"}
+SENTENCE = r"[^.!?\n]+[.!?]?\s*|\n+|[.!?]+\s*"
+MARKED = r"\A[ \t]*(?:[-*+]|\d+[.)])\s"
 HEADING = r"(?s)\A\s*#{1,6}\s+\S[^\n]*\s*\z"
 
 
+#: Pieces whose places are summed up together.
+_RUN = 256
+
+
 def _placed(pieces: Column) -> Column:
-    """Consecutive pieces as structs (start, text)."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    return F.aggregate(
-        pieces, state,
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), p.alias("text"))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    """Consecutive pieces as structs (start, text).
+
+    Places are summed up in runs and over the runs, so that the work grows with
+    the number of pieces and not with its square.
+    """
+    def running(values: Column, begin: Column) -> Column:
+        state = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, state, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def place(pieces: Column) -> Column:
+        begins = F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(begins, lambda at: F.transform(F.slice(pieces, at, _RUN), F.length))
+        sums = lambda runs: F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n))
+        starts = once(runs, lambda runs: once(running(sums(runs), F.lit(0)), lambda bases: F.flatten(F.transform(runs, lambda r, i: running(r, F.get(bases, i))))))
+        return F.zip_with(starts, pieces, lambda at, p: F.struct(at.alias("start"), p.alias("text")))
+
+    return once(pieces, place)
 
 
 def semantic_units(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
@@ -102,3 +122,132 @@ def inbox(files: DataFrame, state: DataFrame, indexed: DataFrame, hidden: list[s
     rows = files.join(state, "id", "left").withColumn("status", F.coalesce("status", F.lit("new")))
     rows = rows.where(~F.col("status").isin(hidden)).join(indexed.select("id").distinct(), "id", "left_anti")
     return rows.orderBy(F.desc("mtime"), "id").limit(limit)
+
+
+def section_type(line: Column) -> Column:
+    """What a line that is nothing but the name of a typed section stands for, with or without a heading's marks and a colon; else null."""
+    name = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")), r"^#{1,6}\s*", ""), r"\s*:?\s*$", "")
+    name = F.regexp_replace(F.replace(F.lower(name), F.lit("ё"), F.lit("е")), r"\s+", " ")
+    return F.coalesce(*(F.when(name == n, F.lit(t)) for n, t in TYPES.items()))
+
+
+def _titles(docs: DataFrame) -> DataFrame:
+    """(_doc, line, level, title) of headings: ``line`` is where one begins in its text; the title's type stands before it."""
+    lines = docs.select("_doc", F.explode(_placed(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0)))).alias("l"))
+    said = F.regexp_replace("l.text", r"[\r\n]+$", "")
+    lines = lines.select("_doc", F.col("l.start").alias("line"), said.alias("said"))
+    fence = F.left(F.regexp_extract("said", r"^[ \t]{0,3}(`{3,}|~{3,})", 1), F.lit(1))
+    marker, typed = F.regexp_extract("said", r"^(#{1,6})\s+\S", 1), section_type(F.col("said"))
+    level = F.when(marker != "", F.length(marker)).when(typed.isNotNull(), 1).otherwise(0)
+    rows = lines.select("_doc", "line", fence.alias("fence"), level.alias("level"), F.concat(F.coalesce(typed, F.lit("")), F.lit("\n"), F.trim(F.regexp_replace("said", r"^#{1,6}\s+|\s+$", ""))).alias("title"))
+    rows = rows.where("fence <> '' or level > 0").distinct()
+    # A fence is open between its first mark and the next of its kind: how many marks of the kind that opened stand before a heading.
+    kinds = rows.where("fence <> ''").groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("line", "fence"))).alias("fences"))
+    walked = F.aggregate(
+        F.col("fences"), F.struct(F.lit("").alias("open"), F.lit(-1).alias("at"), F.lit(False).alias("hid")),
+        lambda acc, f: F.when(f["line"] >= F.col("line"), acc).when(acc["open"] == "", F.struct(f["fence"].alias("open"), f["line"].alias("at"), F.lit(True).alias("hid")))
+        .when(acc["open"] == f["fence"], F.struct(F.lit("").alias("open"), f["line"].alias("at"), F.lit(False).alias("hid"))).otherwise(acc),
+        lambda acc: acc["hid"],
+    )
+    out = rows.where("level > 0 and fence = ''").join(kinds, "_doc", "left")
+    return out.where(F.coalesce(F.when(F.col("fences").isNotNull(), ~walked), F.lit(True))).select("_doc", "line", "level", "title")
+
+
+def context_chunks(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
+    """(key, index, start, end, boundary, heading, stack, type_hint, text): the units of texts, each with the headings it stands under.
+
+    Paragraphs are units, their list items each alone; those above ``limit`` are
+    cut into sentences, and sentences above it into pieces of that many
+    characters (boundary: paragraph, list_item, sentence or character). Blank
+    paragraphs and those that are only a heading are none. Offsets are half-open,
+    in code points: the text from start to end is the unit. Headings count from
+    the place after the one where they begin, outside of fenced code; type_hint is
+    that of the innermost typed heading. Null texts have no units; rows that
+    repeat a key are cut each.
+    """
+    if limit <= 0:
+        raise ValueError("limit")
+    docs = docs.where("text is not null").select(key, "text", F.sha2(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("")), "text").cast("binary"), 256).alias("_doc"))
+    blocks = docs.select(key, "_doc", F.explode(_placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
+    blocks = blocks.where((F.regexp_replace("b.text", r"\s", "") != "") & ~F.col("b.text").rlike(HEADING) & section_type(F.col("b.text")).isNull())
+    parts = blocks.select(key, "_doc", F.col("b.start").alias("_block"), F.explode(once(F.split("b.text", ITEM), _placed)).alias("p"))
+    parts = parts.where(F.regexp_replace("p.text", r"\s", "") != "").withColumn("start", F.col("_block") + F.col("p.start"))
+    long = F.length("p.text") > limit
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("p.text").alias("text")))
+    sentences = parts.select(key, "_doc", "_block", "start", long.alias("_long"), F.col("p.text").rlike(MARKED).alias("_item"), F.explode(F.when(long, _placed(F.regexp_extract_all("p.text", F.lit(SENTENCE), F.lit(0)))).otherwise(whole)).alias("s"))
+    cuts = sentences.select(key, "_doc", "_block", (F.col("start") + F.col("s.start")).alias("start"), "_long", "_item", F.col("s.text").alias("text"), F.explode(F.sequence(F.lit(0), F.length("s.text") - 1, F.lit(limit))).alias("_at"))
+    text = F.substring("text", F.col("_at") + 1, F.lit(limit))
+    boundary = F.when(F.length("text") > limit, "character").when(F.col("_long"), "sentence").when(F.col("_item"), "list_item").otherwise("paragraph")
+    units = cuts.select(key, "_doc", "_block", (F.col("start") + F.col("_at")).alias("start"), (F.col("start") + F.col("_at") + F.length(text)).alias("end"), boundary.alias("boundary"), text.alias("text"))
+    stacks = heading_stacks(units.select("_doc", F.col("_block").alias("line")).distinct(), _titles(docs), "_doc").withColumnRenamed("line", "_block")
+    out = units.join(stacks, ["_doc", "_block"], "left")
+    # Numbered by place; of rows that repeat a document each unit has the same number.
+    numbers = units.select("_doc", "start").distinct().withColumn("index", F.row_number().over(Window.partitionBy("_doc").orderBy("start")) - 1)
+    out = out.join(numbers, ["_doc", "start"])
+    titles = F.transform("stack", lambda t: F.substring_index(t, "\n", -1))
+    hints = F.filter(F.transform("stack", lambda t: F.substring_index(t, "\n", 1)), lambda t: t != "")
+    return out.select(key, "index", "start", "end", "boundary", F.coalesce(F.try_element_at(titles, F.lit(-1)), F.lit("")).alias("heading"), titles.alias("stack"), F.try_element_at(hints, F.lit(-1)).alias("type_hint"), "text")
+
+
+def packed_chunks(units: DataFrame, limit: int, most_units: int, overlap: int = 0, key: str = "doc_id") -> DataFrame:
+    """(key, chunk, start, end, n_units): consecutive units (key, start, end) packed into chunks.
+
+    A chunk takes units while it spans at most ``limit`` characters and
+    ``most_units`` units; one unit that is longer is a chunk alone. The next chunk
+    begins with the first unit that starts at most ``overlap`` characters before
+    the end of this one, but after this one's first unit. Only places are
+    shuffled, and a document's chunks are found by one search each.
+    """
+    if limit <= 0 or most_units <= 0 or not 0 <= overlap < limit:
+        raise ValueError("limits")
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[["start", "end"]].drop_duplicates().sort_values("start")
+        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
+        out, at = [], 0
+        while at < len(start):
+            past = max(at + 1, min(int(np.searchsorted(end, start[at] + limit, "right")), at + most_units))
+            out.append((start[at], end[past - 1], past - at))
+            if past == len(start):
+                break
+            at = max(at + 1, min(past, int(np.searchsorted(start, end[past - 1] - overlap, "left")))) if overlap else past
+        return pd.DataFrame(out, columns=["start", "end", "n_units"])
+
+    kind = dict(units.dtypes)[key]
+
+    def grouped(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = pack(rows)
+        out.insert(0, "chunk", np.arange(len(out)))
+        out.insert(0, key, [at[0]] * len(out))
+        return out
+
+    return units.select(key, "start", "end").groupBy(key).applyInPandas(grouped, f"{key} {kind}, chunk int, start int, end int, n_units int")
+
+
+#: Choices of evidence that a unit offers at most.
+SPANS = 12
+
+
+def evidence_spans(chunks: DataFrame, most: int = SPANS) -> DataFrame:
+    """chunks (start, text, ...) with ``spans``: array of (id, start, end, global_start, global_end, text), ``most`` at most.
+
+    A list item is one span, other texts have one for each sentence, without
+    outer white space; if there are too many, neighbours are joined, equally many
+    to each but the last. What has no sentence is one span; a blank text has none.
+    """
+    def cut(text: Column) -> Column:
+        pieces = F.filter(_placed(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?|[.!?\n]+"), F.lit(0))), lambda p: p["text"].rlike(r"[^.!?\n]") & p["text"].rlike(r"\S"))
+        left = lambda t: F.length(t) - F.length(F.regexp_replace(t, r"\A\s+", ""))
+        right = lambda t: F.length(F.regexp_replace(t, r"\s+\z", ""))
+        one = F.array(F.struct(left(text).alias("start"), right(text).alias("end")))
+        spans = F.transform(pieces, lambda p: F.struct((p["start"] + left(p["text"])).alias("start"), (p["start"] + right(p["text"])).alias("end")))
+        return F.when(text.rlike(MARKED), one).otherwise(once(spans, lambda s: F.when(F.size(s) == 0, one).otherwise(s)))
+
+    def join(spans: Column) -> Column:
+        size = F.ceil(F.size(spans) / most).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.size(spans) - 1, size), lambda i: F.struct(F.get(spans, i)["start"].alias("start"), F.get(spans, F.least(i + size, F.size(spans)) - 1)["end"].alias("end")))
+
+    bounds = F.when(F.col("text").rlike(r"\S"), once(once(F.col("text"), cut), join)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    return chunks.withColumn("_bounds", bounds).withColumn("spans", F.transform("_bounds", lambda b, i: F.struct(
+        F.concat(F.lit("E"), (i + 1).cast("string")).alias("id"), b["start"].alias("start"), b["end"].alias("end"), (F.col("start") + b["start"]).alias("global_start"),
+        (F.col("start") + b["end"]).alias("global_end"), F.substring("text", b["start"] + 1, b["end"] - b["start"]).alias("text")))).drop("_bounds")

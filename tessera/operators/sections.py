@@ -71,15 +71,17 @@ def best(sections: DataFrame, n: int) -> DataFrame:
 def fit_budget(ranked: DataFrame, capacity: int, key: str = "project", size: Column | None = None) -> DataFrame:
     """Rows (key, rank, text, ...) that fit: taken in order, one that would overflow is skipped and smaller later ones may fit.
 
-    For short ranked lists (see :func:`best`): a key's lengths are gathered in one row.
+    For short ranked lists (see :func:`best`): a key's rows are gathered in one, so
+    they should be narrow; texts are better joined to those that stay.
     """
     size = F.length("text") if size is None else size
-    lists = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", size.alias("size")))).alias("rows"))
+    lists = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", size.alias("size"), F.struct(*ranked.columns).alias("row")))).alias("rows"))
     state = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
 
     def take(acc: Column, row: Column) -> Column:
         fits = acc["used"] + row["size"] <= capacity
         return F.struct(F.when(fits, acc["used"] + row["size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["taken"], row["rank"])).otherwise(acc["taken"]).alias("taken"))
 
-    taken = lists.select(key, F.explode(F.aggregate("rows", state, take, lambda acc: acc["taken"])).alias("rank"))
-    return ranked.join(taken, [key, "rank"])
+    taken = lists.select("rows", F.aggregate("rows", state, take, lambda acc: acc["taken"]).alias("taken"))
+    kept = F.transform(F.filter("rows", lambda r: F.array_contains("taken", r["rank"])), lambda r: r["row"])
+    return taken.select(F.inline(kept))

@@ -3,14 +3,14 @@
 import pytest
 from conftest import SMALL, rows_of
 
-from tessera.jobs import governance, governance_sql, oracles
+from tessera.jobs import governance, governance_sql, knowledge, knowledge_sql, oracles
 from tessera.jobs import queries as library
 
-ORACLE_SQL = oracles.ORACLE_SQL | governance_sql.ORACLE_SQL
+ORACLE_SQL = oracles.ORACLE_SQL | governance_sql.ORACLE_SQL | knowledge_sql.ORACLE_SQL
 
 
 def queries():
-    return library.queries() | governance.queries()
+    return library.queries() | governance.queries() | knowledge.queries()
 
 
 def test_all_have_sql():
