@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import chunks, containment, evidence, memory, packages, sections
+from tessera.functions import excerpts
+from tessera.operators import chunks, conflicts, containment, evidence, masking, memory, packages, projects, protection, records, sections
 from tessera.sources.tables import table
 
 #: What the memory queries ask for.
@@ -143,5 +144,80 @@ def dialogue_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("package_id", F.sha2(F.col("memory_text").cast("binary"), 256).alias("sha256"), "memory_chars", "context_chars", "n_selected", "n_included")
 
 
+def masking_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents masked by the chain of rules; of every eleventh length masking isn't available, of every thirteenth a review found more."""
+    docs = table(spark, sf_dir, "documents")
+    out = masking.masking_report(docs, reviewed=F.pmod("n_chars", F.lit(13)) == 0, available=F.pmod("n_chars", F.lit(11)) != 0)
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return out.select("doc_id", "status", "total", counts.alias("counts"), "suspected", "unresolved", "by_hand", F.sha2(F.col("masked").cast("binary"), 256).alias("sha256"))
+
+
+def fully_protected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under the whole table of rules."""
+    out = protection.protect(table(spark, sf_dir, "documents"), protection.RULES)
+    names = F.array_join(F.transform("findings", lambda f: f["pseudonym"]), ",")
+    return out.select("doc_id", "status", F.size("findings").alias("n_findings"), names.alias("pseudonyms"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def focused_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", excerpts.focused(F.col("text"), ["license", "tion", "ung", "contact", "eux"], 1200, 100, 400).alias("excerpt"))
+
+
+def _operations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as records of their customers' partitions, and confirmations of which some disagree with them."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey").cast("string")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "requirement").when(F.col("o_orderpriority") == "2-HIGH", "decision").when(F.col("o_orderpriority") == "5-LOW", "open_question").otherwise("risk")
+    base = orders.select(
+        F.lit("project").alias("scope"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("scope_ref"), key.alias("id"), kind.alias("kind"), F.col("o_orderstatus").alias("subject_ref"), F.col("o_totalprice").cast("string").alias("value"),
+        F.lit("").alias("reference"), F.lit("").alias("source_ref"), F.concat(F.lit("k"), key).alias("candidate_ref"), F.when(F.col("o_orderstatus") == "F", "retired").otherwise("active").alias("lifecycle"), F.lit("confirmed").alias("confirmation"),
+        F.concat(F.lit("e"), key).alias("confirmation_ref"), F.lit("standard").alias("sensitivity"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("x"), key)).otherwise("").alias("supersedes_id"), F.lit("2026-01-01").alias("created_at"), F.lit("2026-01-02").alias("updated_at"), "o_orderkey", "o_totalprice",
+    )
+    odd = lambda n: F.pmod(F.floor("o_totalprice"), F.lit(n)) == 0
+    items = base.withColumns({"kind": F.when(odd(151), "wish").otherwise(F.col("kind")), "subject_ref": F.when(odd(157), "no ref").otherwise(F.col("subject_ref"))}).drop("o_orderkey", "o_totalprice")
+    action = F.when((F.col("supersedes_id") != "") != odd(163), "replacement").otherwise("promotion")
+    proof = base.where(~odd(167)).select(
+        "scope", "scope_ref", F.col("confirmation_ref").alias("id"), action.alias("action"), F.when(odd(173), F.concat("id", F.lit("0"))).otherwise(F.col("id")).alias("target_item_id"), F.lit("actor").alias("actor_ref"),
+        F.when(odd(179), "s").otherwise("").alias("source_ref"), "candidate_ref", "created_at",
+    )
+    return items, proof
+
+
+def closed_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.partitions(*_operations(spark, sf_dir))
+
+
+def partition_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of partitions that stay open."""
+    return records.open_items(*_operations(spark, sf_dir)).select("scope_ref", "id")
+
+
+def _admission(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of two sources as what is known, then all documents as uploads: files are named by their length, a workspace is a language."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat("source", F.lit("-"), F.pmod("n_chars", F.lit(40)).cast("string"), F.when(F.pmod("n_chars", F.lit(9)) == 0, ".exe").otherwise(".txt"))
+    uploads = docs.select(F.col("lang").alias("workspace_id"), F.col("doc_id").cast("string").alias("upload_id"), F.col("doc_id").alias("seq"), name.alias("filename"), F.col("text").alias("content"), projects.refusal(name, F.col("text")).alias("refusal"), "source")
+    none = spark.createDataFrame([], "workspace_id string, upload_id string, seq long, source_id string, checksum string, name_key string, current boolean")
+    first, _ = records.admit(none, uploads.where("source in ('src0', 'src3')"))
+    return records.admit(first, uploads)
+
+
+def admitted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _admission(spark, sf_dir)[0].select("workspace_id", "upload_id", "source_id", "current")
+
+
+def admission_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _admission(spark, sf_dir)[1]
+
+
+def resolved_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as items, each in conflict with the next two; their events as decisions and resolutions."""
+    log = table(spark, sf_dir, "events")
+    users = log.select(F.col("user_id").alias("id")).distinct()
+    relations = users.where("id % 7 > 0").select("id", F.explode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("related_id"))
+    action = F.when(F.col("event_type") == "click", "confirm").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "purchase", "choose_current").when(F.col("event_type") == "signup", "keep_both").otherwise(F.when(F.col("event_id") % 3 == 0, "keep_open").otherwise("edit"))
+    return conflicts.resolved_conflicts(users, log.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), action.alias("action")), relations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries" and not name.startswith("_")}

@@ -64,6 +64,20 @@ walk AS (SELECT DISTINCT package_id, 0::BIGINT AS k, 0::BIGINT AS used, false AS
 refused AS (SELECT package_id FROM inputs WHERE layer = 'request' GROUP BY 1 HAVING sum(cost) > 60000),
 met AS (SELECT o.*, taken AND r.package_id IS NULL AS taken, used, r.package_id IS NOT NULL AS no FROM ordered o JOIN walk w USING (package_id, k) LEFT JOIN refused r ON r.package_id = o.package_id)"""
 
+_ODD = lambda n: f"floor(o_totalprice)::BIGINT % {n} = 0"
+_OPERATIONS = f"""o AS (SELECT 'c' || o_custkey AS scope_ref, o_orderkey::VARCHAR AS id, NOT ({_ODD(151)}) AND NOT ({_ODD(157)}) AS sound, {_ODD(167)} AS missing, {_ODD(163)} OR {_ODD(173)} OR {_ODD(179)} AS differs FROM orders),
+parts AS (SELECT 'project' AS scope, scope_ref, count(*) AS n_items, count(*) FILTER (WHERE NOT missing) AS n_evidence, count(*) FILTER (WHERE NOT sound OR missing OR differs) AS n_bad FROM o GROUP BY 1, 2)"""
+_ADMISSION = """u AS (SELECT coalesce(lang, '') AS w, lang AS workspace_id, doc_id AS seq, doc_id::VARCHAR AS upload_id, source || '-' || n_chars % 40 || CASE WHEN n_chars % 9 = 0 THEN '.exe' ELSE '.txt' END AS name, sha256(coalesce(text, '')) AS checksum,
+  CASE WHEN n_chars % 9 = 0 THEN 'unsupported' WHEN regexp_matches(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F]') THEN 'not_text' ELSE '' END AS refusal, source IN ('src0', 'src3') AS early FROM documents),
+one AS (SELECT *, row_number() OVER (PARTITION BY w, checksum ORDER BY seq) AS r FROM u WHERE early AND refusal = ''),
+known AS (SELECT * FROM one WHERE r = 1),
+late AS (SELECT * FROM u WHERE (w, upload_id) NOT IN (SELECT (w, upload_id) FROM known)),
+two AS (SELECT *, row_number() OVER (PARTITION BY w, checksum ORDER BY seq) = 1 AND (w, checksum) NOT IN (SELECT (w, checksum) FROM known) AS fresh FROM late WHERE refusal = ''),
+standing AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY w, name ORDER BY seq DESC) = 1),
+chain AS (SELECT *, lag(checksum) OVER c AS prior, lead(checksum) OVER c IS NULL AS current FROM (SELECT w, workspace_id, upload_id, seq, checksum, name, 0 AS n FROM standing UNION ALL SELECT w, workspace_id, upload_id, seq, checksum, name, 1 FROM two WHERE fresh) WINDOW c AS (PARTITION BY w, name ORDER BY n, seq)),
+ids AS (SELECT *, 'src-' || left(sha256(w || chr(10) || checksum), 16) AS source_id, 'src-' || left(sha256(w || chr(10) || prior), 16) AS supersedes_id FROM chain)"""
+
+
 ORACLE_SQL = {
     "related_sections": f"WITH {_MEMORY} SELECT * FROM related",
     "merged_candidates": f"""WITH {_MEMORY}, both_ AS (SELECT project, section_id, max(score) AS score FROM (SELECT project, section_id, score FROM direct UNION ALL SELECT project, section_id, score FROM related) GROUP BY 1, 2)
@@ -120,4 +134,17 @@ i AS (SELECT l_orderkey AS d, floor(l_quantity * 20)::BIGINT AS cost, row_number
 p AS (SELECT doc_id, t, room, coalesce(max(cost) FILTER (WHERE k = 1), room + 1) AS a, coalesce(max(cost) FILTER (WHERE k = 2), room + 1) AS b, coalesce(max(cost) FILTER (WHERE k = 3), room + 1) AS c, count(k) AS n FROM c LEFT JOIN i ON d = doc_id GROUP BY 1, 2, 3),
 x AS (SELECT *, CASE WHEN a <= room THEN a ELSE 0 END AS u1 FROM p), y AS (SELECT *, CASE WHEN u1 + b <= room THEN u1 + b ELSE u1 END AS u2 FROM x), z AS (SELECT *, CASE WHEN u2 + c <= room THEN u2 + c ELSE u2 END AS u3 FROM y)
 SELECT doc_id AS package_id, sha256(left(t, 2000 - u3)) AS sha256, len(left(t, 2000 - u3)) AS memory_chars, u3 AS context_chars, n AS n_selected, (a <= room)::INTEGER + (u1 + b <= room)::INTEGER + (u2 + c <= room)::INTEGER AS n_included FROM z""",
+    "closed_partitions": f"WITH {_OPERATIONS} SELECT *, CASE WHEN n_bad > 0 THEN 'closed' ELSE 'open' END AS state FROM parts",
+    "partition_items": f"WITH {_OPERATIONS} SELECT scope_ref, id FROM o JOIN parts USING (scope_ref) WHERE n_bad = 0",
+    "admitted_files": f"""WITH {_ADMISSION} SELECT workspace_id, upload_id, source_id, current FROM ids UNION ALL
+SELECT workspace_id, upload_id, 'src-' || left(sha256(w || chr(10) || checksum), 16), false FROM known WHERE (w, upload_id) NOT IN (SELECT (w, upload_id) FROM ids)""",
+    "admission_outcomes": f"""WITH {_ADMISSION} SELECT workspace_id, upload_id, CASE WHEN prior IS NULL THEN 'accepted' ELSE 'new_version' END AS outcome, source_id, supersedes_id FROM ids WHERE n = 1
+UNION ALL SELECT workspace_id, upload_id, 'duplicate', 'src-' || left(sha256(w || chr(10) || checksum), 16), NULL FROM two WHERE NOT fresh UNION ALL SELECT workspace_id, upload_id, refusal, NULL, NULL FROM late WHERE refusal <> ''""",
+    "resolved_conflicts": """WITH RECURSIVE log AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'click' THEN 'confirm' WHEN 'error' THEN 'reject' WHEN 'purchase' THEN 'choose_current' WHEN 'signup' THEN 'keep_both' ELSE CASE WHEN event_id % 3 = 0 THEN 'keep_open' ELSE 'edit' END END AS a FROM events),
+touched AS (SELECT id, seq, a, true AS own FROM log WHERE a IN ('confirm', 'reject', 'edit') OR id % 7 > 0 UNION ALL SELECT id + k, seq, a, false FROM log, (SELECT unnest([1, 2]) AS k) WHERE id % 7 > 0 AND a IN ('choose_current', 'keep_both')),
+steps AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM touched WHERE id IN (SELECT id FROM log)),
+walk AS (SELECT DISTINCT id, 0::BIGINT AS k, 'requires_review' AS status, true AS current FROM log UNION ALL
+SELECT w.id, s.k, CASE a WHEN 'choose_current' THEN CASE WHEN own THEN 'confirmed' ELSE 'superseded' END WHEN 'keep_both' THEN 'confirmed' WHEN 'keep_open' THEN 'conflicted' ELSE CASE WHEN NOT w.current THEN w.status WHEN a = 'confirm' THEN 'confirmed' WHEN a = 'reject' THEN 'rejected' ELSE 'superseded' END END,
+  CASE a WHEN 'choose_current' THEN own WHEN 'keep_both' THEN true WHEN 'keep_open' THEN w.current ELSE w.current AND a = 'confirm' END FROM walk w JOIN steps s ON s.id = w.id AND s.k = w.k + 1)
+SELECT id, status, current FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""",
 }

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import once
+from tessera.functions.text import once, placed
 
 # How list items begin, and what names a typed section.
 BLOCK = r"(?s).*?(?:\n\s*\n|\z)"
@@ -18,30 +18,6 @@ MARKED = r"\A[ \t]*(?:[-*+]|\d+[.)])\s"
 HEADING = r"(?s)\A\s*#{1,6}\s+\S[^\n]*\s*\z"
 
 
-#: Pieces whose places are summed up together.
-_RUN = 256
-
-
-def _placed(pieces: Column) -> Column:
-    """Consecutive pieces as structs (start, text).
-
-    Places are summed up in runs and over the runs, so that the work grows with
-    the number of pieces and not with its square.
-    """
-    def running(values: Column, begin: Column) -> Column:
-        state = F.struct(begin.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(values, state, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
-
-    def place(pieces: Column) -> Column:
-        begins = F.when(F.size(pieces) > 0, F.sequence(F.lit(1), F.size(pieces), F.lit(_RUN))).otherwise(F.array().cast("array<int>"))
-        runs = F.transform(begins, lambda at: F.transform(F.slice(pieces, at, _RUN), F.length))
-        sums = lambda runs: F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n))
-        starts = once(runs, lambda runs: once(running(sums(runs), F.lit(0)), lambda bases: F.flatten(F.transform(runs, lambda r, i: running(r, F.get(bases, i))))))
-        return F.zip_with(starts, pieces, lambda at, p: F.struct(at.alias("start"), p.alias("text")))
-
-    return once(pieces, place)
-
-
 def semantic_units(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
     """(key, start, end, boundary, text) of units: paragraphs, their list items each alone, and cuts of those above ``limit``.
 
@@ -51,9 +27,9 @@ def semantic_units(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     """
     if limit <= 0:
         raise ValueError("limit")
-    blocks = docs.where("text is not null").select(key, F.explode(_placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
+    blocks = docs.where("text is not null").select(key, F.explode(placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
     blocks = blocks.where((F.regexp_replace("b.text", r"\s", "") != "") & ~F.col("b.text").rlike(HEADING))
-    parts = blocks.select(key, F.col("b.start").alias("base"), F.explode(once(F.split("b.text", ITEM), _placed)).alias("p"))
+    parts = blocks.select(key, F.col("b.start").alias("base"), F.explode(once(F.split("b.text", ITEM), placed)).alias("p"))
     parts = parts.where(F.regexp_replace("p.text", r"\s", "") != "")
     item = F.col("p.text").rlike(r"\A[ \t]*(?:[-*+]|\d+[.)])\s")
     cuts = parts.select(key, (F.col("base") + F.col("p.start")).alias("start"), F.col("p.text").alias("text"), item.alias("item"), F.explode(F.sequence(F.lit(0), F.length("p.text") - 1, F.lit(limit))).alias("at"))
@@ -133,7 +109,7 @@ def section_type(line: Column) -> Column:
 
 def _titles(docs: DataFrame) -> DataFrame:
     """(_doc, line, level, title) of headings: ``line`` is where one begins in its text; the title's type stands before it."""
-    lines = docs.select("_doc", F.explode(_placed(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0)))).alias("l"))
+    lines = docs.select("_doc", F.explode(placed(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0)))).alias("l"))
     said = F.regexp_replace("l.text", r"[\r\n]+$", "")
     lines = lines.select("_doc", F.col("l.start").alias("line"), said.alias("said"))
     fence = F.left(F.regexp_extract("said", r"^[ \t]{0,3}(`{3,}|~{3,})", 1), F.lit(1))
@@ -168,13 +144,13 @@ def context_chunks(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     if limit <= 0:
         raise ValueError("limit")
     docs = docs.where("text is not null").select(key, "text", F.sha2(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("")), "text").cast("binary"), 256).alias("_doc"))
-    blocks = docs.select(key, "_doc", F.explode(_placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
+    blocks = docs.select(key, "_doc", F.explode(placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
     blocks = blocks.where((F.regexp_replace("b.text", r"\s", "") != "") & ~F.col("b.text").rlike(HEADING) & section_type(F.col("b.text")).isNull())
-    parts = blocks.select(key, "_doc", F.col("b.start").alias("_block"), F.explode(once(F.split("b.text", ITEM), _placed)).alias("p"))
+    parts = blocks.select(key, "_doc", F.col("b.start").alias("_block"), F.explode(once(F.split("b.text", ITEM), placed)).alias("p"))
     parts = parts.where(F.regexp_replace("p.text", r"\s", "") != "").withColumn("start", F.col("_block") + F.col("p.start"))
     long = F.length("p.text") > limit
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("p.text").alias("text")))
-    sentences = parts.select(key, "_doc", "_block", "start", long.alias("_long"), F.col("p.text").rlike(MARKED).alias("_item"), F.explode(F.when(long, _placed(F.regexp_extract_all("p.text", F.lit(SENTENCE), F.lit(0)))).otherwise(whole)).alias("s"))
+    sentences = parts.select(key, "_doc", "_block", "start", long.alias("_long"), F.col("p.text").rlike(MARKED).alias("_item"), F.explode(F.when(long, placed(F.regexp_extract_all("p.text", F.lit(SENTENCE), F.lit(0)))).otherwise(whole)).alias("s"))
     cuts = sentences.select(key, "_doc", "_block", (F.col("start") + F.col("s.start")).alias("start"), "_long", "_item", F.col("s.text").alias("text"), F.explode(F.sequence(F.lit(0), F.length("s.text") - 1, F.lit(limit))).alias("_at"))
     text = F.substring("text", F.col("_at") + 1, F.lit(limit))
     boundary = F.when(F.length("text") > limit, "character").when(F.col("_long"), "sentence").when(F.col("_item"), "list_item").otherwise("paragraph")
@@ -236,7 +212,7 @@ def evidence_spans(chunks: DataFrame, most: int = SPANS) -> DataFrame:
     to each but the last. What has no sentence is one span; a blank text has none.
     """
     def cut(text: Column) -> Column:
-        pieces = F.filter(_placed(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?|[.!?\n]+"), F.lit(0))), lambda p: p["text"].rlike(r"[^.!?\n]") & p["text"].rlike(r"\S"))
+        pieces = F.filter(placed(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]?|[.!?\n]+"), F.lit(0))), lambda p: p["text"].rlike(r"[^.!?\n]") & p["text"].rlike(r"\S"))
         left = lambda t: F.length(t) - F.length(F.regexp_replace(t, r"\A\s+", ""))
         right = lambda t: F.length(F.regexp_replace(t, r"\s+\z", ""))
         one = F.array(F.struct(left(text).alias("start"), right(text).alias("end")))

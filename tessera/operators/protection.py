@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import placed
 from tessera.operators.candidates import leftmost_spans
 
 #: Ids that are numbered together: a category's values are numbered block by block, so that no task sees all of them.
@@ -23,6 +24,25 @@ class Rule:
     required: bool = False
 
 
+# The rules that protection applies, in order, and those without which nothing may be protected.
+REQUIRED = ("ЭлектроннаяПочта", "Телефон", "Ссылка", "СетевойАдрес", "Секрет")
+PATTERNS = (
+    ("ЭлектроннаяПочта", r"(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-zА-Яа-я]{2,}(?![\w-])"),
+    ("Телефон", r"(?<!\d)(?:\+7|8)[\s(.-]*\d{3}[\s). -]*\d{3}[\s.-]*\d{2}[\s.-]*\d{2}(?:\s*(?:доб\.?|ext\.?)\s*\d+)?"),
+    ("Ссылка", r"https?://[^\s<>]+"),
+    ("СетевойАдрес", r"\b(?!(?:127|0)\.0\.0\.1\b)(?:\d{1,3}\.){3}\d{1,3}\b"),
+    ("Секрет", r"(?i)\b(?:bearer\s+\S+|(?:api[_ -]?key|token|password|secret)\s*[:=]\s*\S+)"),
+    ("Идентификатор", r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"),
+    ("СНИЛС", r"\b\d{3}-\d{3}-\d{3}\s\d{2}\b"),
+    ("ИНН", r"\b\d{10}(?:\d{2})?\b"),
+    ("Документ", r"\b(?:\d{4}\s\d{6}|(?:договор|заявка)\s*№?\s*[A-Za-zА-Яа-я0-9/-]{4,})\b"),
+    ("Реквизит", r"(?i)\b(?:сч[её]т|бик|карт[аы])\s*[:№]?\s*\d(?:[\d ]{7,22}\d)\b"),
+    ("Адрес", r"(?i)\b(?:г\.?\s*[^,]+,\s*)?(?:ул\.?|улица|проспект)\s+[^,]+,\s*(?:дом|д\.)\s*\d+(?:\s*(?:кв\.?|корп\.?|стр\.)\s*\d+)?"),
+)
+#: The same as rules; letters, digits and word ends are those of all scripts.
+RULES = [Rule(category, f"(?U){pattern}", category in REQUIRED) for category, pattern in PATTERNS]
+
+
 def dictionary_rules(values: dict[str, list[str]]) -> list[Rule]:
     """Required rules for whole words of a dictionary; blank values are none."""
     word = r"[\p{L}\p{N}_-]"
@@ -49,19 +69,21 @@ def usable(spark: SparkSession, rules: list[Rule]) -> tuple[list[Rule], list[str
 def find(docs: DataFrame, rules: list[Rule], key: str) -> DataFrame:
     """(key, start, end, rule, category, value) of all places that a rule finds, from the text as it is; offsets in code points.
 
-    Only lengths and places are shuffled, and only for texts with any.
+    Places are found in each row, nothing is shuffled.
     """
     def hits(i: int, rule: Rule) -> Column:
         parts, values = F.split("text", rule.pattern), F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
-        return F.struct(F.lit(i).alias("rule"), F.lit(rule.category).alias("category"), F.transform(parts, F.length).alias("gaps"), values.alias("values"))
+        # What lies between and what is found take turns.
+        turns = placed(F.flatten(F.zip_with(parts, values, lambda gap, value: F.array(gap, F.coalesce(value, F.lit(""))))))
+        found = F.filter(turns, lambda t, at: at % 2 == 1)
+        found = F.filter(found, lambda t: t["text"] != "")
+        return F.struct(F.lit(i).alias("rule"), F.lit(rule.category).alias("category"), F.when(F.size(values) > 0, found).alias("found"))
 
     if not rules:
         return docs.select(key, F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("rule"), F.lit("").alias("category"), F.lit("").alias("value")).where("false")
-    rows = docs.where("text is not null").select(key, F.inline(F.array(*(hits(i, r) for i, r in enumerate(rules))))).where(F.size("values") > 0)
-    rows = rows.select(key, "rule", "category", F.posexplode("values").alias("at", "value"), "gaps").withColumn("gap", F.get("gaps", F.col("at"))).drop("gaps")
-    so_far = Window.partitionBy(key, "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(so_far).cast("int"))
-    return rows.select(key, (F.col("end") - F.length("value")).alias("start"), "end", "rule", "category", "value")
+    rows = docs.where("text is not null").select(key, F.inline(F.array(*(hits(i, r) for i, r in enumerate(rules)))))
+    rows = rows.select(key, "rule", "category", F.explode("found").alias("f"))
+    return rows.select(key, F.col("f.start").alias("start"), (F.col("f.start") + F.length("f.text")).alias("end"), "rule", "category", F.col("f.text").alias("value"))
 
 
 def numbered(values: DataFrame, keys: list[str], id_: str, order: str) -> DataFrame:
@@ -83,19 +105,24 @@ def protect(docs: DataFrame, rules: list[Rule], key: str = "doc_id", workspace:
     Of places that overlap the leftmost counts, then that of the earlier rule,
     then the longer. A value has one pseudonym in its workspace whatever its
     case; values are numbered by document (its number in ``key``), in a document
-    from its end. Null texts stay null; without findings, if every rule could be
+    from its end, those of rows without a key first. Rows that share a key are
+    protected each by its own text. Null texts stay null; without findings, if every rule could be
     applied, a text is ``ready_for_review``, else ``requires_review``.
     """
     rules, failed = usable(docs.sparkSession, rules)
-    docs = docs.select(key, F.col(workspace).alias("_workspace"), "text")
-    spans = find(docs, rules, key).groupBy(key).agg(F.collect_list(F.struct("start", "end", "rule", "category", "value")).alias("spans"))
-    spans = spans.join(docs.select(key, "_workspace"), key).select(key, F.coalesce("_workspace", F.lit("")).alias("_workspace"), F.inline(leftmost_spans(F.col("spans"))))
+    # Rows are told apart by all that they hold, so those that share a key, or have none, never get each other's places.
+    own = F.sha2(F.to_json(F.struct(F.col(key), F.col(workspace).alias("w"), "text")).cast("binary"), 256)
+    docs = docs.select(F.col(key), F.coalesce(F.col(workspace), F.lit("")).alias("_workspace"), "text", own.alias("_row"))
+    spans = find(docs, rules, "_row").distinct().groupBy("_row").agg(F.collect_list(F.struct("start", "end", "rule", "category", "value")).alias("spans"))
+    spans = spans.join(docs.select("_row", F.col(key).alias("_key"), "_workspace").distinct(), "_row").select("_row", "_key", "_workspace", F.inline(leftmost_spans(F.col("spans"))))
     spans = spans.withColumn("_value", F.lower("value"))
     group = ["_workspace", "category", "_value"]
-    firsts = spans.groupBy(*group).agg(F.min(F.struct(F.col(key).alias("id"), (-F.col("start")).alias("place"))).alias("first")).withColumn("_id", F.col("first.id"))
+    # Documents without a key come first.
+    id_ = F.coalesce(F.col("_key").cast("long"), F.lit(-(2**62)).cast("long"))
+    firsts = spans.groupBy(*group).agg(F.min(F.struct(id_.alias("id"), (-F.col("start")).alias("place"), F.col("_value").alias("value"))).alias("first")).withColumn("_id", F.col("first.id"))
     names = numbered(firsts, ["_workspace", "category"], "_id", "first").select(*group, F.concat_ws("-", "category", F.when(F.col("number") < 10, F.concat(F.lit("0"), "number")).otherwise(F.col("number").cast("string"))).alias("pseudonym"))
-    placed = spans.join(names, group).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", "pseudonym"))).alias("places"))
-    out = docs.join(placed, key, "left")
+    found = spans.join(names, group).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", "pseudonym"))).alias("places"))
+    out = docs.join(found, "_row", "left")
 
     def piece(p: Column, i: Column) -> Column:
         begin = F.when(i == 0, 0).otherwise(F.get("places", i - 1)["end"])

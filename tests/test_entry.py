@@ -20,4 +20,4 @@ def test_entry_stands_alone(tmp_path):
     shutil.rmtree(copy / "tessera" / "llm", ignore_errors=True)
     shutil.rmtree(copy / "tests" / "llm", ignore_errors=True)
     alone = names(copy)
-    assert alone[0] == alone[1] and alone[2] == "False" and int(whole[0]) >= int(alone[0])
+    assert int(alone[0]) == int(alone[1]) + 3 and alone[2] == "False" and int(whole[0]) >= int(alone[0])

@@ -13,8 +13,12 @@ def queries():
     return library.queries() | governance.queries() | knowledge.queries()
 
 
+#: Their patterns look around, and excerpts are folds: compared with brute force in test_records.py.
+WITHOUT_SQL = {"masking_report", "fully_protected_documents", "focused_excerpts"}
+
+
 def test_all_have_sql():
-    assert set(queries()) == set(ORACLE_SQL)
+    assert set(queries()) == set(ORACLE_SQL) | WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
