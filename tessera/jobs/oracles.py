@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.functions.privacy import MASKS, TOPICS
-from tessera.functions.text import STOPWORDS, TOKEN
-from tessera.jobs.queries import TERMS
-
-_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
-_TERMS = ", ".join(f"'{t}'" for t in TERMS)
+# Written out here, so that each side has its own.
+TOKEN = "[A-Za-zА-Яа-яЁё0-9]{3,}|[A-ZА-ЯЁ]{2,}"
+_STOP = (
+    "'для', 'или', 'что', 'как', 'при', 'это', 'если', 'над', 'под', 'без', 'про', 'the', 'and', 'with', 'from', 'this', 'that', 'его', 'она', 'они', 'нужно', 'проект', 'задача', 'анализ', 'ответ', 'данные', "
+    "'дай', 'дать', 'кратко', 'краткий', 'краткая', 'краткую', 'сводка', 'сводку', 'расскажи', 'покажи', 'найди', 'какие', 'какой', 'какая', 'какую', 'есть', 'известно', 'информация', 'вопрос', 'вопросу', 'теме', 'темы'"
+)
+_TERMS = "'that', 'les', 'und', 'mit', 'que', 'dans', 'como', 'assistant'"
+MASKS = {"EMAIL": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "CARD": r"\b\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{4}\b", "PHONE": r"\+\d[\d \-().]{8,}\d", "IP": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"}
+TOPICS = r"(?i)\b(password|passport|token|secret|паспорт|пароль|снилс|инн)\b"
 
 
 def _tokens(column: str) -> str:

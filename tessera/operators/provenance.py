@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.containment import saved
+
 
 def intake(incoming: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """incoming (workspace_id, id, content, seq) with checksum, object_id and duplicate.
@@ -45,24 +48,26 @@ def lineage(spark: SparkSession, objects: DataFrame, depth: int | None = None) -
     objects: (id, parent_id); of several rows with one id the smallest parent
     counts. A missing parent ends the way, and so does
     ``depth``, if given; without it a cycle is an error. The way is walked by
-    joins, one for each level that any object still has.
+    joins, one for each level; only objects that still move are joined, and each
+    level is saved.
     """
-    edges = objects.groupBy("id").agg(F.min("parent_id").alias("parent_id"))
-    out = edges.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    edges = saved(objects.groupBy("id").agg(F.min("parent_id").alias("parent_id")))
     up = edges.where("parent_id is not null").withColumnsRenamed({"id": "_at", "parent_id": "_up"})
-    here = edges.select(F.col("id").alias("_there"))
-    up = up.join(here, F.col("_up") == F.col("_there"), "left_semi")
-    for level in count() if depth is None else range(depth):
-        step = out.join(up, F.col("root_id") == F.col("_at"), "left")
-        moved = F.col("_up").isNotNull() & (F.col("depth") == level)
-        out = step.select("id", F.when(moved, F.col("_up")).otherwise(F.col("root_id")).alias("root_id"), F.when(moved, level + 1).otherwise(F.col("depth")).alias("depth"), F.when(moved, F.array_append("path", F.col("_up"))).otherwise(F.col("path")).alias("path"))
-        found = out.where(F.col("depth") == level + 1)
-        if found.isEmpty():
-            break
-        if depth is None and not found.where(F.size(F.array_distinct("path")) < F.size("path")).isEmpty():
+    up = saved(up.join(edges.select(F.col("id").alias("_there")), F.col("_up") == F.col("_there"), "left_semi"))
+    columns = ["id", "root_id", "depth", "path"]
+    moving = edges.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    done = []
+    for _ in count() if depth is None else range(depth):
+        step = saved(moving.join(up, F.col("root_id") == F.col("_at"), "left"))
+        done.append(step.where("_up is null").select(*columns))
+        moved = step.where("_up is not null")
+        moving = moved.select("id", F.col("_up").alias("root_id"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("_up")).alias("path"))
+        n, again = moved.agg(F.count("*"), F.bool_or(F.array_contains("path", F.col("_up")))).first()
+        if depth is None and again:
             raise ValueError("an object is among its own ancestors")
-        out = out.checkpoint() if level % 4 == 3 and spark.sparkContext.getConf().get("spark.checkpoint.dir") else out
-    return out
+        if not n:
+            return reduce(DataFrame.union, done)
+    return reduce(DataFrame.union, done, moving)
 
 
 def object_counts(objects: DataFrame) -> DataFrame:
