@@ -53,6 +53,13 @@ def evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("project", "nth", "tier", "status", "reason", "section_id", "path", F.sha2(F.col("excerpt").cast("binary"), 256).alias("sha256"))
 
 
+def memory_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each source's documents goes into a package of 9,000 characters."""
+    scored = _memory(spark, sf_dir)
+    rows = scored.select("project", "section_id", "path", "heading", "line_start", "text")
+    return memory.select_memory(rows, {"les", "und"}, {"ing", "tion", "que"}, {"mit", "los", "des"}, 9000, 6)
+
+
 def unindexed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the benchmark whose beginning and end no document holds."""
     ends = F.array(F.left("text", F.lit(40)), F.right("text", F.lit(40)))

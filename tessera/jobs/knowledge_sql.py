@@ -94,6 +94,20 @@ begun AS (SELECT *, greatest(coalesce(list_min(list_filter(list_transform({_FOCU
 out_ AS (SELECT project, nth, tier, section_id, path, CASE WHEN len(t) <= 1400 THEN t ELSE CASE WHEN s > 0 THEN '... ' ELSE '' END || trim(t[s + 1:s + 1400]) || CASE WHEN s + 1400 < len(t) THEN ' ...' ELSE '' END END AS x FROM begun
   UNION ALL SELECT project, 1, 0, '', '', '' FROM (SELECT DISTINCT source AS project FROM documents UNION SELECT 'none') WHERE project NOT IN (SELECT project FROM selected))
 SELECT project, nth, tier, ['missing', 'confirmed', 'confirmed', 'partial', 'partial'][tier + 1] AS status, ['nothing_selected', 'selected_primary', 'found_primary', 'source_summary', 'memory_only'][tier + 1] AS reason, section_id, path, sha256(x) AS sha256 FROM out_""",
+    "memory_selection": f"""WITH RECURSIVE {_MEMORY.replace("m >= 2 AS covered", "cov AS covered").replace("AS h FROM base)", "AS h, len(list_intersect({0}, ['les', 'und'])) > 0 OR len(list_intersect({0}, ['ing', 'tion', 'que'])) >= 2 AS cov FROM base)".format(_WORDS.format("heading || chr(10) || text || chr(10) || section_id")))},
+sizes AS (SELECT project, section_id, path, line_start, authority, folder, CASE WHEN len(text) <= 14000 THEN len(text) ELSE len(rtrim(left(text, 14000))) + 25 END AS size FROM scored),
+both_ AS (SELECT project, section_id, max(score) AS score FROM (SELECT project, section_id, score FROM direct UNION ALL SELECT project, section_id, score FROM related) WHERE project IN (SELECT project FROM direct) GROUP BY 1, 2),
+ranked AS (SELECT b.*, size, row_number() OVER (PARTITION BY project ORDER BY score + authority // 4 DESC, authority DESC, line_start, path) AS k FROM both_ b JOIN sizes USING (project, section_id) WHERE score > 0),
+walk AS (SELECT DISTINCT project, 0::BIGINT AS k, 0::BIGINT AS used, 0 AS n, false AS taken FROM ranked
+  UNION ALL SELECT r.project, r.k, CASE WHEN n < 6 AND used < 9000 AND (n = 0 OR used + size <= 9000) THEN used + size ELSE used END, CASE WHEN n < 6 AND used < 9000 AND (n = 0 OR used + size <= 9000) THEN n + 1 ELSE n END, n < 6 AND used < 9000 AND (n = 0 OR used + size <= 9000)
+  FROM walk w JOIN ranked r ON r.project = w.project AND r.k = w.k + 1),
+first_ AS (SELECT project, n AS rank, section_id, score, size FROM walk JOIN ranked USING (project, k) WHERE taken),
+ended AS (SELECT project, max(used) AS used, max(n) AS n FROM walk GROUP BY 1),
+core AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY nth) AS k FROM (SELECT project, section_id, size, row_number() OVER (PARTITION BY project ORDER BY line_start, path) AS nth FROM sizes WHERE folder = '00_Core') WHERE nth <= 2 AND (project, section_id) NOT IN (SELECT (project, section_id) FROM first_)),
+fill AS (SELECT project, 0::BIGINT AS k, used, n, false AS taken FROM ended
+  UNION ALL SELECT c.project, c.k, CASE WHEN n < 6 AND used < 9000 AND (n = 0 OR used + size <= 9000) THEN used + size ELSE used END, CASE WHEN n < 6 AND used < 9000 AND (n = 0 OR used + size <= 9000) THEN n + 1 ELSE n END, n < 6 AND used < 9000 AND (n = 0 OR used + size <= 9000)
+  FROM fill f JOIN core c ON c.project = f.project AND c.k = f.k + 1)
+SELECT project, rank, section_id, score, size AS n_chars FROM first_ UNION ALL SELECT project, n, section_id, 2, size FROM fill JOIN core USING (project, k) WHERE taken""",
     "unindexed_sources": "SELECT DISTINCT item_id AS source_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE left(b.text, 40) <> '' AND contains(d.text, left(b.text, 40)) OR right(b.text, 40) <> '' AND contains(d.text, right(b.text, 40)))",
     "context_chunks": f"""WITH {_chunks(120)}
 SELECT doc_id, index, start, "end", boundary, CASE WHEN contains(stack, ' > ') THEN split_part(stack, ' > ', 2) ELSE stack END AS heading, stack, type_hint, sha256(t) AS sha256 FROM chunks""",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import excerpts
-from tessera.operators.containment import contained
+from tessera.functions.text import expand_terms, tokenize
+from tessera.operators.containment import contained, saved
 from tessera.operators.sections import FOLDERS, SUMMARIES, folder
 
 WIKI_LINK = r"\[\[([^\]|#]+)"
@@ -58,8 +61,8 @@ def with_authority(scored: DataFrame) -> DataFrame:
 
 
 def candidate_order() -> list[Column]:
-    """By score with a quarter of the authority, then authority, then place; the path settles ties."""
-    return [F.desc(F.col("score") + F.floor(F.col("authority") / 4)), F.desc("authority"), F.asc("line_start"), F.asc("path")]
+    """By score with a quarter of the authority, then authority, then place; path and id settle ties."""
+    return [F.desc(F.col("score") + F.floor(F.col("authority") / 4)), F.desc("authority"), F.asc("line_start"), F.asc("path"), F.asc("section_id")]
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "nth", spread: str = "path") -> DataFrame:
@@ -132,3 +135,144 @@ def evidence_plan(projects: DataFrame, sections: DataFrame, selected: DataFrame,
     out = rows.unionByName(empty.select("project", F.lit(1).alias("nth"), F.lit(0).alias("tier"), *(F.lit("").alias(c) for c in ("section_id", "path", "heading", "excerpt"))))
     says = lambda i: F.coalesce(*(F.when(F.col("tier") == t, F.lit(v[i])) for t, v in TIERS.items()), F.lit(("missing", "nothing_selected")[i]))
     return out.withColumns({"status": says(0), "reason": says(1)})
+
+
+# Words that show what a query is after, marks of kinds of sections, and their points.
+PRIVACY_WORDS = ("пдн", "персональн", "персональные", "персональных", "персональным")
+STORAGE_WORDS = ("хран", "храним", "хранение", "хранит", "хранится", "хранятся", "сохраняет", "сохраняются")
+ARCHITECTURE_WORDS = ("архитектур", "архитектурн", "паспорт", "систем", "границы", "контур", "модель")
+MAPPING_WORDS, MAPPED_SYSTEMS = ("поле", "поля", "реквизит", "реквизиты", "маппинг", "совпадают", "совпад", "соответствия"), ("бф", "до")
+STATUS_WORDS = ("статус", "статусы", "стадия", "стадии", "состояние", "состояния")
+FIELD_MARKS, DIRECT_MARKS, STATUS_MARKS = ("поле", "реквизит", "маппинг", "источник в до"), ("поле бф", "источник в до"), ("статус", "стадия", "состояние")
+REPORT_MARK, CORRESPONDENCE_MARKS = "отчет", ("переписк", "исполнител", "коммуникац")
+CENTRAL_MARKS, CENTRAL_POINTS, CENTRAL_FOLDER_POINTS = ("ядро проекта", "системы и границы", "архитектурные решения", "индекс памяти", "карта источников"), 4, 2
+GRAPH_LINKS, ALIAS = "graph links", r"^(?:mvp|мвп)(\d+)$"
+#: Characters of a section that are taken, and what stands for the rest.
+SECTION_CHARS, CLIPPED = 14_000, "\n\n[...section clipped...]"
+
+
+def intents(terms: set[str]) -> set[str]:
+    """What a query's terms ask for: ``privacy_storage``, ``architecture``, ``field_mapping``, ``status``."""
+    out = set()
+    if terms & set(PRIVACY_WORDS) and terms & set(STORAGE_WORDS):
+        out |= {"privacy_storage", "architecture"}
+    if terms & set(ARCHITECTURE_WORDS):
+        out.add("architecture")
+    if terms & set(MAPPING_WORDS) and set(MAPPED_SYSTEMS) <= terms:
+        out.add("field_mapping")
+    if terms & set(STATUS_WORDS):
+        out.add("status")
+    return out
+
+
+def with_scores(sections: DataFrame, terms: set[str]) -> DataFrame:
+    """sections (path, heading, text, ...) with tokens, score, authority and primary.
+
+    A point for each shared term, three for each in the heading, those of the
+    section's kind, and those of what the query is after. Without a shared term,
+    and for link lists, it is 0; deductions leave one point at least.
+    """
+    wanted = F.array(*map(F.lit, sorted(terms))).cast("array<string>")
+    low, names = F.lower("heading"), F.lower(F.concat_ws("\n", "heading", stem(F.col("path"))))
+    rows = sections.withColumn("tokens", expand_terms(tokenize(F.concat_ws("\n", "heading", "text", stem(F.col("path"))))))
+    rows = rows.withColumns({"_m": F.size(F.array_intersect("tokens", wanted)), "_h": F.size(F.array_intersect(tokenize(F.col("heading")), wanted))})
+    asked, primary, in_folder = intents(terms), is_primary(F.col("path")), folder(F.col("path"))
+    kind = F.when(is_summary(F.col("path"), F.col("heading")), 10 + F.when(F.col("_h") > 0, 12).otherwise(0))
+    for name, points in FOLDERS.items():
+        kind = kind.when(in_folder == name, points)
+    score = F.col("_m") + 3 * F.col("_h") + kind.otherwise(0)
+    architecture = primary & _any(names, ARCHITECTURE) if "privacy_storage" in asked else F.lit(False)
+    score = score + F.when(architecture, 24).when(primary, PRIMARY_POINTS).otherwise(0)
+    if "architecture" in asked:
+        score = score + F.when(in_folder.isin(*CORE_FOLDERS) | _any(low, CORE), 8).otherwise(0)
+    if "field_mapping" in asked:
+        said = F.lower(F.concat_ws("\n", "heading", stem(F.col("path")), F.left("text", F.lit(2000))))
+        begin = F.lower(F.left("text", F.lit(2500)))
+        mapping = F.array_contains("tokens", MAPPED_SYSTEMS[0]) & F.array_contains("tokens", MAPPED_SYSTEMS[1]) & _any(said, FIELD_MARKS)
+        more = score + 24 + F.when(F.contains(begin, F.lit(DIRECT_MARKS[0])) & F.contains(begin, F.lit(DIRECT_MARKS[1])), 18).otherwise(0)
+        if "status" not in asked:
+            more = F.when(_any(names, STATUS_MARKS), F.greatest(F.lit(1), more - 18)).otherwise(more)
+        score = F.when(mapping, more).otherwise(score)
+    if "privacy_storage" in asked:
+        report = F.contains(names, F.lit(REPORT_MARK)) & _any(names, CORRESPONDENCE_MARKS)
+        score = F.when(report, F.greatest(F.lit(1), score - 8)).otherwise(score)
+    none = (F.col("_m") == 0) & (F.col("_h") == 0) | (F.trim(low) == GRAPH_LINKS)
+    return rows.withColumns({"score": F.when(none, 0).otherwise(score), "authority": authority(F.col("path"), F.col("heading")), "primary": primary}).drop("_m", "_h")
+
+
+def covers(terms: set[str]) -> Column:
+    """Whether a section's tokens cover terms: one of up to two; of more two, or one that names a release (``mvp1``)."""
+    if not terms:
+        return F.lit(False)
+    met = F.array_intersect("tokens", F.array(*map(F.lit, sorted(terms))))
+    aliases = sorted(t for t in terms if re.match(ALIAS, t))
+    if len(terms) <= 2:
+        return F.size(met) > 0
+    return (F.size(met) >= 2) | (F.arrays_overlap(met, F.array(*map(F.lit, aliases))) if aliases else F.lit(False))
+
+
+def central(sections: DataFrame, n: int = 2) -> DataFrame:
+    """The ``n`` most central sections of each project (project, section_id, score, nth), by marks of the heading or file name and the core folder."""
+    marked = _any(F.lower("heading"), CENTRAL_MARKS) | _any(F.lower(stem(F.col("path"))), CENTRAL_MARKS)
+    points = F.when(marked, CENTRAL_POINTS).otherwise(0) + F.when(folder(F.col("path")) == CORE_FOLDERS[0], CENTRAL_FOLDER_POINTS).otherwise(0)
+    rows = sections.select("project", "section_id", "path", "line_start", points.alias("score")).where("score > 0")
+    return first_of(rows, ["project"], [F.desc("score"), F.asc("line_start"), F.asc("path"), F.asc("section_id")], min(2, n))
+
+
+def clip(text: Column) -> Column:
+    """A section's text as far as it is taken."""
+    return F.when(F.length(text) <= SECTION_CHARS, text).otherwise(F.concat(F.regexp_replace(F.left(text, F.lit(SECTION_CHARS)), r"\s+\z", ""), F.lit(CLIPPED)))
+
+
+def _take(rows: DataFrame, state: DataFrame, times: int, most: int, max_chars: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Up to ``times`` picks a project of rows (project, section_id, score, _o, _size): each the next in order that fits what is left.
+
+    A pick is an aggregate over the project's rows, so they are never gathered.
+    """
+    picks = []
+    for _ in range(times):
+        open_ = rows.join(state.where((F.col("_n") < most) & (F.col("_used") < max_chars)), "project")
+        fits = ((F.col("_n") == 0) | (F.col("_used") + F.col("_size") <= max_chars)) & (F.col("_last").isNull() | (F.col("_o") > F.col("_last")))
+        pick = saved(open_.where(fits).groupBy("project").agg(F.min(F.struct("_o", "section_id", "score", "_size")).alias("_p")))
+        picks.append(pick.join(state, "project").select("project", (F.col("_n") + 1).alias("rank"), "_p.section_id", "_p.score", F.col("_p._size").alias("n_chars")))
+        after = state.join(pick, "project", "left")
+        state = saved(after.select("project", (F.col("_used") + F.coalesce("_p._size", F.lit(0))).alias("_used"), (F.col("_n") + F.col("_p").isNotNull().cast("int")).alias("_n"), F.coalesce("_p._o", "_last").alias("_last")))
+    return state, picks
+
+
+def select_memory(sections: DataFrame, base: set[str], rewrite: set[str] = frozenset(), context: set[str] = frozenset(), max_chars: int = 60_000, max_sections: int = 8) -> DataFrame:
+    """(project, rank, section_id, score, n_chars) of the sections of each project that go into a package.
+
+    sections: (project, section_id, path, heading, line_start, text). Sections that
+    cover the query's own terms or its rewriting are the anchors; with what they
+    link to, and sections of related folders, they are ranked by score and
+    authority. In that order each is taken whole if it fits what is left of the
+    characters (the first always is) until there are enough; then the most central
+    sections fill what remains. A project none of whose sections covers the query
+    has no rows. Without query terms all sections that match the context compete
+    by score. Long sections count as far as they are taken.
+    """
+    terms, focus = set(base) | set(rewrite) | set(context), set(base) | set(rewrite)
+    scored = saved(with_scores(sections, terms).withColumn("_size", F.length(clip(F.col("text"))).cast("long")))
+    found = scored.where("score > 0")
+    if focus:
+        direct = found.where(covers(set(base)) | covers(set(rewrite)))
+        ranked = merged(direct, related_sections(scored.drop("text"), direct))
+        projects = direct.select("project").distinct()
+    else:
+        ranked, projects = merged(found), scored.select("project").distinct()
+    narrow = scored.select("project", "section_id", "path", "line_start", "authority", "_size")
+    place = [-(F.col("score") + F.floor(F.col("authority") / 4)), -F.col("authority")] if focus else [-F.col("score"), F.lit(0)]
+    rows = ranked.join(narrow, ["project", "section_id"]).join(projects, "project", "left_semi").where("score > 0")
+    rows = saved(rows.select("project", "section_id", "score", F.struct(place[0].cast("long").alias("a"), place[1].cast("long").alias("b"), F.col("line_start").cast("long").alias("c"), "path", F.col("section_id").alias("id")).alias("_o"), "_size"))
+    state = saved(projects.select("project", F.lit(0).cast("long").alias("_used"), F.lit(0).alias("_n"), F.lit(None).cast(dict(rows.dtypes)["_o"]).alias("_last")))
+    state, picks = _take(rows, state, max_sections, max_sections, max_chars)
+    chosen = picks[0]
+    for more in picks[1:]:
+        chosen = chosen.union(more)
+    core = central(scored.drop("score"), max_sections).join(chosen.select("project", "section_id"), ["project", "section_id"], "left_anti").join(narrow.select("project", "section_id", "_size"), ["project", "section_id"])
+    core = saved(core.select("project", "section_id", F.col("score").cast("int").alias("score"), F.struct(F.col("nth").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.lit("").alias("path"), F.col("section_id").alias("id")).alias("_o"), "_size"))
+    _, fill = _take(core, state.withColumn("_last", F.lit(None).cast(dict(rows.dtypes)["_o"])), min(2, max_sections), max_sections, max_chars)
+    for more in fill:
+        chosen = chosen.union(more)
+    return chosen
