@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import excerpts
+from tessera.functions import answers, excerpts
 from tessera.operators import chunks, conflicts, containment, evidence, masking, memory, packages, projects, protection, records, sections
 from tessera.sources.tables import table
 
@@ -226,5 +226,25 @@ def resolved_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflicts.resolved_conflicts(users, log.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), action.alias("action")), relations)
 
 
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as answers of a model with one candidate each: in a fence, among words, or broken, by the number."""
+    n = F.col("event_id")
+    title = F.when(n % 13 == 0, F.lit("")).otherwise(F.col("event_type"))
+    fields = F.struct(
+        F.when(n % 17 == 0, "wish").otherwise("risk").alias("type"), title.alias("title"), F.col("event_type").alias("statement"), F.when(n % 19 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("E"), (n % 3).cast("string"))).alias("evidence_id"),
+        F.when(n % 23 == 0, "sure").otherwise("low").alias("confidence"), (n % 29 > 0).alias("requires_review"), F.when(n % 31 == 0, "odd").alias("odd"),
+    )
+    whole = F.concat(F.lit('{"candidates":['), F.to_json(fields), F.lit("]}"))
+    said = F.when(n % 5 == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(n % 5 == 2, F.concat(F.lit("So: "), whole, F.lit(" ."))).when(n % 5 == 3, F.concat(whole, whole)).otherwise(whole)
+    return table(spark, sf_dir, "events").select("event_id", said.alias("answer"))
+
+
+def answer_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the answers break, of those that hold an object; the first two pieces of evidence are known."""
+    found = answers.fenced_object(F.col("answer"))
+    rows = _said(spark, sf_dir).select("event_id", found.alias("found"))
+    return rows.select("event_id", F.when(F.col("found").isNull(), "no_object").otherwise(answers.answer_fault(F.col("found"), F.array(F.lit("E1"), F.lit("E2")))).alias("fault"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries" and not name.startswith("_")}
