@@ -246,5 +246,13 @@ def answer_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.when(F.col("found").isNull(), "no_object").otherwise(answers.answer_fault(F.col("found"), F.array(F.lit("E1"), F.lit("E2")))).alias("fault"))
 
 
+def fragment_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes on documents, of three kinds by length, and what they say of duties, dates, states and priorities."""
+    kind, who = F.pmod("n_chars", F.lit(3)), F.concat(F.lit("["), "source", F.lit("]"))
+    said = F.when(kind == 0, F.concat(F.lit("Ответственный "), who, F.lit(", до 5 марта 2026 года. Статус: "), "lang", F.lit("; дальше"))).when(kind == 1, F.concat(F.lit("Ответственный "), who, F.lit(" пока не назначен, к концу месяца.\nПРИОРИТЕТ: "), "lang"))
+    said = said.otherwise(F.concat(F.lit("Встреча не назначена на 3 мая 2026 года, должен быть "), who))
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.metadata(said).alias("m")).select("doc_id", "m.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries" and not name.startswith("_")}

@@ -163,4 +163,6 @@ SELECT w.id, s.k, CASE a WHEN 'choose_current' THEN CASE WHEN own THEN 'confirme
 SELECT id, status, current FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""",
     "answer_faults": """SELECT event_id, CASE WHEN n % 5 = 3 THEN 'no_object' WHEN n % 19 = 0 THEN 'evidence_id_missing' WHEN n % 31 = 0 THEN 'schema_unknown_field' WHEN n % 17 = 0 THEN 'unknown_type'
 WHEN n % 13 = 0 OR n % 23 = 0 OR n % 29 = 0 THEN 'schema_field' WHEN n % 3 = 0 THEN 'evidence_id_unknown' ELSE '' END AS fault FROM (SELECT event_id, event_id AS n FROM events)""",
+    "fragment_metadata": """SELECT doc_id, CASE WHEN n_chars % 3 <> 1 THEN '[' || source || ']' END AS actor_ref, CASE n_chars % 3 WHEN 0 THEN 'до 5 марта 2026 года' WHEN 1 THEN 'к концу месяца' END AS deadline,
+CASE WHEN n_chars % 3 = 0 THEN lang END AS status, CASE WHEN n_chars % 3 = 1 THEN lang END AS priority FROM documents""",
 }

@@ -118,3 +118,33 @@ def ground_spans(candidates: DataFrame, chunks: DataFrame, key: str = "doc_id")
     out = candidates.join(spans, [key, "index", "evidence_id"], "left")
     known = F.col("start").isNotNull()
     return out.select(key, "index", "candidate_id", F.when(known, "grounded").otherwise("evidence_id_unknown").alias("outcome"), F.when(known, F.coalesce("type_hint", "type")).alias("type"), "start", "end")
+
+
+# How a fragment names who answers for something, a date, a state and a priority.
+ACTOR, DUTY = r"\[[^\]\n]{1,120}\]", r"(?iU)(?:ответственн\w*|владельц\w*|назнач\w*|долж\w*)"
+NOBODY = r"(?iU)ответственн\w*(?:\s+\[[^\]\n]+\])?\s+(?:пока\s+)?не\s+(?:назначен|определ[её]н)"
+CALENDAR = r"(?iU)\bдо\s+\d{1,2}\s+[а-яё]+\s+\d{4}\s+года\b|\bназначен\w*\s+на\s+\d{1,2}\s+[а-яё]+\s+\d{4}\s+года\b"
+SPOKEN = (
+    r"(?iU)\b(?:до\s+конца|к\s+концу)\s+(?:января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря|недели|месяца|квартала|года)\b"
+    r"|\bк\s+следующей\s+встрече\b"
+    r"|\bв\s+течение\s+(?:\d+|[а-яё]+)\s+(?:рабоч\w*\s+)?(?:дн\w*|день)\b"
+    r"|\bза\s+(?:\d+|[а-яё]+)\s+(?:рабоч\w*\s+)?(?:дн\w*|день)\s+до\s+[^\n.,;:!?]{1,120}(?=[\n.,;:!?]|$)"
+    r"|\bдо\s+старта\s+[^\n.,;:!?]{1,120}(?=[\n.,;:!?]|$)"
+)
+NOT_SET = r"(?iU)\bне\s+назначен\w*\s+на\s+\d{1,2}\s+[а-яё]+\s+\d{4}\s+года\b"
+STATUS, PRIORITY = r"(?iU)\bСтатус:\s*([^\n.;]+)", r"(?iU)\bПриоритет:\s*([^\n.;]+)"
+
+
+def metadata(text: Column) -> Column:
+    """What a fragment itself says: struct (actor_ref, deadline, status, priority), each null if it doesn't.
+
+    A name in brackets counts where the fragment speaks of a duty and not of
+    nobody having it; a calendar date goes before a spoken one, and neither counts
+    where a date is said not to be set. A null text says nothing.
+    """
+    text = F.coalesce(text, F.lit(""))
+    first = lambda pattern, group=0: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    trimmed = lambda c: F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    actor = F.when(text.rlike(DUTY) & ~text.rlike(NOBODY), first(ACTOR))
+    deadline = F.when(~text.rlike(NOT_SET), F.coalesce(first(CALENDAR), first(SPOKEN)))
+    return F.struct(actor.alias("actor_ref"), deadline.alias("deadline"), trimmed(first(STATUS, 1)).alias("status"), trimmed(first(PRIORITY, 1)).alias("priority"))

@@ -225,3 +225,22 @@ def test_dialogue_contexts(spark):
     items = spark.createDataFrame([(1, 1, 25), (1, 2, 30), (1, 3, 5), (2, 1, 101), (2, 2, None), (3, 1, 90), (3, 2, 1), (9, 1, 1)], "package_id long, seq int, cost int")
     got = packages.dialogue_contexts(texts, items, 100, 30, 2)
     assert rows(got, "package_id", "memory_chars", "context_chars", "n_selected", "n_included") == [(1, 75, 25, 2, 1), (2, 0, 0, 2, 1), (3, 10, 90, 2, 1), (4, 100, 0, 0, 0)]
+
+
+def test_metadata_of_fragments(spark):
+    import re
+
+    said = [
+        "Ответственный [Сотрудник-01] до 5 марта 2026 года. Статус: в работе; Приоритет: высокий.", "Ответственный [A] пока не назначен", "Владельцы: [A] и [B], к концу месяца", "[A] говорит", "не назначена на 3 мая 2026 года", "назначено на 3 мая 2026 года",
+        "в течение пяти рабочих дней", "за 3 дня до выпуска версии, потом", "до старта проекта", "СТАТУС:  готово \nдальше", "К следующей встрече [X] должен прийти", "", None, "до 5 марта 2026 годами", "Статус: ;", "ответственна [" + "x" * 121 + "]",
+    ]
+
+    def by_loop(t):
+        t = t or ""
+        find = lambda p: re.search(p.replace("(?iU)", ""), t, re.I)
+        actor, deadline = find(evidence.ACTOR), find(evidence.CALENDAR) or find(evidence.SPOKEN)
+        status, priority = find(evidence.STATUS), find(evidence.PRIORITY)
+        return (actor[0] if actor and find(evidence.DUTY) and not find(evidence.NOBODY) else None, deadline[0] if deadline and not find(evidence.NOT_SET) else None, status[1].strip() if status else None, priority[1].strip() if priority else None)
+
+    got = spark.createDataFrame([(t,) for t in said], "t string").select(evidence.metadata(F.col("t")).alias("m")).collect()
+    assert [tuple(r["m"]) for r in got] == [by_loop(t) for t in said]
