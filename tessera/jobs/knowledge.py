@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import answers, excerpts
-from tessera.operators import chunks, conflicts, containment, evidence, masking, memory, packages, projects, protection, records, sections
+from tessera.operators import chunks, conflicts, containment, corpora, evidence, masking, memory, packages, projects, protection, records, sections
 from tessera.sources.tables import table
 
 #: What the memory queries ask for.
@@ -254,5 +254,41 @@ def fragment_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", evidence.metadata(said).alias("m")).select("doc_id", "m.*")
 
 
+def _project_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as files of their sources' projects, what each is by its length; languages but one as groups."""
+    n, id_ = F.col("n_chars"), F.col("doc_id").cast("string")
+    title = F.when(n % 5 == 0, "").otherwise(F.col("lang"))
+    status = F.when(n % 3 == 0, "archived").when(n % 3 == 1, "active").otherwise("odd")
+    heirs = F.when(n % 2 == 0, ', "context_inheritance": false').otherwise("")
+    meta = F.when(n % 7 == 0, F.lit("{bad")).otherwise(F.concat(F.lit('{"title": "'), title, F.lit('", "status": "'), status, F.lit('", "group_code": " '), "lang", F.lit('"'), heirs, F.lit("}")))
+    names = [
+        F.concat(F.lit("K"), (n % 3).cast("string"), F.lit(" - Память.md")), F.lit("Память.md"), F.concat(F.lit("Память_Graph/20_Decisions/"), id_, F.lit(".md")), F.concat(F.lit("Память_Graph/90_Archive/"), id_, F.lit(".md")),
+        F.concat(F.lit("Исходники/"), id_, F.lit(".TXT")), F.concat(F.lit("Транскрипции/a/"), id_, F.lit(".exe")), F.lit("K0 - Источники.md"), F.lit("project.json"),
+    ]
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.get(F.array(*names), F.pmod(n, F.lit(8)).cast("int")).alias("path"), F.when(F.pmod(n, F.lit(8)) == 7, meta).otherwise(F.col("text")).alias("text"), "lang")
+    return rows.drop("lang"), rows.where("lang <> 'es'").select(F.col("lang").alias("code"), F.upper("lang").alias("title")).distinct()
+
+
+def project_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.projects(*_project_files(spark, sf_dir), archived=True)
+
+
+def project_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, groups = _project_files(spark, sf_dir)
+    return corpora.corpus(files, corpora.projects(files, groups))
+
+
+def source_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, groups = _project_files(spark, sf_dir)
+    out = corpora.primary_sections(files, corpora.corpus(files, corpora.projects(files, groups)))
+    return out.select("project", "path", "heading", "line_end", "scope", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+
+
+def inherited_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sections of their language's group, for each project that inherits from it."""
+    sections_ = table(spark, sf_dir, "documents").select(F.col("lang").alias("group_code"), F.concat("source", F.lit(".md")).alias("path")).distinct()
+    return corpora.inherited(corpora.projects(*_project_files(spark, sf_dir)), sections_)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries" and not name.startswith("_")}

@@ -78,6 +78,18 @@ chain AS (SELECT *, lag(checksum) OVER c AS prior, lead(checksum) OVER c IS NULL
 ids AS (SELECT *, 'src-' || left(sha256(w || chr(10) || checksum), 16) AS source_id, 'src-' || left(sha256(w || chr(10) || prior), 16) AS supersedes_id FROM chain)"""
 
 
+_PROJECTS = """files AS (SELECT source AS project, lang, n_chars AS n, CASE n_chars % 8 WHEN 0 THEN 'K' || n_chars % 3 || ' - Память.md' WHEN 1 THEN 'Память.md' WHEN 2 THEN 'Память_Graph/20_Decisions/' || doc_id || '.md' WHEN 3 THEN 'Память_Graph/90_Archive/' || doc_id || '.md'
+    WHEN 4 THEN 'Исходники/' || doc_id || '.TXT' WHEN 5 THEN 'Транскрипции/a/' || doc_id || '.exe' WHEN 6 THEN 'K0 - Источники.md' ELSE 'project.json' END AS path, doc_id, text,
+  CASE WHEN n_chars % 7 = 0 THEN '{bad' ELSE '{"title": "' || CASE WHEN n_chars % 5 = 0 THEN '' ELSE lang END || '", "status": "' || CASE n_chars % 3 WHEN 0 THEN 'archived' WHEN 1 THEN 'active' ELSE 'odd' END || '", "group_code": " ' || lang || '"' || CASE WHEN n_chars % 2 = 0 THEN ', "context_inheritance": false' ELSE '' END || '}' END AS meta FROM documents),
+each_ AS (SELECT project, min(path) FILTER (WHERE n % 8 = 0) AS marked, bool_or(n % 8 = 1) AS plain, max(meta) FILTER (WHERE n % 8 = 7) AS meta FROM files GROUP BY 1),
+parsed AS (SELECT *, coalesce(marked, 'Память.md') AS memory_path, meta = '{bad' AS bad, CASE WHEN meta <> '{bad' THEN meta::JSON END AS m FROM each_ WHERE marked IS NOT NULL OR plain),
+all_ AS (SELECT project, memory_path, CASE WHEN marked IS NOT NULL THEN left(marked, 2) ELSE upper(left(project, 1)) END AS code, coalesce(nullif(m->>'title', ''), project) AS title, coalesce(m->>'status', 'active') AS status, coalesce(trim(m->>'group_code'), '') AS group_code,
+  coalesce(m->>'context_inheritance', 'true') = 'true' AS inherits, coalesce(bad, false) AS bad, marked FROM parsed),
+records AS (SELECT project, memory_path, code, title, status, group_code, CASE WHEN group_code IN (SELECT DISTINCT lang FROM documents WHERE lang <> 'es') THEN upper(group_code) ELSE '' END AS group_title, inherits,
+  CASE WHEN bad THEN 'meta' WHEN len(code) < 2 THEN 'code' WHEN status = 'odd' THEN 'status' ELSE '' END AS fault, marked FROM all_),
+corpus AS (SELECT DISTINCT f.project, path, CASE WHEN path = memory_path THEN 0 WHEN n % 8 = 6 AND left(marked, 2) = 'K0' THEN 1 WHEN n % 8 = 2 THEN 5 WHEN n % 8 = 4 THEN 6 END AS place, CASE n % 8 WHEN 6 THEN 'registry' WHEN 2 THEN 'graph' WHEN 4 THEN 'source' ELSE 'project' END AS scope
+  FROM files f JOIN records r ON r.project = f.project AND status <> 'archived')"""
+
 ORACLE_SQL = {
     "related_sections": f"WITH {_MEMORY} SELECT * FROM related",
     "merged_candidates": f"""WITH {_MEMORY}, both_ AS (SELECT project, section_id, max(score) AS score FROM (SELECT project, section_id, score FROM direct UNION ALL SELECT project, section_id, score FROM related) GROUP BY 1, 2)
@@ -165,4 +177,9 @@ SELECT id, status, current FROM walk QUALIFY row_number() OVER (PARTITION BY id
 WHEN n % 13 = 0 OR n % 23 = 0 OR n % 29 = 0 THEN 'schema_field' WHEN n % 3 = 0 THEN 'evidence_id_unknown' ELSE '' END AS fault FROM (SELECT event_id, event_id AS n FROM events)""",
     "fragment_metadata": """SELECT doc_id, CASE WHEN n_chars % 3 <> 1 THEN '[' || source || ']' END AS actor_ref, CASE n_chars % 3 WHEN 0 THEN 'до 5 марта 2026 года' WHEN 1 THEN 'к концу месяца' END AS deadline,
 CASE WHEN n_chars % 3 = 0 THEN lang END AS status, CASE WHEN n_chars % 3 = 1 THEN lang END AS priority FROM documents""",
+    "project_records": f"WITH {_PROJECTS} SELECT * EXCLUDE (marked) FROM records",
+    "project_corpus": f"WITH {_PROJECTS} SELECT * FROM corpus WHERE place IS NOT NULL",
+    "source_sections": f"""WITH {_PROJECTS} SELECT project, path, doc_id::VARCHAR AS heading, greatest(1, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS line_end, scope,
+sha256('# ' || doc_id || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS sha256 FROM corpus JOIN files USING (project, path) WHERE place = 6 AND regexp_matches(text, '\\S')""",
+    "inherited_sections": f"WITH {_PROJECTS} SELECT DISTINCT r.group_code, project, source || '.md' AS path, 'group' AS scope FROM records r JOIN documents d ON d.lang = r.group_code WHERE inherits AND group_title <> '' AND status <> 'archived'",
 }
