@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import answers, excerpts
+from tessera.functions import answers, excerpts, text
 from tessera.operators import chunks, conflicts, containment, corpora, evidence, masking, memory, packages, projects, protection, records, sections
 from tessera.sources.tables import table
 
@@ -290,5 +290,17 @@ def inherited_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.inherited(corpora.projects(*_project_files(spark, sf_dir)), sections_)
 
 
+def document_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names from the documents' first lines."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.split("text", "\n")[0]).alias("slug"))
+
+
+def dictionary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under the rules of a dictionary alone: whole words only."""
+    rules = protection.dictionary_rules({"Word": ["les", "und", "with"], "Name": ["license", "  "]})
+    out = protection.protect(table(spark, sf_dir, "documents"), rules)
+    return out.select("doc_id", "status", F.size("findings").alias("n_findings"), F.size(F.filter("findings", lambda f: f["category"] == "Name")).alias("n_names"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and name != "queries" and not name.startswith("_")}

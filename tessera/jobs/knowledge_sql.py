@@ -182,4 +182,7 @@ CASE WHEN n_chars % 3 = 0 THEN lang END AS status, CASE WHEN n_chars % 3 = 1 THE
     "source_sections": f"""WITH {_PROJECTS} SELECT project, path, doc_id::VARCHAR AS heading, greatest(1, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END) AS line_end, scope,
 sha256('# ' || doc_id || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS sha256 FROM corpus JOIN files USING (project, path) WHERE place = 6 AND regexp_matches(text, '\\S')""",
     "inherited_sections": f"WITH {_PROJECTS} SELECT DISTINCT r.group_code, project, source || '.md' AS path, 'group' AS scope FROM records r JOIN documents d ON d.lang = r.group_code WHERE inherits AND group_title <> '' AND status <> 'archived'",
+    "document_slugs": r"""SELECT doc_id, replace(trim(regexp_replace(replace(replace(lower(coalesce(split_part(text, chr(10), 1), '')), 'ё', 'е'), 'ß', 'ss'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ', '-') AS slug FROM documents""",
+    "dictionary_findings": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_-]+') AS w FROM documents),
+n AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('les', 'und', 'with', 'license'))) AS n, len(list_filter(w, lambda x: x = 'license')) AS m FROM w) SELECT doc_id, CASE WHEN n > 0 THEN 'requires_review' ELSE 'ready_for_review' END AS status, n AS n_findings, m AS n_names FROM n""",
 }

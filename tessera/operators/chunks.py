@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import once, placed
 
-# How list items begin, and what names a typed section.
+# What ends a paragraph, begins a list item, heading or fence, names a typed section, and is a sentence.
 BLOCK = r"(?s).*?(?:\n\s*\n|\z)"
 ITEM = r"(?md)(?=^[ \t]*(?:[-*+]|\d+[.)])\s)"
 TYPES = {"требования": "requirement", "решения": "decision", "риски": "risk", "открытые вопросы": "open_question", "действия": "action"}
+FENCE = r"^[ \t]{0,3}(`{3,}|~{3,})"
 SENTENCE = r"[^.!?\n]+[.!?]?\s*|\n+|[.!?]+\s*"
 MARKED = r"\A[ \t]*(?:[-*+]|\d+[.)])\s"
 HEADING = r"(?s)\A\s*#{1,6}\s+\S[^\n]*\s*\z"
@@ -31,7 +32,7 @@ def semantic_units(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     blocks = blocks.where((F.regexp_replace("b.text", r"\s", "") != "") & ~F.col("b.text").rlike(HEADING))
     parts = blocks.select(key, F.col("b.start").alias("base"), F.explode(once(F.split("b.text", ITEM), placed)).alias("p"))
     parts = parts.where(F.regexp_replace("p.text", r"\s", "") != "")
-    item = F.col("p.text").rlike(r"\A[ \t]*(?:[-*+]|\d+[.)])\s")
+    item = F.col("p.text").rlike(MARKED)
     cuts = parts.select(key, (F.col("base") + F.col("p.start")).alias("start"), F.col("p.text").alias("text"), item.alias("item"), F.explode(F.sequence(F.lit(0), F.length("p.text") - 1, F.lit(limit))).alias("at"))
     text = F.substring("text", F.col("at") + 1, F.lit(limit))
     boundary = F.when(F.length("text") > limit, "cut").when(F.col("item"), "list_item").otherwise("paragraph")
@@ -45,7 +46,7 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Only lines that open a heading or a fence are shuffled.
     """
     lines = docs.where("text is not null").select(key, F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    fence = F.left(F.regexp_extract("said", r"^[ \t]{0,3}(`{3,}|~{3,})", 1), F.lit(1))
+    fence = F.left(F.regexp_extract("said", FENCE, 1), F.lit(1))
     marker = F.regexp_extract("said", r"^(#{1,6})\s+\S", 1)
     rows = lines.select(key, (F.col("line") + 1).alias("line"), fence.alias("fence"), F.length(marker).alias("level"), F.trim(F.regexp_replace("said", r"^#{1,6}\s+|\s+$", "")).alias("title")).where("fence <> '' or level > 0")
     fenced = rows.where("fence <> ''").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "fence"))).alias("fences"))
@@ -112,7 +113,7 @@ def _titles(docs: DataFrame) -> DataFrame:
     lines = docs.select("_doc", F.explode(placed(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0)))).alias("l"))
     said = F.regexp_replace("l.text", r"[\r\n]+$", "")
     lines = lines.select("_doc", F.col("l.start").alias("line"), said.alias("said"))
-    fence = F.left(F.regexp_extract("said", r"^[ \t]{0,3}(`{3,}|~{3,})", 1), F.lit(1))
+    fence = F.left(F.regexp_extract("said", FENCE, 1), F.lit(1))
     marker, typed = F.regexp_extract("said", r"^(#{1,6})\s+\S", 1), section_type(F.col("said"))
     level = F.when(marker != "", F.length(marker)).when(typed.isNotNull(), 1).otherwise(0)
     rows = lines.select("_doc", "line", fence.alias("fence"), level.alias("level"), F.concat(F.coalesce(typed, F.lit("")), F.lit("\n"), F.trim(F.regexp_replace("said", r"^#{1,6}\s+|\s+$", ""))).alias("title"))
