@@ -48,7 +48,7 @@ def evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _memory(spark, sf_dir)
     narrow = scored.where(_covered() & (F.col("score") > 0)).drop("text")
     selected = memory.first_of(narrow, ["project"], memory.candidate_order(), 5, "rank").select("project", "section_id", "rank")
-    projects = scored.select("project").union(spark.range(1).select(F.lit("none")))
+    projects = scored.select("project").union(spark.createDataFrame([("none",)], "project string"))
     out = memory.evidence_plan(projects, scored, selected, _covered(), FOCUS)
     return out.select("project", "nth", "tier", "status", "reason", "section_id", "path", F.sha2(F.col("excerpt").cast("binary"), 256).alias("sha256"))
 
