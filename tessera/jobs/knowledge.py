@@ -94,7 +94,7 @@ def evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grounded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that name the first and the third span of each chunk."""
-    spans = chunks.evidence_spans(chunks.context_chunks(_briefs(spark, sf_dir), 1500))
+    spans = containment.saved(chunks.evidence_spans(chunks.context_chunks(_briefs(spark, sf_dir), 1500)).select("doc_id", "index", "type_hint", "spans"))
     named = spans.select("doc_id", "index", F.lit("fact").alias("type"), F.explode(F.array(F.lit("E1"), F.lit("E3"))).alias("evidence_id")).withColumn("candidate_id", F.concat("evidence_id", F.lit("-1")))
     return evidence.ground_spans(named, spans)
 
