@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.containment import contained, saved
-
 #: Terms that a statement and a fragment share at least, if neither holds the other.
 SHARED = 3
-#: Fragments with one term that are met in one part.
-SALT = 10_000
+#: Rows of one key that a block holds of either side.
+SALT = 1_000
 #: Kinds of evidence that can confirm a candidate.
 MODALITIES = ("text", "image", "table")
 
@@ -20,33 +18,39 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-zА-Яа-яЁё0-9]{3,}"), F.lit(0)), F.lower))
 
 
-def _rarest(rows: DataFrame, keys: list[str], df: DataFrame) -> DataFrame:
-    """rows (keys..., id, terms) with each of all terms but the ``SHARED`` - 1 that occur most: (keys..., id, _term, _n)."""
-    each = rows.select(*keys, "id", F.explode("terms").alias("_term")).join(df, [*keys, "_term"])
-    lists = each.groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("_n", "_term"))).alias("_by"))
-    kept = F.slice("_by", 1, F.greatest(F.size("_by") - (SHARED - 1), F.lit(0)))
-    return lists.select(*keys, "id", F.explode(kept).alias("_t")).select(*keys, "id", "_t._term", "_t._n")
+def _blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides (keys..., id, ...) shuffled by key and block (_l, _r), so that two rows of a key stand in one block together.
+
+    Keys of up to ``SALT`` rows a side are one block. Of a larger one, blocks hold
+    about that many of either side, and a row is in one for each part of the
+    other side; only the sizes of such keys are broadcast.
+    """
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_nl")).join(right.groupBy(*keys).agg(F.count("*").alias("_nr")), keys).where((F.col("_nl") > SALT) | (F.col("_nr") > SALT))
+    sizes = F.broadcast(sizes.select(*keys, (F.floor(F.col("_nl") / SALT) + 1).alias("_nl"), (F.floor(F.col("_nr") / SALT) + 1).alias("_nr")))
+    one = F.lit(1).cast("long")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        out = rows.join(sizes, keys, "left").withColumn(own, F.pmod(F.xxhash64("id"), F.coalesce(f"_n{own[1]}", one)))
+        return out.withColumn(other, F.explode(F.sequence(one - 1, F.coalesce(f"_n{other[1]}", one) - 1))).drop("_nl", "_nr").repartition(*keys, "_l", "_r")
+
+    return dealt(left, "_l", "_r"), dealt(right, "_r", "_l")
+
+
+def _shares(left: str, right: str) -> Column:
+    """Whether two arrays of distinct terms have ``SHARED`` in common."""
+    return (F.size(left) >= SHARED) & (F.size(right) >= SHARED) & (F.size(F.array_intersect(left, right)) >= SHARED)
 
 
 def sharing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., left_id, right_id): rows (keys..., id, terms array) of either side with ``SHARED`` terms in common.
 
-    Of terms in order of how many rows of both sides have them, two rows that
-    share three also share one that isn't among the two most frequent of either
-    side, so only the others are looked up; a term of very many rows is met in
-    parts. What shares one is then compared as a whole. ids are distinct within
-    keys.
+    The rows of a key are compared within the join, block by block: no more than
+    the rows themselves are shuffled, however many terms they share. ids are
+    distinct within keys.
     """
-    left, right = (saved(x.where(F.size("terms") >= SHARED).select(*keys, "id", "terms")) for x in (left, right))
-    both = left.select(*keys, F.explode("terms").alias("_term")).union(right.select(*keys, F.explode("terms").alias("_term")))
-    df = saved(both.groupBy(*keys, "_term").agg(F.count("*").alias("_n")))
-    salts = F.floor(F.col("_n") / SALT) + 1
-    a = _rarest(left, keys, df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).withColumnRenamed("id", "left_id")
-    b = _rarest(right, keys, df).withColumn("_salt", F.pmod(F.xxhash64("id"), salts)).withColumnRenamed("id", "right_id")
-    near = a.drop("_n").join(b.drop("_n"), [*keys, "_term", "_salt"]).select(*keys, "left_id", "right_id").distinct()
-    near = near.join(left.select(*keys, F.col("id").alias("left_id"), F.col("terms").alias("_left")), [*keys, "left_id"])
-    near = near.join(right.select(*keys, F.col("id").alias("right_id"), F.col("terms").alias("_right")), [*keys, "right_id"])
-    return near.where(F.size(F.array_intersect("_left", "_right")) >= SHARED).select(*keys, "left_id", "right_id")
+    left, right = _blocks(left.select(*keys, "id", "terms"), right.select(*keys, "id", "terms"), keys)
+    left, right = left.withColumnsRenamed({"id": "left_id", "terms": "_left"}), right.withColumnsRenamed({"id": "right_id", "terms": "_right"})
+    return left.join(right, [*keys, "_l", "_r"]).where(_shares("_left", "_right")).select(*keys, "left_id", "right_id")
 
 
 def supporting_evidence(contexts: DataFrame, evidence: DataFrame, key: str = "extraction_id") -> DataFrame:
@@ -63,12 +67,14 @@ def supporting_evidence(contexts: DataFrame, evidence: DataFrame, key: str = "ex
     explicit = named.join(ready.select(key, "evidence_id"), [key, "evidence_id"]).select(key, "context_id", "evidence_id", F.lit("explicit_reference").alias("support"))
     others = contexts.where(F.coalesce(F.size("explicit"), F.lit(0)) <= 0).where("text is not null").select(key, F.col("context_id").alias("id"), "text")
     texts = ready.where("text is not null").select(key, F.col("evidence_id").alias("id"), "text")
-    exact = contained(others.select(key, F.col("text").alias("needle")), texts, [key]).join(others.select(key, F.col("text").alias("needle"), F.col("id").alias("context_id")), [key, "needle"])
-    exact = exact.select(key, "context_id", F.col("id").alias("evidence_id"), F.lit("exact_fragment").alias("support"))
-    shared = sharing(others.withColumn("terms", terms(F.col("text"))), texts.withColumn("terms", terms(F.col("text"))), [key])
-    shared = shared.select(key, F.col("left_id").alias("context_id"), F.col("right_id").alias("evidence_id"), F.lit("shared_terms").alias("support"))
+    # Only texts are shuffled; their terms are found where they are compared.
+    said, held = _blocks(others, texts, [key])
+    said = said.select(key, "_l", "_r", F.col("id").alias("context_id"), F.col("text").alias("_said"), terms(F.col("text")).alias("_left"))
+    held = held.select(key, "_l", "_r", F.col("id").alias("evidence_id"), F.col("text").alias("_held"), terms(F.col("text")).alias("_right"))
+    exact = (F.col("_said") != "") & F.contains("_held", "_said")
+    found = said.join(held, [key, "_l", "_r"]).where(exact | _shares("_left", "_right"))
     # "exact_fragment" stands before "shared_terms" in the alphabet, too.
-    found = exact.union(shared).groupBy(key, "context_id", "evidence_id").agg(F.min("support").alias("support"))
+    found = found.select(key, "context_id", "evidence_id", F.when(exact, "exact_fragment").otherwise("shared_terms").alias("support")).groupBy(key, "context_id", "evidence_id").agg(F.min("support").alias("support"))
     return explicit.unionByName(found)
 
 

@@ -174,6 +174,23 @@ def test_supporting_evidence(spark):
     assert rows(got, "context_id", "evidence_id", "support") == [("exact", "1", "exact_fragment"), ("named", "1", "explicit_reference"), ("named", "3", "explicit_reference"), ("shared", "3", "shared_terms")]
 
 
+def test_support_keeps_no_table_beyond_its_input(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "SALT", 3)
+    kept = []
+    for module in (evidence, containment):
+        monkeypatch.setattr(module, "saved", lambda df: kept.append(df.count()) or df.persist(), raising=False)
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(30)]
+    said = [("e", f"c{i}", " ".join(rng.choices(words, k=rng.randint(1, 9)))) for i in range(20)] + [("f", "c", "word1 word2 word3")]
+    held = [("e", f"p{i}", " ".join(rng.choices(words, k=12))) for i in range(17)] + [("g", "p", "word1 word2 word3")]
+    contexts = spark.createDataFrame([(*r, []) for r in said], "extraction_id string, context_id string, text string, explicit array<string>")
+    got = evidence.supporting_evidence(contexts, spark.createDataFrame([(k, i, "ready", t) for k, i, t in held], "extraction_id string, evidence_id string, state string, text string"))
+    kind = lambda a, b: "exact_fragment" if a in b else "shared_terms" if len(set(a.split()) & set(b.split())) >= 3 else None
+    want = sorted((i, j, kind(a, b)) for k, i, a in said for q, j, b in held if k == q and kind(a, b))
+    assert rows(got, "context_id", "evidence_id", "support") == want and {w[2] for w in want} == {"exact_fragment", "shared_terms"}
+    assert sum(kept) <= len(said) + len(held)
+
+
 def test_grounded_candidates(spark):
     bodies = [("s", "one two  three one"), ("t", None)]
     pieces = [("s", "a", "ready", "text", " one \n\n two "), ("s", "b", "ready", "image", "three"), ("s", "c", "failed", "text", "one"), ("s", "d", "ready", "sound", "one"), ("s", "e", "ready", "text", "two three"), ("s", "f", "ready", "text", " \n"), ("s", "g", "ready", "text", None), ("t", "a", "ready", "text", "one")]
