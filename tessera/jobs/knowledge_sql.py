@@ -52,7 +52,7 @@ spread AS (SELECT doc_id, index, unnest(p) AS x, {_placed('p')} AS place FROM ea
 sound AS (SELECT doc_id, index, place + len(x) - len(regexp_replace(x, '\A\s+', '')) AS s, place + len(regexp_replace(x, '\s+\z', '')) AS e FROM spread WHERE regexp_matches(x, '[^.!?\n]') AND regexp_matches(x, '\S')),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, index ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY doc_id, index) AS n FROM sound),
 joined AS (SELECT doc_id, index, k // ((n + 11) // 12) AS g, min(s) AS s, max(e) AS e FROM numbered GROUP BY 1, 2, 3),
-alone AS (SELECT doc_id, index, 0 AS g, len(t) - len(regexp_replace(t, '\A\s+', '')) AS s, len(regexp_replace(t, '\s+\z', '')) AS e FROM each WHERE item OR (doc_id, index) NOT IN (SELECT (doc_id, index) FROM sound)),
+alone AS (SELECT doc_id, index, 0 AS g, len(t) - len(regexp_replace(t, '\A\s+', '')) AS s, len(regexp_replace(t, '\s+\z', '')) AS e FROM each WHERE item OR regexp_matches(t, '\S') AND (doc_id, index) NOT IN (SELECT (doc_id, index) FROM sound)),
 spans AS (SELECT a.doc_id, a.index, 'E' || (g + 1) AS id, g, start + s AS s, start + e AS e, t[s + 1:e] AS x, type_hint FROM (FROM joined UNION ALL FROM alone) a JOIN each USING (doc_id, index))"""
 
 _INPUTS = """inputs AS (SELECT o_custkey AS package_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'authority' WHEN '2-HIGH' THEN 'ambiguity' WHEN '3-MEDIUM' THEN 'memory' ELSE 'session' END AS layer, o_orderkey AS seq,
@@ -134,7 +134,8 @@ steps AS (SELECT n.doc_id, n.k, n.s, l.e, n.last, max(n.last) OVER (PARTITION BY
 nexts AS (SELECT t.doc_id, t.k, t.s, t.e, t.last, t.top, greatest(t.k + 1, least(t.last + 1, coalesce(min(v.k), t.last + 1))) AS next FROM steps t LEFT JOIN units v ON v.doc_id = t.doc_id AND v.s >= t.e - 300 AND v.k <= t.last GROUP BY t.doc_id, t.k, t.s, t.e, t.last, t.top),
 walk AS (SELECT doc_id, k, s, e, last, top, next, 0 AS chunk FROM nexts WHERE k = 1 UNION ALL SELECT n.doc_id, n.k, n.s, n.e, n.last, n.top, n.next, w.chunk + 1 FROM walk w JOIN nexts n ON n.doc_id = w.doc_id AND n.k = w.next WHERE w.last < w.top)
 SELECT doc_id, chunk, s AS start, e AS "end", last - k + 1 AS n_units FROM walk""",
-    "evidence_spans": f"""WITH {_SPANS} SELECT doc_id, index, count(*) AS n_spans, string_agg(id || ':' || s || ':' || e, ',' ORDER BY g) AS places, sha256(string_agg(x, '|' ORDER BY g)) AS sha256 FROM spans GROUP BY 1, 2""",
+    "evidence_spans": f"""WITH {_SPANS} SELECT c.doc_id, c.index, count(id) AS n_spans, coalesce(string_agg(id || ':' || s || ':' || e, ',' ORDER BY g), '') AS places, sha256(coalesce(string_agg(x, '|' ORDER BY g), '')) AS sha256
+FROM chunks c LEFT JOIN spans s ON s.doc_id = c.doc_id AND s.index = c.index GROUP BY 1, 2""",
     "grounded_spans": f"""WITH {_SPANS} SELECT c.doc_id, c.index, w || '-1' AS candidate_id, CASE WHEN s.id IS NULL THEN 'evidence_id_unknown' ELSE 'grounded' END AS outcome, CASE WHEN s.id IS NOT NULL THEN coalesce(s.type_hint, 'fact') END AS type, s.s AS start, s.e AS "end"
 FROM (SELECT *, unnest(['E1', 'E3']) AS w FROM chunks) c LEFT JOIN spans s ON s.doc_id = c.doc_id AND s.index = c.index AND s.id = w""",
     "supporting_evidence": r"""WITH words AS (SELECT *, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zА-Яа-яЁё0-9]{3,}'), lambda t: lower(t))) AS w FROM conversations),

@@ -8,6 +8,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import rows_of
+from tessera.jobs import knowledge, knowledge_sql
 from tessera.operators import chunks, containment, evidence, memory, packages
 
 
@@ -261,3 +263,19 @@ def test_metadata_of_fragments(spark):
 
     got = spark.createDataFrame([(t,) for t in said], "t string").select(evidence.metadata(F.col("t")).alias("m")).collect()
     assert [tuple(r["m"]) for r in got] == [by_loop(t) for t in said]
+
+
+def test_blank_chunks_have_no_span(spark, tmp_path):
+    """A sentence whose last piece of 1,500 characters is blank: the piece is a chunk without spans, in the SQL too."""
+    import duckdb
+
+    text = "a" * 1499 + "!" + " " * 3 + "b."
+    spark.createDataFrame([(1, text, "x", "src")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("evidence_spans", "grounded_spans"):
+        got = knowledge.queries()[name](spark, str(tmp_path))
+        want = con.execute(knowledge_sql.ORACLE_SQL[name]).fetchdf()
+        assert rows_of(got.toPandas()) == rows_of(want[got.columns])
+        if name == "evidence_spans":
+            assert rows(got.where("n_spans = 0"), "places") == [("",)]
