@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.text import once, placed
@@ -13,6 +15,7 @@ from tessera.functions.text import once, placed
 BLOCK = r"(?s).*?(?:\n\s*\n|\z)"
 ITEM = r"(?md)(?=^[ \t]*(?:[-*+]|\d+[.)])\s)"
 TYPES = {"требования": "requirement", "решения": "decision", "риски": "risk", "открытые вопросы": "open_question", "действия": "action"}
+OPENS = r"(?mdiu)(?=^[ \t\x0B\f\r]*(?:#|`{3}|~{3}|" + "|".join(re.sub("[её]", "[её]", n.split()[0]) for n in TYPES) + "))"
 FENCE = r"^[ \t]{0,3}(`{3,}|~{3,})"
 SENTENCE = r"[^.!?\n]+[.!?]?\s*|\n+|[.!?]+\s*"
 MARKED = r"\A[ \t]*(?:[-*+]|\d+[.)])\s"
@@ -29,9 +32,9 @@ def semantic_units(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     if limit <= 0:
         raise ValueError("limit")
     blocks = docs.where("text is not null").select(key, F.explode(placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
-    blocks = blocks.where((F.regexp_replace("b.text", r"\s", "") != "") & ~F.col("b.text").rlike(HEADING))
+    blocks = blocks.where(F.col("b.text").rlike(r"\S") & ~F.col("b.text").rlike(HEADING))
     parts = blocks.select(key, F.col("b.start").alias("base"), F.explode(once(F.split("b.text", ITEM), placed)).alias("p"))
-    parts = parts.where(F.regexp_replace("p.text", r"\s", "") != "")
+    parts = parts.where(F.col("p.text").rlike(r"\S"))
     item = F.col("p.text").rlike(MARKED)
     cuts = parts.select(key, (F.col("base") + F.col("p.start")).alias("start"), F.col("p.text").alias("text"), item.alias("item"), F.explode(F.sequence(F.lit(0), F.length("p.text") - 1, F.lit(limit))).alias("at"))
     text = F.substring("text", F.col("at") + 1, F.lit(limit))
@@ -63,6 +66,17 @@ def headings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.where(~F.coalesce(hidden, F.lit(False))).select(key, "line", "level", "title")
 
 
+def opened_headings(line: str, before: WindowSpec) -> dict[str, Column]:
+    """Columns _1 to _6: of each level the last heading (line, title) in a window."""
+    return {f"_{n}": F.last(F.when(F.col("level") == n, F.struct(F.col(line).alias("line"), "title")), ignorenulls=True).over(before) for n in range(1, 7)}
+
+
+def open_stack() -> Column:
+    """The titles of :func:`opened_headings` that no later one of a smaller level has closed, outermost first."""
+    opened = [F.when(F.col(f"_{n}.line") > F.greatest(*(F.coalesce(F.col(f"_{m}.line"), F.lit(-1)) for m in range(1, n)), F.lit(-1), F.lit(-2)), F.col(f"_{n}.title")) for n in range(1, 7)]
+    return F.array_compact(F.array(*opened))
+
+
 def heading_stacks(rows: DataFrame, heads: DataFrame, key: str = "doc_id") -> DataFrame:
     """rows (key, line) with ``stack``: the titles of the headings above a line that are open there, outermost first.
 
@@ -72,10 +86,8 @@ def heading_stacks(rows: DataFrame, heads: DataFrame, key: str = "doc_id") -> Da
     both = rows.select(key, "line", F.lit(1).alias("_side"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("title"))
     both = both.unionByName(heads.select(key, "line", F.lit(0).alias("_side"), "level", "title"))
     before = Window.partitionBy(key).orderBy("line", F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == n, F.struct("line", "title")), ignorenulls=True).over(before).alias(f"_{n}") for n in range(1, 7)]
-    out = both.select(key, "line", "_side", *last).where("_side = 1")
-    opened = [F.when(F.col(f"_{n}.line") > F.greatest(*(F.coalesce(F.col(f"_{m}.line"), F.lit(-1)) for m in range(1, n)), F.lit(-1), F.lit(-2)), F.col(f"_{n}.title")) for n in range(1, 7)]
-    return out.select(key, "line", F.array_compact(F.array(*opened)).alias("stack"))
+    out = both.withColumns(opened_headings("line", before)).where("_side = 1")
+    return out.select(key, "line", open_stack().alias("stack"))
 
 
 def last_before(rows: DataFrame, marks: DataFrame, key: list[str], at: str, mark: str) -> DataFrame:
@@ -103,15 +115,15 @@ def inbox(files: DataFrame, state: DataFrame, indexed: DataFrame, hidden: list[s
 
 def section_type(line: Column) -> Column:
     """What a line that is nothing but the name of a typed section stands for, with or without a heading's marks and a colon; else null."""
-    name = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(line, r"^\s+|\s+$", "")), r"^#{1,6}\s*", ""), r"\s*:?\s*$", "")
-    name = F.regexp_replace(F.replace(F.lower(name), F.lit("ё"), F.lit("е")), r"\s+", " ")
-    return F.coalesce(*(F.when(name == n, F.lit(t)) for n, t in TYPES.items()))
+    named = lambda n: r"(?iu)\A\s*(?:#{1,6}\s*)?" + re.sub("[её]", "[её]", n).replace(" ", r"\s+") + r"\s*:?\s*\z"
+    return F.coalesce(*(F.when(line.rlike(named(n)), F.lit(t)) for n, t in TYPES.items()))
 
 
 def _titles(docs: DataFrame) -> DataFrame:
     """(_doc, line, level, title) of headings: ``line`` is where one begins in its text; the title's type stands before it."""
-    lines = docs.select("_doc", F.explode(placed(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0)))).alias("l"))
-    said = F.regexp_replace("l.text", r"[\r\n]+$", "")
+    # Cut only before lines that may be one: other lines cost nothing but the search.
+    lines = docs.select("_doc", F.explode(once(F.split("text", OPENS), placed)).alias("l"))
+    said = F.regexp_replace(F.regexp_extract("l.text", r"\A[^\n]*\n?", 0), r"[\r\n]+$", "")
     lines = lines.select("_doc", F.col("l.start").alias("line"), said.alias("said"))
     fence = F.left(F.regexp_extract("said", FENCE, 1), F.lit(1))
     marker, typed = F.regexp_extract("said", r"^(#{1,6})\s+\S", 1), section_type(F.col("said"))
@@ -146,9 +158,9 @@ def context_chunks(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
         raise ValueError("limit")
     docs = docs.where("text is not null").select(key, "text", F.sha2(F.concat_ws("\n", F.coalesce(F.col(key).cast("string"), F.lit("")), "text").cast("binary"), 256).alias("_doc"))
     blocks = docs.select(key, "_doc", F.explode(placed(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)))).alias("b"))
-    blocks = blocks.where((F.regexp_replace("b.text", r"\s", "") != "") & ~F.col("b.text").rlike(HEADING) & section_type(F.col("b.text")).isNull())
+    blocks = blocks.where(F.col("b.text").rlike(r"\S") & ~F.col("b.text").rlike(HEADING) & section_type(F.col("b.text")).isNull())
     parts = blocks.select(key, "_doc", F.col("b.start").alias("_block"), F.explode(once(F.split("b.text", ITEM), placed)).alias("p"))
-    parts = parts.where(F.regexp_replace("p.text", r"\s", "") != "").withColumn("start", F.col("_block") + F.col("p.start"))
+    parts = parts.where(F.col("p.text").rlike(r"\S")).withColumn("start", F.col("_block") + F.col("p.start"))
     long = F.length("p.text") > limit
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("p.text").alias("text")))
     sentences = parts.select(key, "_doc", "_block", "start", long.alias("_long"), F.col("p.text").rlike(MARKED).alias("_item"), F.explode(F.when(long, placed(F.regexp_extract_all("p.text", F.lit(SENTENCE), F.lit(0)))).otherwise(whole)).alias("s"))
@@ -156,14 +168,20 @@ def context_chunks(docs: DataFrame, limit: int, key: str = "doc_id") -> DataFram
     text = F.substring("text", F.col("_at") + 1, F.lit(limit))
     boundary = F.when(F.length("text") > limit, "character").when(F.col("_long"), "sentence").when(F.col("_item"), "list_item").otherwise("paragraph")
     units = cuts.select(key, "_doc", "_block", (F.col("start") + F.col("_at")).alias("start"), (F.col("start") + F.col("_at") + F.length(text)).alias("end"), boundary.alias("boundary"), text.alias("text"))
-    stacks = heading_stacks(units.select("_doc", F.col("_block").alias("line")).distinct(), _titles(docs), "_doc").withColumnRenamed("line", "_block")
-    out = units.join(stacks, ["_doc", "_block"], "left")
-    # Numbered by place; of rows that repeat a document each unit has the same number.
-    numbers = units.select("_doc", "start").distinct().withColumn("index", F.row_number().over(Window.partitionBy("_doc").orderBy("start")) - 1)
-    out = out.join(numbers, ["_doc", "start"])
+    # What is open below a heading is found once for each; then units and headings are sorted together.
+    # Of rows that repeat a document each unit has the same number.
+    through = Window.partitionBy("_doc").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = _titles(docs).withColumns(opened_headings("line", through)).withColumn("stack", open_stack())
     titles = F.transform("stack", lambda t: F.substring_index(t, "\n", -1))
     hints = F.filter(F.transform("stack", lambda t: F.substring_index(t, "\n", 1)), lambda t: t != "")
-    return out.select(key, "index", "start", "end", "boundary", F.coalesce(F.try_element_at(titles, F.lit(-1)), F.lit("")).alias("heading"), titles.alias("stack"), F.try_element_at(hints, F.lit(-1)).alias("type_hint"), "text")
+    under = F.struct(titles.alias("stack"), F.substring_index(F.try_element_at("stack", F.lit(-1)), "\n", -1).alias("heading"), F.try_element_at(hints, F.lit(-1)).alias("hint"))
+    both = units.withColumn("_side", F.lit(1)).unionByName(heads.select("_doc", F.col("line").alias("_block"), F.lit(0).alias("_side"), under.alias("_under")), allowMissingColumns=True)
+    by = Window.partitionBy("_doc").orderBy("_block", F.desc("_side"), "start")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({"_under": F.last("_under", ignorenulls=True).over(before), "_new": F.coalesce(F.max("start").over(before) < F.col("start"), F.col("start").isNotNull()).cast("int")})
+    both = both.withColumn("index", (F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1).cast("int"))
+    none = F.array().cast("array<string>")
+    return both.where("_side = 1").select(key, "index", "start", "end", "boundary", F.coalesce("_under.heading", F.lit("")).alias("heading"), F.coalesce("_under.stack", none).alias("stack"), F.col("_under.hint").alias("type_hint"), "text")
 
 
 def packed_chunks(units: DataFrame, limit: int, most_units: int, overlap: int = 0, key: str = "doc_id") -> DataFrame:

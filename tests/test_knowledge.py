@@ -279,3 +279,12 @@ def test_blank_chunks_have_no_span(spark, tmp_path):
         assert rows_of(got.toPandas()) == rows_of(want[got.columns])
         if name == "evidence_spans":
             assert rows(got.where("n_spans = 0"), "places") == [("",)]
+
+
+def test_units_are_cut_once(spark):
+    """One sort by document gives units their number and headings: their texts are shuffled once, and no join takes them."""
+    docs = spark.createDataFrame([(1, "# a\n\nОткрытые  вопросы :\n\nx, y.\n\n```\n# no\n```\n\n ## b\n\n## c\n\nz")], "doc_id long, text string")
+    out = chunks.context_chunks(docs, 100)
+    assert rows(out, "index", "stack", "type_hint", "text")[0] == (0, ["Открытые  вопросы :"], "open_question", "x, y.\n\n") and rows(out, "index", "heading")[-1] == (2, "c")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(text") == 1
