@@ -191,32 +191,31 @@ def packed_chunks(units: DataFrame, limit: int, most_units: int, overlap: int =
     ``most_units`` units; one unit that is longer is a chunk alone. The next chunk
     begins with the first unit that starts at most ``overlap`` characters before
     the end of this one, but after this one's first unit. Only places are
-    shuffled, and a document's chunks are found by one search each.
+    shuffled; a document's are one row, its chunks are found by one search each,
+    many documents at a time.
     """
     if limit <= 0 or most_units <= 0 or not 0 <= overlap < limit:
         raise ValueError("limits")
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[["start", "end"]].drop_duplicates().sort_values("start")
-        start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
-        out, at = [], 0
+    def pack(start: np.ndarray, end: np.ndarray) -> tuple[list, list, list]:
+        starts, ends, counts, at = [], [], [], 0
         while at < len(start):
             past = max(at + 1, min(int(np.searchsorted(end, start[at] + limit, "right")), at + most_units))
-            out.append((start[at], end[past - 1], past - at))
+            starts.append(int(start[at]))
+            ends.append(int(end[past - 1]))
+            counts.append(past - at)
             if past == len(start):
                 break
             at = max(at + 1, min(past, int(np.searchsorted(start, end[past - 1] - overlap, "left")))) if overlap else past
-        return pd.DataFrame(out, columns=["start", "end", "n_units"])
+        return starts, ends, counts
 
-    kind = dict(units.dtypes)[key]
+    @F.pandas_udf("starts array<int>, ends array<int>, counts array<int>")
+    def packed(start: pd.Series, end: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([pack(a, b) for a, b in zip(start, end)], columns=["starts", "ends", "counts"])
 
-    def grouped(at: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = pack(rows)
-        out.insert(0, "chunk", np.arange(len(out)))
-        out.insert(0, key, [at[0]] * len(out))
-        return out
-
-    return units.select(key, "start", "end").groupBy(key).applyInPandas(grouped, f"{key} {kind}, chunk int, start int, end int, n_units int")
+    places = units.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_p"))
+    chunks = places.select(key, packed("_p.start", "_p.end").alias("_c"))
+    return chunks.select(key, F.posexplode(F.arrays_zip("_c.starts", "_c.ends", "_c.counts")).alias("chunk", "_c")).select(key, "chunk", F.col("_c.starts").alias("start"), F.col("_c.ends").alias("end"), F.col("_c.counts").alias("n_units"))
 
 
 #: Choices of evidence that a unit offers at most.

@@ -288,3 +288,13 @@ def test_units_are_cut_once(spark):
     assert rows(out, "index", "stack", "type_hint", "text")[0] == (0, ["Открытые  вопросы :"], "open_question", "x, y.\n\n") and rows(out, "index", "heading")[-1] == (2, "c")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(text") == 1
+
+
+def test_documents_are_packed_many_at_a_time(spark):
+    units = spark.createDataFrame([(k, s, s + 10) for k in (1, None) for s in range(0, 100, 10)] * 2, "doc_id long, start int, end int")
+    out = chunks.packed_chunks(units, 40, 3, 10)
+    want = [(c, s, min(s + 30, 100), min(3, (100 - s) // 10)) for c, s in enumerate((0, 20, 40, 60, 80))][:5]
+    want = [w for w in want if w[2] - w[1] > 10 and (w[1] == 0 or w[1] + 10 < 100)]
+    got = rows(out, "doc_id", "chunk", "start", "end", "n_units")
+    assert [g[1:] for g in got if g[0] == 1] == [g[1:] for g in got if g[0] is None] == want
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
