@@ -16,24 +16,27 @@ LAYERS = ("request", "authority", "ambiguity", "memory", "session")
 def fitted(inputs: DataFrame, capacity: int, order: list[str], key: str = "package_id") -> DataFrame:
     """inputs (key, order..., cost) with ``included`` and ``used``, taken in order: what would overflow the budget is left out, smaller ones later may fit.
 
-    Only key, order and cost are gathered for a package. What costs more than the
-    budget never fits and isn't gathered.
+    Only key, order and cost are gathered: a package is one row, and many are
+    walked at a time. What costs more than the budget never fits and isn't
+    gathered. Nulls come first.
     """
-    kinds = dict(inputs.dtypes)
-    columns = [key, *order, "cost"]
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable", na_position="first")
-        used, included, after = 0, [], []
-        for cost in rows["cost"].tolist():
-            fits = used + cost <= capacity
-            used += cost if fits else 0
+    @F.pandas_udf("included array<boolean>, used array<bigint>")
+    def take(costs: pd.Series) -> pd.DataFrame:
+        included, used = [], []
+        for package in costs:
+            total, fits, after = 0, [], []
+            for cost in package.tolist():
+                fits.append(total + cost <= capacity)
+                total += cost if fits[-1] else 0
+                after.append(total)
             included.append(fits)
-            after.append(used)
-        return rows.assign(included=included, used=after)
+            used.append(after)
+        return pd.DataFrame({"included": included, "used": used})
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", included boolean, used long"
-    return inputs.select(*columns).where(F.col("cost") <= capacity).groupBy(key).applyInPandas(take, schema)
+    lists = inputs.select(key, F.struct(*order, "cost").alias("_i")).where(F.col("_i.cost") <= capacity).groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias("_rows"))
+    took = lists.select(key, "_rows", take("_rows.cost").alias("_t"))
+    took = took.select(key, F.explode(F.arrays_zip("_rows", "_t.included", "_t.used")).alias("_x"))
+    return took.select(key, *(F.col(f"_x._rows.{c}").alias(c) for c in (*order, "cost")), F.col("_x.included").alias("included"), F.col("_x.used").alias("used"))
 
 
 def layer_place(layer: Column) -> Column:

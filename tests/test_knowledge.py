@@ -298,3 +298,12 @@ def test_documents_are_packed_many_at_a_time(spark):
     got = rows(out, "doc_id", "chunk", "start", "end", "n_units")
     assert [g[1:] for g in got if g[0] == 1] == [g[1:] for g in got if g[0] is None] == want
     assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packages_are_fitted_many_at_a_time(spark):
+    """Nulls come first, a null key is a package, and no package is a call of its own."""
+    costs = [(k, s, c) for k in (1, 2, None) for s, c in ((None, 4), (1, 5), (2, 2), (3, 1), (4, 11))]
+    out = packages.fitted(spark.createDataFrame(costs, "package_id long, seq int, cost long"), 10, ["seq"])
+    want = [(None, True, 4), (1, True, 9), (2, False, 9), (3, True, 10)]
+    assert [tuple(r) for r in out.where("package_id is null").select("seq", "included", "used").collect()] == want and out.count() == 12
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
