@@ -77,7 +77,7 @@ def object_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = provenance.lineage(spark, registry_objects(spark, sf_dir))
+    out = provenance.lineage(spark, registry_objects(spark, sf_dir, once=False))
     return out.select("id", "root_id", "depth", F.array_join("path", ">").alias("path"))
 
 

@@ -47,15 +47,26 @@ def lineage(spark: SparkSession, objects: DataFrame, depth: int | None = None) -
 
     objects: (id, parent_id); of several rows with one id the smallest parent
     counts. A missing parent ends the way, and so does
-    ``depth``, if given; without it a cycle is an error. The way is walked by
-    joins, one for each level; only objects that still move are joined, and each
-    level is saved.
+    ``depth``, if given; without it a cycle is an error. Only objects that others
+    are made from walk, by joins, one for each level, of those that still move;
+    each level is saved. Then every object goes on from its parent's way.
     """
     edges = saved(objects.groupBy("id").agg(F.min("parent_id").alias("parent_id")))
     up = edges.where("parent_id is not null").withColumnsRenamed({"id": "_at", "parent_id": "_up"})
     up = saved(up.join(edges.select(F.col("id").alias("_there")), F.col("_up") == F.col("_there"), "left_semi"))
-    columns = ["id", "root_id", "depth", "path"]
-    moving = edges.select("id", F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path"))
+    alone = [F.col("id").alias("root_id"), F.lit(0).alias("depth"), F.array("id").alias("path")]
+    if depth is not None and depth < 1:
+        return edges.select("id", *alone)
+    ways = _walked(up.select(F.col("_up").alias("id")).distinct().select("id", *alone), up, None if depth is None else depth - 1)
+    ways = ways.select(F.col("id").alias("_up"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+    out = edges.select("id").join(up.join(ways, "_up"), F.col("id") == F.col("_at"), "left")
+    path = F.when(F.col("_path").isNull(), F.array("id")).otherwise(F.array_prepend("_path", F.col("id")))
+    return out.select("id", F.coalesce("_root", "id").alias("root_id"), F.coalesce(F.col("_depth") + 1, F.lit(0)).alias("depth"), path.alias("path"))
+
+
+def _walked(moving: DataFrame, up: DataFrame, depth: int | None) -> DataFrame:
+    """moving (id, root_id, depth, path) led on along up (_at, _up), as far as it goes or ``depth`` levels."""
+    columns = moving.columns
     done = []
     for _ in count() if depth is None else range(depth):
         step = saved(moving.join(up, F.col("root_id") == F.col("_at"), "left"))

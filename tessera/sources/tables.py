@@ -47,17 +47,18 @@ def operational_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def registry_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items, orders, customers and nations as objects, each made from the one before."""
+def registry_objects(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """Line items, orders, customers and nations as objects, each made from the one before; each line item ``once``, or as often as it is given."""
     def kind(name: str, id_: str, parent: str | None, table_: str) -> DataFrame:
         df = table(spark, sf_dir, table_)
         own = F.concat_ws(":", F.lit(name), *(F.col(c).cast("string") for c in id_.split(",")))
         up = F.concat(F.lit(parent), F.lit(":"), F.col(PARENT[name]).cast("string")) if parent else F.lit(None).cast("string")
         return df.select(own.alias("id"), F.lit(name).alias("kind"), up.alias("parent_id"))
 
+    items = kind("context", "l_orderkey,l_linenumber", "sanitized", "lineitem")
     return (
         kind("source", "n_nationkey", None, "nation").union(kind("extraction", "c_custkey", "source", "customer"))
-        .union(kind("sanitized", "o_orderkey", "extraction", "orders")).union(kind("context", "l_orderkey,l_linenumber", "sanitized", "lineitem").distinct())
+        .union(kind("sanitized", "o_orderkey", "extraction", "orders")).union(items.distinct() if once else items)
     )
 
 

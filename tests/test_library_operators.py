@@ -166,3 +166,14 @@ def test_context_queries_take_two_user_turns(spark):
     got = {(r["conv_id"], r["turn"], r["query"]) for r in authority.context_queries(df, ("the",)).collect()}
     assert got == {(1, 3, "and now subject"), (3, 0, "one")}
     assert authority.context_queries(df.limit(0)).count() == 0
+
+
+def test_only_parents_walk(spark, monkeypatch):
+    """Leaves go on from their parent's way: no level holds them."""
+    kept = []
+    monkeypatch.setattr(provenance, "saved", lambda df: kept.append(df) or df.persist())
+    made = [("a", None), ("b", "a"), ("c", "b")] + [(f"leaf{i}", "c") for i in range(40)] + [("lost", "x")]
+    out = provenance.lineage(spark, spark.createDataFrame(made, "id string, parent_id string"))
+    got = {r["id"]: (r["root_id"], r["depth"], r["path"]) for r in out.collect()}
+    assert got["leaf7"] == ("a", 3, ["leaf7", "c", "b", "a"]) and got["b"] == ("a", 1, ["b", "a"]) and got["lost"] == ("lost", 0, ["lost"]) and len(got) == len(made)
+    assert max(df.count() for df in kept if "path" in df.columns) == 3
