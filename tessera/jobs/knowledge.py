@@ -15,15 +15,19 @@ from tessera.sources.tables import table
 FOCUS = ["les", "und", "ing", "tion", "que", "mit", "los", "des"]
 
 
-def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as scored sections of their source's memory: long capitalised words are links, the folder follows the length."""
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sections of their source's memory: long capitalised words are links, the folder follows the length."""
     folders = F.array(*(F.lit(f) for f in ("10_Branches", "20_Decisions", "30_Open_Questions", "40_Risks", "50_Sources", "Исходники", "00_Core")))
     path = F.concat(F.get(folders, F.pmod("n_chars", F.lit(7)).cast("int")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    rows = table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("project"), F.col("doc_id").cast("string").alias("section_id"), path.alias("path"), F.split("text", "\n")[0].alias("heading"),
         F.col("doc_id").alias("line_start"), F.regexp_replace("text", "([A-Z][a-z]{7,})", "[[$1]]").alias("text"),
     )
-    return containment.saved(memory.with_authority(sections.score(rows, FOCUS)))
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections with scores."""
+    return containment.saved(memory.with_authority(sections.score(_sections(spark, sf_dir), FOCUS)))
 
 
 def _covered() -> Column:
@@ -55,9 +59,7 @@ def evidence_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memory_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each source's documents goes into a package of 9,000 characters."""
-    scored = _memory(spark, sf_dir)
-    rows = scored.select("project", "section_id", "path", "heading", "line_start", "text")
-    return memory.select_memory(rows, {"les", "und"}, {"ing", "tion", "que"}, {"mit", "los", "des"}, 9000, 6)
+    return memory.select_memory(_sections(spark, sf_dir), {"les", "und"}, {"ing", "tion", "que"}, {"mit", "los", "des"}, 9000, 6)
 
 
 def unindexed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

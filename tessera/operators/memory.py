@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import excerpts
-from tessera.functions.text import expand_terms, tokenize
+from tessera.functions.text import expand_terms, tokenize, words_for
 from tessera.operators.containment import contained, saved
 from tessera.operators.sections import FOLDERS, SUMMARIES, folder
 
@@ -165,17 +165,20 @@ def intents(terms: set[str]) -> set[str]:
     return out
 
 
-def with_scores(sections: DataFrame, terms: set[str]) -> DataFrame:
+def with_scores(sections: DataFrame, terms: set[str], whole: bool = True) -> DataFrame:
     """sections (path, heading, text, ...) with tokens, score, authority and primary.
 
-    A point for each shared term, three for each in the heading, those of the
+    Unless ``whole``, tokens are those alone that ``terms`` may be among. A point for each shared term, three for each in the heading, those of the
     section's kind, and those of what the query is after. Without a shared term,
     and for link lists, it is 0; deductions leave one point at least.
     """
     wanted = F.array(*map(F.lit, sorted(terms))).cast("array<string>")
     low, names = F.lower("heading"), F.lower(F.concat_ws("\n", "heading", stem(F.col("path"))))
-    rows = sections.withColumn("tokens", expand_terms(tokenize(F.concat_ws("\n", "heading", "text", stem(F.col("path"))))))
-    rows = rows.withColumns({"_m": F.size(F.array_intersect("tokens", wanted)), "_h": F.size(F.array_intersect(tokenize(F.col("heading")), wanted))})
+    said, heading = F.concat_ws("\n", "heading", "text", stem(F.col("path"))), F.col("heading")
+    if not whole:
+        said, heading = words_for(said, terms), words_for(heading, terms)
+    rows = sections.withColumns({"_said": said, "_words": heading}).withColumn("tokens", expand_terms(tokenize(F.col("_said"))))
+    rows = rows.withColumns({"_m": F.size(F.array_intersect("tokens", wanted)), "_h": F.size(F.array_intersect(tokenize(F.col("_words")), wanted))})
     asked, primary, in_folder = intents(terms), is_primary(F.col("path")), folder(F.col("path"))
     kind = F.when(is_summary(F.col("path"), F.col("heading")), 10 + F.when(F.col("_h") > 0, 12).otherwise(0))
     for name, points in FOLDERS.items():
@@ -197,7 +200,7 @@ def with_scores(sections: DataFrame, terms: set[str]) -> DataFrame:
         report = F.contains(names, F.lit(REPORT_MARK)) & _any(names, CORRESPONDENCE_MARKS)
         score = F.when(report, F.greatest(F.lit(1), score - 8)).otherwise(score)
     none = (F.col("_m") == 0) & (F.col("_h") == 0) | (F.trim(low) == GRAPH_LINKS)
-    return rows.withColumns({"score": F.when(none, 0).otherwise(score), "authority": authority(F.col("path"), F.col("heading")), "primary": primary}).drop("_m", "_h")
+    return rows.withColumns({"score": F.when(none, 0).otherwise(score), "authority": authority(F.col("path"), F.col("heading")), "primary": primary}).drop("_m", "_h", "_said", "_words")
 
 
 def covers(terms: set[str]) -> Column:
@@ -253,7 +256,9 @@ def select_memory(sections: DataFrame, base: set[str], rewrite: set[str] = froze
     by score. Long sections count as far as they are taken.
     """
     terms, focus = set(base) | set(rewrite) | set(context), set(base) | set(rewrite)
-    scored = saved(with_scores(sections, terms).withColumn("_size", F.length(clip(F.col("text"))).cast("long")))
+    scored = with_scores(sections, terms, whole=False).withColumn("_size", F.length(clip(F.col("text"))).cast("long"))
+    # Of the texts nothing but their links is read again.
+    scored = saved(scored.withColumn("text", F.array_join(F.regexp_extract_all("text", F.lit(WIKI_LINK), F.lit(0)), "|")))
     found = scored.where("score > 0")
     if focus:
         direct = found.where(covers(set(base)) | covers(set(rewrite)))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.functions.text import SYNONYMS, expand_terms, tokenize, words_for
 from tessera.operators import memory
 
 SECTION = "project string, section_id string, path string, heading string, line_start int, text string"
@@ -83,3 +85,19 @@ def test_selection_equals_a_loop(spark, seed):
         got = sorted(map(tuple, memory.select_memory(df, base, rewrite, context, max_chars, most).collect()))
         assert got == by_loop([(*r, *known[r[1]]) for r in rows], base, rewrite, context, max_chars, most), (max_chars, most)
     assert memory.select_memory(df.limit(0), {"alpha"}).collect() == []
+
+
+def test_words_for_terms_are_enough(spark):
+    """Terms are found among the words that can make them as among all; other words aren't cut."""
+    terms = ["les", "бф", "mvp2", "мвп7", "заявк", "договор", "хранение", "персональн", "контур", "для", "12", "c++", "нет", "a1b"]
+    rng = random.Random(8)
+    words = ["les", "Les", "LES", "files", "les9", "leſ", "бф", "БФ", "БФ1", "mvp2", "МВП2", "mvp7", "mvp22", "заявками", "Заявкой", "заявка", "договоры", "договорить", "Договоров", "сохранить", "персональному", "контурный", "подконтурный", "систему", "пдн", "для", "12", "c++", "a1b", "ёлка", "_les_", "нет", "é"]
+    texts = [rng.choice([" ", "-", "_", ""]).join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(300)] + words + [g for _, group in SYNONYMS for g in group] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for some in (terms, terms[:1], ["c++", "a"], []):
+        wanted = F.array(*map(F.lit, some)).cast("array<string>")
+        whole, few = expand_terms(tokenize(F.col("text"))), words_for(F.col("text"), some)
+        for r in df.select("text", F.array_intersect(whole, wanted).alias("a"), F.array_intersect(expand_terms(tokenize(few)), wanted).alias("b")).collect():
+            assert r["a"] == r["b"], (r["text"], some)
+    assert df.select(words_for(F.lit("a long text of files, les and LES"), ["les"])).first()[0] == "les LES"
+    assert memory.with_scores(spark.createDataFrame([("p", "a", "x/a.md", "alpha beta", 1, "mvp2 gamma")], SECTION), {"alpha"}, whole=False).first()["tokens"] == ["alpha"]
