@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,24 @@ STATES = ("empty", "unavailable", "needs_check", "needs_look", "done", "nothing_
 RULES = [Rule(category, f"(?iU){pattern}") for category, pattern in PATTERNS] + [Rule(INTERNAL[0], f"(?U){INTERNAL[1]}")]
 DIALOGUE_RULES = [Rule(DIALOGUE[0], f"(?U){DIALOGUE[1]}")]
 
+#: Letters that Cyrillic ones match without regard to case.
+CYRILLIC = "[\u0400-\u052F\u1C80-\u1C8F\uA640-\uA69F]"
+_PHONE = r"(?U)\d{3}[\s). -]*\d{3}[\s.-]*\d{2}[\s.-]*\d{2}"
+#: What a text must hold for a pattern of ours to match, as a simpler pattern that is tried first. Patterns of others have none.
+NEEDS = {f"(?iU){p}": CYRILLIC for p in (*(p for _, p in PATTERNS), *CONCRETE, *TOPICS)} | {
+    f"(?iU){PATTERNS[3][1]}": "@", f"(?iU){CONCRETE[0]}": "@", f"(?iU){PATTERNS[4][1]}": _PHONE, f"(?iU){CONCRETE[1]}": _PHONE,
+    f"(?iU){TOPICS[0]}": f"(?iU)PII|{CYRILLIC}", f"(?U){INTERNAL[1]}": r"(?U)[-_]\d\d", f"(?U){DIALOGUE[1]}": CYRILLIC,
+}
+
 
 def _looks(text: Column, patterns: tuple[str, ...]) -> Column:
+    groups: dict[str, Column] = {}
+    for pattern in (f"(?iU){p}" for p in patterns):
+        need = NEEDS[pattern]
+        groups[need] = groups[need] | text.rlike(pattern) if need in groups else text.rlike(pattern)
     out = F.lit(False)
-    for pattern in patterns:
-        out = out | text.rlike(f"(?iU){pattern}")
+    for need, found in groups.items():
+        out = out | (text.rlike(need) & found)
     return out
 
 
@@ -62,19 +77,26 @@ def masked(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
     A place becomes ``[CATEGORY_n]``; n goes on through all rules of a category,
     and begins at 1 in every text. A null text is empty. Texts are masked in their
-    rows; nothing is shuffled.
+    rows; nothing is shuffled. A rule of ours is passed by where the text lacks
+    what it needs.
     """
     rules = RULES if rules is None else rules
     rows = docs.withColumn("masked", F.coalesce("text", F.lit("")))
+    # Of what is put in, only a category could be Cyrillic.
+    named = any(re.search(CYRILLIC, r.category) for r in rules)
+    rows = rows.withColumn("_cyrillic", F.lit(True) if named else F.col("masked").rlike(CYRILLIC))
     for category in dict.fromkeys(r.category for r in rules):
         rows = rows.withColumn(f"_{category}", F.lit(0))
     for rule in rules:
-        rows = rows.withColumn("_parts", F.split("masked", rule.pattern))
-        rows = rows.withColumn("masked", F.array_join(F.transform("_parts", _token(rule.category)), ""))
+        need, parts = NEEDS.get(rule.pattern), F.split("masked", rule.pattern)
+        if need:
+            parts = F.when(F.col("_cyrillic") if need == CYRILLIC else F.col("masked").rlike(need), parts).otherwise(F.array("masked"))
+        rows = rows.withColumn("_parts", parts)
+        rows = rows.withColumn("masked", F.when(F.size("_parts") == 1, F.col("masked")).otherwise(F.array_join(F.transform("_parts", _token(rule.category)), "")))
         rows = rows.withColumn(f"_{rule.category}", F.col(f"_{rule.category}") + F.size("_parts") - 1)
     categories = sorted({r.category for r in rules})
     counts = F.map_filter(F.create_map(*(x for c in categories for x in (F.lit(c), F.col(f"_{c}")))), lambda k, n: n > 0) if categories else F.create_map().cast("map<string,int>")
-    return rows.withColumn("counts", counts).drop("_parts", *(f"_{c}" for c in categories))
+    return rows.withColumn("counts", counts).drop("_parts", "_cyrillic", *(f"_{c}" for c in categories))
 
 
 def masking_report(docs: DataFrame, rules: list[Rule] | None = None, reviewed: Column | None = None, available: Column | None = None) -> DataFrame:

@@ -69,6 +69,19 @@ def test_masking_without_rules(spark):
     assert [(r["masked"], r["counts"], r["status"]) for r in masking.masking_report(df, []).collect()] == [("a@b.cc", {}, "needs_check"), ("", {}, "empty")]
 
 
+def test_rules_are_passed_by_where_a_text_lacks_what_they_need(spark, monkeypatch):
+    texts = [*RUSSIAN, "д\u1c82говор № 15", "ИНН 1234567890", "a@b.cc", "ABCD-12 and 8 (912) 345-67-89", "١٢٣ ٤٥٦ ٧٨ ٩٠", "plain words", "pıi and PII", "Abcd_٣٤", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules = masking.RULES + masking.DIALOGUE_RULES + [masking.Rule("ИМЯ", "plain")] + masking.RULES[:1]
+    both = lambda: [(masking.masked(df, r).select("masked", "counts").collect(), masking.masking_report(df, r).select("masked", "status", "suspected").collect()) for r in (None, rules)]
+    got = both()
+    monkeypatch.setattr(masking, "NEEDS", dict.fromkeys(masking.NEEDS, "^"))
+    monkeypatch.setattr(masking, "CYRILLIC", "^")
+    assert got == both()
+    monkeypatch.setattr(masking, "NEEDS", dict.fromkeys(masking.NEEDS, "(?!)"))
+    assert [r["masked"] for r in masking.masked(df).collect()] == [t or "" for t in texts]
+
+
 def protect_by_loop(docs, rules):
     """Of (key, workspace, text): (key, text, pseudonyms), documents in order of their keys, null ones first."""
     numbers, out, known = Counter(), [], {}
