@@ -31,11 +31,11 @@ INSIDE = 80
 #: Side of a tile, and pairs from which on a tile is counted densely.
 SIDE, DENSE = 1024, 16_384
 #: Dense tiles that are counted at a time (8 MB each).
-AT_A_TIME = 8
+AT_A_TIME = 2
 #: Word occurrences after which a task hands on its counts, and different words.
 FLUSH, FLUSH_WORDS = 1_000_000, 200_000
-#: Texts whose symbols are filled in at a time.
-TEXTS = 1000
+#: Texts whose symbols are counted or filled in at a time, and counts that a task hands on at a time.
+TEXTS, HANDED = 1000, 100_000
 #: Words, or symbols of phrases, that are broadcast at a time.
 BLOCK_WORDS, BLOCK_PHRASES = 400_000, 2_000_000
 
@@ -158,23 +158,28 @@ def _count_phrases(length: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def put() -> pa.RecordBatch:
+        def put() -> Iterator[pa.RecordBatch]:
             words, symbols = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             at = np.flatnonzero((symbols[:-length] >= 0) & (words[length:] >= 0))
             at = at[symbols[at + 1] >= 0]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in count_pairs(symbols[at], words[at + length])], names=["left", "right", "n"])
+            left, right = symbols[at], words[at + length]
+            del words, symbols, at
+            counted = pa.RecordBatch.from_arrays([pa.array(x) for x in count_pairs(left, right)], names=["left", "right", "n"])
+            for begin in range(0, counted.num_rows, HANDED):
+                yield counted.slice(begin, HANDED)
 
         end = np.full(length, BREAK, np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             wide = batch.column(2)
             for words, symbols in zip(_numbers(batch.column(0), wide), _numbers(batch.column(1), wide), strict=True):
                 held.append((np.append(words, end), np.append(symbols, end)))
                 size += len(words)
                 if size >= FLUSH:
-                    yield put()
-                    held, size = [], 0
+                    yield from put()
+                    size = 0
         if held:
-            yield put()
+            yield from put()
 
     return count
 

@@ -101,3 +101,20 @@ def test_scores_beyond_64_bits(spark):
     """2,000,000 times a count of 5e12 passes 64 bits."""
     got = spark.sql("SELECT (cast(2000000 as decimal(7, 0)) * cast(5000000000000 as decimal(19, 0))) div (cast(6000000000000 as decimal(19, 0)) + cast(5000000000000 as decimal(19, 0))) AS s").first()["s"]
     assert got == 2_000_000 * 5 * 10**12 // (11 * 10**12)
+
+
+def test_memory_of_counting_is_bounded():
+    """A task's memory grows neither with the texts of a batch nor with the tiles that are dense."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    texts = [rng.integers(0, 8 * collocations.SIDE, 400).astype(np.int32).tobytes() for _ in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(texts, pa.binary()), pa.array([4] * len(texts), pa.int32())], names=["words", "symbols", "wide"])
+    tracemalloc.start()
+    try:
+        handed = [(b.num_rows, int(b.column(2).to_numpy().sum())) for b in collocations._count_phrases(1)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(n for _, n in handed) == 10_000 * 399 and max(n for n, _ in handed) <= 100_000
+    assert peak < 150e6, peak
