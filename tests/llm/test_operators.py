@@ -236,6 +236,23 @@ def test_long_lines_with_typos_near_the_threshold_are_linked(spark):
     assert dropped == {10 * i + 1 for i in range(len(pairs))}
 
 
+def test_lines_far_below_the_threshold_are_not_verified(spark, monkeypatch):
+    """1,500 lines of 20 of the same 50 words: 26,170 of their pairs share a band, none reaches a similarity of 0.5."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuvwxyz"), 8)) for _ in range(50)]
+    rows = [(i, " ".join(rng.permutation(words)[:20])) for i in range(1500)]
+    verified, save = [], line_dedup.Scratch.save
+
+    def counted(self, df, name, *bounds):
+        saved = save(self, df, name, *bounds)
+        verified.append(saved.count() if name == "similarities" else 0)
+        return saved
+
+    monkeypatch.setattr(line_dedup.Scratch, "save", counted)
+    assert line_dedup.dedup_lines(frame(spark, *rows)).where("n_dropped > 0").count() == 0
+    assert sum(verified) < 1500
+
+
 def test_short_lines_without_spaces_are_dropped(spark):
     line, near = "今日はとても良い天気ですね", "我们使用饼干来改善服务"
     df = frame(spark, f"{line}\n短い\n短い\n{near}", line, f"x\n{near}", "12 abc 今日")
