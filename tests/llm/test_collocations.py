@@ -118,3 +118,54 @@ def test_memory_of_counting_is_bounded():
         tracemalloc.stop()
     assert sum(n for _, n in handed) == 10_000 * 399 and max(n for n, _ in handed) <= 100_000
     assert peak < 150e6, peak
+
+
+def test_driver_gathers_bits_alone(spark, rows, monkeypatch):
+    """What passes through the driver is a row of bits for some 2,000 words or phrases, and no word or phrase."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3)
+    gathered = []
+
+    def watched(plain):
+        def gather(self, *args, **more):
+            found = plain(self, *args, **more)
+            gathered.append((tuple(self.columns), len(found)))
+            return found
+
+        return gather
+
+    for name in ("collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(docs), name, watched(getattr(type(docs), name)))
+    found = collocations.collocations(docs, 2)
+    monkeypatch.undo()
+    assert {columns for columns, _ in gathered} == {("bucket", "bits")}
+    assert sum(n for _, n in gathered) < 50
+    assert result(found) == brute(rows, 2)
+
+
+def test_bits_and_chunks_have_no_effect(spark, rows, monkeypatch):
+    """Bits that many phrases share only let through what the sums drop again."""
+    for name, value in (("BLOCK_WORDS", 1), ("BLOCK_PHRASES", 1), ("CHUNK", 500)):
+        monkeypatch.setattr(collocations, name, value)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3)
+    assert result(collocations.collocations(docs, 2, 5)) == brute(rows, 2, 5)
+
+
+def test_bits_of_phrases():
+    """A phrase passes whose bits, and those of its parts, are set; ends of pieces and rare words are in none."""
+    words = np.array([5, 6, 7, collocations.BREAK, 5, 6, collocations.RARE, 6, 7, 8, collocations.BREAK])
+
+    def table(*phrases):
+        bits = np.zeros(collocations.BUCKET, np.uint8)
+        for phrase in phrases:
+            for factor in collocations.FACTORS:
+                total = phrase[0]
+                for word in phrase[1:]:
+                    total = (total * factor + word) % collocations.PRIME
+                bits[total % len(bits)] = 1
+        return np.packbits(bits, bitorder="little").tobytes()
+
+    two, three = table((5, 6), (6, 7)), table((5, 6, 7))
+    assert collocations._places(words, []).tolist() == [0, 1, 2, 4, 5, 7, 8, 9]
+    assert collocations._places(words, [two]).tolist() == [0, 1, 4, 7]
+    assert collocations._places(words, [two, three]).tolist() == [0]
+    assert collocations._places(words, [table(), three]).tolist() == []
